@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def row_count() -> Column:
+    return F.count(F.lit(1))
+
+
 def _div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import cents, non_blank, pct
+from ..functions import cents, non_blank, pct, row_count
 from ..plans import hot_keys, key_counts, salted_join
 from ..schemas import require
 
@@ -18,7 +18,7 @@ def _present(email: Column, blank_is_missing: bool) -> Column:
 
 def _summary(total: Column) -> list[Column]:
     """Coverage columns over rows carrying a boolean `has_email`."""
-    rows = F.count(F.lit(1))
+    rows = row_count()
     having, lacking = F.count_if("has_email"), F.count_if(~F.col("has_email"))
     return [
         total.alias("total_companies"),
@@ -48,7 +48,7 @@ def coverage_overall(hub: DataFrame, emails: DataFrame, blank_is_missing: bool =
     """Share of the hub's companies with at least one e-mail; for bronze or source tables alike."""
     require(hub, ["id"], "hub")
     require(emails, ["id", "email"], "emails")
-    return _ids_with_flag(hub, emails, blank_is_missing).agg(*_summary(F.count(F.lit(1))))
+    return _ids_with_flag(hub, emails, blank_is_missing).agg(*_summary(row_count()))
 
 
 def coverage_domain_universe(domains: DataFrame, emails: DataFrame, blank_is_missing: bool = False) -> DataFrame:
@@ -56,7 +56,7 @@ def coverage_domain_universe(domains: DataFrame, emails: DataFrame, blank_is_mis
     require(domains, ["id"], "domains")
     require(emails, ["id", "email"], "emails")
     listed = domains.where(F.col("id").isNotNull())
-    return _ids_with_flag(listed, emails, blank_is_missing).agg(*_summary(F.count(F.lit(1))))
+    return _ids_with_flag(listed, emails, blank_is_missing).agg(*_summary(row_count()))
 
 
 def _mailed(emails: DataFrame, key: str, blank_is_missing: bool) -> DataFrame:
@@ -91,7 +91,7 @@ def _published(persona: DataFrame, emails: DataFrame) -> DataFrame:
 def coverage_published_by_source(persona: DataFrame, emails: DataFrame) -> DataFrame:
     """Coverage per vendor over published personas, joined on slug; a blank e-mail counts."""
     pairs = _published(persona, emails)
-    return pairs.groupBy("source").agg(*_summary(F.count(F.lit(1)))).orderBy(F.desc("total_companies"), "source")
+    return pairs.groupBy("source").agg(*_summary(row_count())).orderBy(F.desc("total_companies"), "source")
 
 
 def coverage_published_total(persona: DataFrame, emails: DataFrame) -> DataFrame:

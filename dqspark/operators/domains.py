@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import pct
+from ..functions import pct, row_count
 from ..schemas import require
 from .formats import labelled_counts
 
@@ -25,7 +25,7 @@ def domain_status_distribution(domains: DataFrame) -> DataFrame:
 def domain_status_summary(domains: DataFrame) -> DataFrame:
     """The same in one row; a missing status counts as not 200."""
     require(domains, ["status_code"], "domains")
-    total, reached = F.count(F.lit(1)), F.count_if(F.col("status_code") == 200)
+    total, reached = row_count(), F.count_if(F.col("status_code") == 200)
     return domains.agg(
         total.alias("total_domains"),
         reached.alias("status_200"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import occurrence_bucket, pct
+from ..functions import occurrence_bucket, pct, row_count
 from ..functions.text import OCCURRENCE_BUCKETS
 from ..plans import hot_keys, salted_join
 from .formats import CLEAN, valid_emails
@@ -14,8 +14,8 @@ from .formats import CLEAN, valid_emails
 def duplicate_summary(emails: DataFrame) -> DataFrame:
     """Distinct (company, country, address) of valid format, split by occurring once or more often."""
     keys = ["id", "country", CLEAN]
-    per_key = valid_emails(emails, "id", "country").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    total, repeated = F.count(F.lit(1)), F.count_if(F.col("n") > 1)
+    per_key = valid_emails(emails, "id", "country").groupBy(*keys).agg(row_count().alias("n"))
+    total, repeated = row_count(), F.count_if(F.col("n") > 1)
     return per_key.agg(
         total.alias("total_email"),
         F.count_if(F.col("n") == 1).alias("unique_email"),
@@ -25,7 +25,7 @@ def duplicate_summary(emails: DataFrame) -> DataFrame:
 
 
 def _occurrences(emails: DataFrame) -> DataFrame:
-    return valid_emails(emails).groupBy(CLEAN).agg(F.count(F.lit(1)).alias("occurrences"))
+    return valid_emails(emails).groupBy(CLEAN).agg(row_count().alias("occurrences"))
 
 
 def unique_duplicate_count(emails: DataFrame) -> DataFrame:
@@ -45,22 +45,24 @@ def duplicate_buckets(emails: DataFrame) -> DataFrame:
     Works on (company, address) pairs. An address shared by very many companies is cut into splits when
     its bucket is handed to its pairs; every company then reduces to one flag per bucket.
     """
-    pairs = valid_emails(emails, "id").groupBy(CLEAN, "id").agg(F.count(F.lit(1)).alias("n"))
-    per_address = pairs.groupBy(CLEAN).agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("rows"))
+    pairs = valid_emails(emails, "id").groupBy(CLEAN, "id").agg(row_count().alias("n"))
+    per_address = pairs.groupBy(CLEAN).agg(F.sum("n").alias("occurrences"), row_count().alias("rows"))
     repeated = per_address.where(F.col("occurrences") > 1).withColumn(
         "occ_bucket", occurrence_bucket(F.col("occurrences"))
     )
 
+    # Reading n here too keeps the shuffle behind `pairs` the same in both uses, so that it runs once.
+    listed = pairs.where(F.col("n") > 0).select(CLEAN, "id")
     hot = hot_keys(per_address, CLEAN)
-    touched = salted_join(pairs.select(CLEAN, "id"), repeated.select(CLEAN, "occ_bucket"), CLEAN, hot, [F.col("id")], "left")
+    touched = salted_join(listed, repeated.select(CLEAN, "occ_bucket"), CLEAN, hot, [F.col("id")], "left")
     indexes = range(len(OCCURRENCE_BUCKETS))
     in_bucket = [F.coalesce(F.col("occ_bucket") == b, F.lit(False)) for b in OCCURRENCE_BUCKETS]
     per_company = touched.groupBy("id").agg(*[F.bool_or(in_bucket[i]).alias(f"b{i}") for i in indexes])
     companies = per_company.where(F.col("id").isNotNull()).agg(
-        F.count(F.lit(1)).alias("total"), F.array(*[F.count_if(f"b{i}") for i in indexes]).alias("companies")
+        row_count().alias("total"), F.array(*[F.count_if(f"b{i}") for i in indexes]).alias("companies")
     )
 
-    addresses = repeated.groupBy("occ_bucket").agg(F.count(F.lit(1)).alias("duplicate_email_count"))
+    addresses = repeated.groupBy("occ_bucket").agg(row_count().alias("duplicate_email_count"))
     position = F.array_position(F.array(*[F.lit(b) for b in OCCURRENCE_BUCKETS]), F.col("occ_bucket")).cast("int")
     totals = companies.select(F.struct("total", "companies")).scalar()
     filled = addresses.withColumn("position", position).withColumn("totals", totals)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import email_clean, format_status, is_blocked, is_valid_email, non_blank, pct, status_label
+from ..functions import email_clean, format_status, is_blocked, is_valid_email, non_blank, pct, row_count, status_label
+from ..plans import computed_once
 from ..schemas import require
 
 CLEAN = "email_clean"
@@ -14,7 +15,8 @@ CLEAN = "email_clean"
 def clean_emails(emails: DataFrame, *columns: str) -> DataFrame:
     """The non-blank e-mails as `columns` plus `email_clean`."""
     require(emails, [*columns, "email"], "emails")
-    return emails.where(non_blank(F.col("email"))).select(*columns, email_clean(F.col("email")).alias(CLEAN))
+    filled = emails.where(non_blank(F.col("email")))
+    return computed_once(filled, list(columns), **{CLEAN: email_clean(F.col("email"))})
 
 
 def valid_emails(emails: DataFrame, *columns: str) -> DataFrame:
@@ -25,7 +27,7 @@ def valid_emails(emails: DataFrame, *columns: str) -> DataFrame:
 def labelled_counts(df: DataFrame, label: str, count: str, cases: list, keep_empty: bool) -> DataFrame:
     """(label, count, pct) rows for a fixed list of (text, condition) cases, in one pass over `df`."""
     conditions = [F.count_if(cond).alias(f"n{i}") for i, (_, cond) in enumerate(cases)]
-    totals = df.agg(F.count(F.lit(1)).alias("total"), *conditions)
+    totals = df.agg(row_count().alias("total"), *conditions)
     rows = F.array(
         *[F.struct(F.lit(text).alias(label), F.col(f"n{i}").alias(count)) for i, (text, _) in enumerate(cases)]
     )
@@ -56,7 +58,7 @@ def invalid_email_examples(emails: DataFrame, n: int = 20) -> DataFrame:
 def company_valid_format(emails: DataFrame) -> DataFrame:
     """Of the companies with any e-mail, how many have one of valid format."""
     per_company = clean_emails(emails, "id").groupBy("id").agg(F.bool_or(is_valid_email(F.col(CLEAN))).alias("valid"))
-    having, valid = F.count(F.lit(1)), F.count_if("valid")
+    having, valid = row_count(), F.count_if("valid")
     return per_company.agg(
         having.alias("companies_with_any_email"),
         valid.alias("companies_with_valid_email"),
@@ -66,7 +68,7 @@ def company_valid_format(emails: DataFrame) -> DataFrame:
 
 def blocked_summary(emails: DataFrame) -> DataFrame:
     """No-reply style addresses among the valid ones."""
-    total, blocked = F.count(F.lit(1)), F.count_if(is_blocked(F.col(CLEAN)))
+    total, blocked = row_count(), F.count_if(is_blocked(F.col(CLEAN)))
     return valid_emails(emails).agg(
         total.alias("total_valid_emails"), blocked.alias("blocked_emails"), pct(blocked, total).alias("pct_blocked")
     )
@@ -85,7 +87,7 @@ def deliverability_distribution(emails: DataFrame, blank_as_null: bool = True) -
     counts = (
         emails.select(status.alias("verification_status"))
         .groupBy("verification_status")
-        .agg(F.count(F.lit(1)).alias("row_count"))
+        .agg(row_count().alias("row_count"))
     )
     total = counts.agg(F.sum("row_count")).scalar()
     return counts.withColumn("pct", pct(F.col("row_count"), total)).orderBy(

@@ -16,6 +16,7 @@ from ..functions import (
     normalize_domain,
     pct,
     ratio2,
+    row_count,
     six_clause_match,
     website_domain,
 )
@@ -23,8 +24,6 @@ from ..plans import hot_keys, key_counts, salted_join
 from ..schemas import require
 from .formats import CLEAN, valid_emails
 
-ROWS = F.count(F.lit(1))
-
 
 # --- six-clause rule: hub domain, root and name against the whole address ---------------------------
 
@@ -41,7 +40,7 @@ def usable_companies(hub: DataFrame, lower_first: bool, *extra: str) -> DataFram
             alnum_clean(F.col("name"), lower_first).alias("name_clean"),
         )
         .groupBy("id", *extra, "company_domain", "name_clean")
-        .agg(ROWS.alias("copies"))
+        .agg(row_count().alias("copies"))
     )
 
 
@@ -96,14 +95,14 @@ def _match_columns(total: Column, fitting: Column) -> list[Column]:
 def domain_match_by_country(hub: DataFrame, emails: DataFrame, lower_first: bool = False) -> DataFrame:
     """Companies per country with at least one address that passes the six-clause rule."""
     status = _status_per_company_country(hub, emails, lower_first)
-    by_country = status.groupBy("country").agg(*_match_columns(ROWS, F.count_if("has_match")))
+    by_country = status.groupBy("country").agg(*_match_columns(row_count(), F.count_if("has_match")))
     return by_country.orderBy(F.desc("total_companies"), F.asc_nulls_last("country"))
 
 
 def domain_match_rollup(hub: DataFrame, emails: DataFrame, lower_first: bool = False) -> DataFrame:
     """`domain_match_by_country` with a grand total row ALL first."""
     status = _status_per_company_country(hub, emails, lower_first)
-    by_country = status.groupBy("country").agg(ROWS.alias("n"), F.count_if("has_match").alias("fit"))
+    by_country = status.groupBy("country").agg(row_count().alias("n"), F.count_if("has_match").alias("fit"))
     # The grand total of an empty input is a row of zeros, so it comes from a global aggregate.
     total = by_country.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("fit"), F.lit(0)).alias("fit"))
     rows = total.select(F.lit(0).alias("part"), F.lit("ALL").alias("country"), "n", "fit").unionByName(
@@ -165,7 +164,7 @@ def domain_match_emails(domains: DataFrame, emails: DataFrame) -> DataFrame:
 
 def _suffix_counts(names: DataFrame, side: str) -> DataFrame:
     """(id, name, <side>_own, <side>_under): rows of exactly this name, and of names below it."""
-    counted = names.groupBy("id", "name").agg(ROWS.alias("rows"))
+    counted = names.groupBy("id", "name").agg(row_count().alias("rows"))
     expanded = counted.select("id", "rows", F.posexplode(dotted_suffixes(F.col("name"))).alias("depth", "name"))
     own = F.col("depth") == 0
     return expanded.select(

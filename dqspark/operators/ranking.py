@@ -16,6 +16,7 @@ from ..functions import (
     non_blank,
     normalize_domain,
     role_score,
+    row_count,
     status_label,
 )
 from ..functions.text import DELIVERABLE_STATUSES
@@ -24,8 +25,6 @@ from ..schemas import require
 
 # Points per property; role inboxes bring 10 or 7 (see role_score).
 VALID_POINTS, UNIQUE_POINTS, NOT_BLOCKED_POINTS, DOMAIN_POINTS, VERIFIED_POINTS = 50, 15, 15, 10, 5
-
-ROWS = F.count(F.lit(1))
 _GROUP = ["id", "country"]
 _BROADCAST_GROUPS = 10_000
 
@@ -57,7 +56,7 @@ def _company_domains(domains: DataFrame) -> DataFrame:
     require(domains, ["id", "fqdn"], "domains")
     usable = domains.where(F.col("id").isNotNull() & non_blank(F.col("fqdn")) & F.col("fqdn").contains("."))
     named = usable.select("id", normalize_domain(F.col("fqdn")).alias("company_domain"))
-    return named.groupBy("id", "company_domain").agg(ROWS.alias("copies"))
+    return named.groupBy("id", "company_domain").agg(row_count().alias("copies"))
 
 
 def _related_domains(email_domains: DataFrame, company: DataFrame) -> DataFrame:
@@ -95,7 +94,7 @@ def priority_top_emails(
     fan_out = company.groupBy("id").agg(F.sum("copies").alias("fan_out"))
     if dedupe_domains:
         fan_out = fan_out.withColumn("fan_out", F.lit(1).cast("bigint"))
-    groups = base.groupBy(*_GROUP).agg(ROWS.alias("rows")).join(fan_out, "id", "left")
+    groups = base.groupBy(*_GROUP).agg(row_count().alias("rows")).join(fan_out, "id", "left")
     groups = groups.withColumn("fan_out", F.coalesce("fan_out", F.lit(1).cast("bigint")))
     total = (F.col("rows") * F.col("fan_out")).alias("total_emails_for_company_country")
     groups = groups.select(*_GROUP, "fan_out", total).where(total >= min_total)
@@ -108,7 +107,7 @@ def priority_top_emails(
 
     tie = [F.col("email"), F.col("verification_status")]
     address = [*_GROUP, "email_clean"]
-    written = rows.groupBy(*address).agg((ROWS > 1).cast("int").alias("is_duplicate_within_company"))
+    written = rows.groupBy(*address).agg((row_count() > 1).cast("int").alias("is_duplicate_within_company"))
     few = _best(rows, [*address, "email_domain"], [F.desc("person_score"), *tie], k)
     flagged = (
         null_safe_join(few, written, address)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import row_count
 from ..plans import hot_keys, null_safe_join, salted_join
-from .matching import ROWS, fits, usable_addresses, usable_companies
+from .matching import fits, usable_addresses, usable_companies
 
 _ROW = ["id", "name", "company_domain"]
 _LIST = [*_ROW, "fits"]
@@ -21,7 +22,7 @@ def _evaluated(hub: DataFrame, emails: DataFrame, n: int) -> tuple[DataFrame, Da
     """
     companies = usable_companies(hub, False, "name")
     per_id = companies.groupBy("id").agg(F.sum("copies").alias("hub_rows"))
-    addressed = usable_addresses(emails, False).groupBy("id").agg(ROWS.alias("rows"))
+    addressed = usable_addresses(emails, False).groupBy("id").agg(row_count().alias("rows"))
     ids = (
         per_id.join(addressed, "id")
         .select("id", "rows", (F.col("hub_rows") * F.col("rows")).alias("total_emails"))
@@ -36,7 +37,7 @@ def _evaluated(hub: DataFrame, emails: DataFrame, n: int) -> tuple[DataFrame, Da
         usable_addresses(emails, False)
         .join(F.broadcast(ids.select("id")), "id", "left_semi")
         .groupBy("id", "email", "local_part", "email_domain", "local_clean")
-        .agg(ROWS.alias("written"))
+        .agg(row_count().alias("written"))
     )
     spellings = companies.join(F.broadcast(ids.select("id")), "id", "left_semi")
     hot = hot_keys(ids.select("id", "rows"), "id")

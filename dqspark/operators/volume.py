@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import country_key, non_blank, pct
+from ..functions import country_key, non_blank, pct, row_count
 from ..schemas import require
 
 
@@ -20,7 +20,7 @@ def _company_country(emails: DataFrame) -> DataFrame:
 
 
 def _rollup(pairs: DataFrame, k: int) -> DataFrame:
-    total = F.count(F.lit(1))
+    total = row_count()
     few, many = F.count_if(F.col("email_count") <= k), F.count_if(F.col("email_count") > k)
     return pairs.groupBy("country").agg(
         total.alias("total_company_country"),

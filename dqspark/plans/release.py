@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import country_key, email_clean, format_status, is_blocked, non_blank, pct
+from ..functions import country_key, email_clean, format_status, is_blocked, non_blank, pct, row_count
 from ..operators.domains import domain_status_distribution
 from ..operators.matching import domain_match_by_country, domain_mismatch_pct
 from ..operators.metrics import metrics_from_wide, side_by_side
 from ..schemas import require
 
-ROWS = F.count(F.lit(1))
-
 
 def email_facts(emails: DataFrame) -> DataFrame:
     """(id, country, filled, email_clean, n): the e-mails folded into counts.
@@ -29,7 +27,7 @@ def email_facts(emails: DataFrame) -> DataFrame:
             email_clean(F.col("email")).alias("email_clean"),
         )
         .groupBy("id", "country", "filled", "email_clean")
-        .agg(ROWS.alias("n"))
+        .agg(row_count().alias("n"))
     )
 
 
@@ -57,7 +55,7 @@ def release_metrics(
     pairs = facts.groupBy("id", country_key(F.col("country")).alias("country")).agg(
         rows_where(F.col("filled")).alias("email_count")
     )
-    noisy = pct(F.count_if(F.col("email_count") > k), ROWS)
+    noisy = pct(F.count_if(F.col("email_count") > k), row_count())
     volume = pairs.groupBy("country").agg(noisy.alias("share")).agg(F.max("share").alias("gt5_email_country_pct_max"))
 
     mailed = facts.select("id", F.lit(False).alias("listed"), "filled")
