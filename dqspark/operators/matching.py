@@ -25,6 +25,10 @@ from ..schemas import require
 from .formats import CLEAN, valid_emails
 
 
+# A company with more spellings of name and domain than this is not paired with its addresses.
+MANY_SPELLINGS = 1000
+
+
 # --- six-clause rule: hub domain, root and name against the whole address ---------------------------
 
 
@@ -69,17 +73,78 @@ def fits() -> Column:
     )
 
 
-def _status_per_company_country(hub: DataFrame, emails: DataFrame, lower_first: bool) -> DataFrame:
+def _pieces(text: Column, lengths: Column) -> Column:
+    """All pieces of `text` that have one of the `lengths`."""
+    size = F.length(text)
+    fitting = F.filter(lengths, lambda n: n <= size)
+    return F.flatten(
+        F.transform(fitting, lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(text, i, n)))
+    )
+
+
+def _tagged(kind: str, texts: Column) -> Column:
+    return F.transform(texts, lambda text: F.struct(F.lit(kind).alias("kind"), text.alias("token")))
+
+
+def _tokens(*kinds: tuple[str, Column]) -> Column:
+    """Explode arrays of text into distinct (kind, token) rows."""
+    return F.inline(F.array_distinct(F.concat(*[_tagged(kind, texts) for kind, texts in kinds])))
+
+
+def _match_by_tokens(companies: DataFrame, addresses: DataFrame) -> DataFrame:
+    """(id, country, fits) for companies with very many spellings, without pairing spellings and addresses.
+
+    Each clause becomes equality of a token: a dotted suffix for related domains, a piece of the address as
+    long as some root or name of the company for the others.
+    """
+    root, name = domain_root(F.col("company_domain")), F.col("name_clean")
+    long_name = F.when(F.length(name) >= 4, name)
+    wanted = companies.select(
+        "id",
+        _tokens(
+            ("name", F.array("company_domain")),
+            ("below", dotted_suffixes(F.col("company_domain"), proper=True)),
+            ("root", F.array_compact(F.array(F.nullif(root, F.lit(""))))),
+            ("local", F.array_compact(F.array(long_name))),
+        ),
+    ).distinct()
+    lengths = companies.groupBy("id").agg(
+        F.collect_set(F.length(F.nullif(root, F.lit("")))).alias("root_lengths"),
+        F.collect_set(F.length(long_name)).alias("name_lengths"),
+    )
+    listed = addresses.select("id", "country", "local_part", "email_domain", "local_clean").distinct()
+    offered = listed.join(F.broadcast(lengths), "id").select(  # as few rows as there are such companies
+        "id",
+        "country",
+        _tokens(
+            ("name", dotted_suffixes(F.col("email_domain"))),
+            ("below", F.array("email_domain")),
+            ("root", _pieces(F.col("email_domain"), F.col("root_lengths"))),
+            ("root", _pieces(F.col("local_part"), F.col("root_lengths"))),
+            ("local", _pieces(F.col("local_clean"), F.col("name_lengths"))),
+        ),
+    )
+    matched = offered.distinct().join(wanted, ["id", "kind", "token"], "left_semi").select("id", "country").distinct()
+    return listed.select("id", "country", F.lit(False).alias("fits")).distinct().unionByName(
+        matched.withColumn("fits", F.lit(True))
+    )
+
+
+def _status_per_company_country(hub: DataFrame, emails: DataFrame, lower_first: bool, many: int) -> DataFrame:
     """(id, country, has_match): does any address of the company in that country fit?
 
     Only the id column is read to find hot companies. Their addresses are joined in splits, and the
-    aggregation after the join shuffles partial flags, never addresses.
+    aggregation after the join shuffles partial flags, never addresses. A company with more than `many`
+    spellings is matched by tokens, so that its spellings and addresses are not multiplied.
     """
-    addresses = usable_addresses(emails, lower_first, "country")
+    addresses, companies = usable_addresses(emails, lower_first, "country"), usable_companies(hub, lower_first)
+    # At most one in `many` of the hub's rows, and none where ids are unique.
+    wide = F.broadcast(key_counts(companies, "id").where(F.col("rows") > many).select("id"))
     hot = hot_keys(key_counts(emails.select("id"), "id"), "id")
-    spread = [F.col("email")]
-    evaluated = salted_join(addresses, usable_companies(hub, lower_first).drop("copies"), "id", hot, spread)
-    return evaluated.groupBy("id", "country").agg(F.bool_or(fits()).alias("has_match"))
+    usual = companies.drop("copies").join(wide, "id", "left_anti")
+    paired = salted_join(addresses, usual, "id", hot, [F.col("email")]).select("id", "country", fits().alias("fits"))
+    by_tokens = _match_by_tokens(companies.join(wide, "id", "left_semi"), addresses.join(wide, "id", "left_semi"))
+    return paired.unionByName(by_tokens).groupBy("id", "country").agg(F.bool_or("fits").alias("has_match"))
 
 
 def _match_columns(total: Column, fitting: Column) -> list[Column]:
@@ -92,16 +157,20 @@ def _match_columns(total: Column, fitting: Column) -> list[Column]:
     ]
 
 
-def domain_match_by_country(hub: DataFrame, emails: DataFrame, lower_first: bool = False) -> DataFrame:
+def domain_match_by_country(
+    hub: DataFrame, emails: DataFrame, lower_first: bool = False, many: int = MANY_SPELLINGS
+) -> DataFrame:
     """Companies per country with at least one address that passes the six-clause rule."""
-    status = _status_per_company_country(hub, emails, lower_first)
+    status = _status_per_company_country(hub, emails, lower_first, many)
     by_country = status.groupBy("country").agg(*_match_columns(row_count(), F.count_if("has_match")))
     return by_country.orderBy(F.desc("total_companies"), F.asc_nulls_last("country"))
 
 
-def domain_match_rollup(hub: DataFrame, emails: DataFrame, lower_first: bool = False) -> DataFrame:
+def domain_match_rollup(
+    hub: DataFrame, emails: DataFrame, lower_first: bool = False, many: int = MANY_SPELLINGS
+) -> DataFrame:
     """`domain_match_by_country` with a grand total row ALL first."""
-    status = _status_per_company_country(hub, emails, lower_first)
+    status = _status_per_company_country(hub, emails, lower_first, many)
     by_country = status.groupBy("country").agg(row_count().alias("n"), F.count_if("has_match").alias("fit"))
     # The grand total of an empty input is a row of zeros, so it comes from a global aggregate.
     total = by_country.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("fit"), F.lit(0)).alias("fit"))
@@ -206,19 +275,17 @@ def domain_root_match(domains: DataFrame, emails: DataFrame) -> DataFrame:
     return per_id.agg(pct(F.sum("same"), F.sum("pairs")).alias("match_pct"))
 
 
-def _first_of_each_root(rows: DataFrame, root: str, order: list[Column], n: int) -> DataFrame:
+def _first_of_each_root(rows: DataFrame, root: str, order: list[str], n: int) -> DataFrame:
     """Per id the first n rows of each of its first n + 1 roots.
 
     Whatever single root is ruled out, the first n rows of the remaining ones are among these.
     """
-    each = rows.withColumn("nth", F.row_number().over(Window.partitionBy("id", root).orderBy(*order))).where(
-        F.col("nth") <= n
-    )
-    heads = each.where(F.col("nth") == 1)
-    heads = heads.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(*order))).where(
-        F.col("place") <= n + 1
-    )
-    return each.join(heads.select("id", root), ["id", root], "left_semi").drop("nth")
+    in_root = Window.partitionBy("id", root).orderBy(*[F.asc_nulls_last(c) for c in order])
+    each = rows.withColumn("nth", F.row_number().over(in_root)).where(F.col("nth") <= n)
+    heads = {f"head_{c}": F.first(c).over(in_root) for c in order}
+    by_head = Window.partitionBy("id").orderBy(*[F.asc_nulls_last(h) for h in heads], root)
+    place = F.dense_rank().over(by_head)
+    return each.withColumns(heads).withColumn("place", place).where(F.col("place") <= n + 1).drop("nth", "place", *heads)
 
 
 def domain_mismatch_examples(domains: DataFrame, emails: DataFrame, n: int = 20) -> DataFrame:
@@ -243,12 +310,12 @@ def domain_mismatch_examples(domains: DataFrame, emails: DataFrame, n: int = 20)
     differ = F.least("minc", "mina") != F.greatest("maxc", "maxa")
     ids = F.broadcast(extremes.where(both & differ).select("id").orderBy("id").limit(n))
 
-    company_order = [F.col("fqdn"), F.asc_nulls_last("country"), F.asc_nulls_last("status_code")]
+    company_order = ["fqdn", "country", "status_code"]
     few_domains = _first_of_each_root(company.join(ids, "id", "left_semi"), "company_root", company_order, n)
-    few_emails = _first_of_each_root(address.join(ids, "id", "left_semi"), "email_root", [F.col("email")], n)
+    few_emails = _first_of_each_root(address.join(ids, "id", "left_semi"), "email_root", ["email"], n)
     pairs = few_domains.join(few_emails, "id").where(F.col("company_root") != F.col("email_root"))
     return (
-        pairs.orderBy("id", *company_order, "email")
+        pairs.orderBy("id", *[F.asc_nulls_last(c) for c in company_order], "email")
         .limit(n)
         .select("id", "country", "status_code", "fqdn", "email", "company_root", "email_root")
     )

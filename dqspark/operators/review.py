@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import row_count
-from ..plans import hot_keys, null_safe_join, salted_join
+from ..plans import null_safe_join, shuffle_partitions
 from .matching import fits, usable_addresses, usable_companies
 
 _ROW = ["id", "name", "company_domain"]
@@ -40,23 +40,21 @@ def _evaluated(hub: DataFrame, emails: DataFrame, n: int) -> tuple[DataFrame, Da
         .agg(row_count().alias("written"))
     )
     spellings = companies.join(F.broadcast(ids.select("id")), "id", "left_semi")
-    hot = hot_keys(ids.select("id", "rows"), "id")
-    pairs = salted_join(addresses, spellings, "id", hot, [F.col("email")])
-    evaluated = pairs.select(*_ROW, "email", fits().alias("fits"), (F.col("copies") * F.col("written")).alias("rows"))
+    # Few companies, all of them large: each is cut into as many splits as there are partitions.
+    splits = shuffle_partitions(emails)
+    left = addresses.withColumn("split", F.pmod(F.xxhash64("email"), F.lit(splits)).cast("int"))
+    right = spellings.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
+    evaluated = left.join(right, ["id", "split"]).select(
+        *_ROW, "email", fits().alias("fits"), (F.col("copies") * F.col("written")).alias("rows")
+    )
     return top, evaluated
 
 
-def _listed(top: DataFrame, evaluated: DataFrame) -> DataFrame:
-    """(id, name, company_domain, fits, email, rows) for the rows of `top`."""
-    wanted = F.broadcast(top.select(*_ROW))  # n rows
-    rows = null_safe_join(evaluated, wanted, _ROW, "left_semi")
-    return rows.groupBy(*_LIST, "email").agg(F.sum("rows").alias("rows"))
-
-
 def domain_match_review_addresses(hub: DataFrame, emails: DataFrame, n: int = 20) -> DataFrame:
     """The review in long form: one row per company row and distinct address, with its number of copies."""
-    listed = _listed(*_evaluated(hub, emails, n))
-    return listed.select(*_ROW, "email", F.col("fits").alias("is_valid_email"), F.col("rows").alias("copies"))
+    top, evaluated = _evaluated(hub, emails, n)
+    listed = null_safe_join(evaluated, F.broadcast(top.select(*_ROW)), _ROW, "left_semi")  # n rows
+    return listed.groupBy(*_ROW, "email", F.col("fits").alias("is_valid_email")).agg(F.sum("rows").alias("copies"))
 
 
 def _whole_lists(rows: DataFrame) -> DataFrame:
@@ -95,17 +93,22 @@ def domain_match_company_review(
     address is left out.
     """
     top, evaluated = _evaluated(hub, emails, n)
-    fitting = F.sum(F.when(F.col("fits"), F.col("rows")).otherwise(0))
-    other = F.sum(F.when(F.col("fits"), 0).otherwise(F.col("rows")))
-    counts = evaluated.groupBy("id").agg(fitting.alias("valid_emails"), other.alias("invalid_emails"))
+    per_list = evaluated.groupBy(*_LIST).agg(
+        F.sum("rows").alias("rows"), F.sum((F.length("email") + 2) * F.col("rows")).alias("chars")
+    )
+    counts = per_list.groupBy("id").agg(
+        F.sum(F.when(F.col("fits"), F.col("rows")).otherwise(0)).alias("valid_emails"),
+        F.sum(F.when(F.col("fits"), 0).otherwise(F.col("rows"))).alias("invalid_emails"),
+    )
     counted = top.join(F.broadcast(counts), "id")  # both at most n rows
 
-    listed = _listed(top, evaluated)
-    chars = F.sum((F.length("email") + 2) * F.col("rows"))
-    lengths = listed.groupBy(*_LIST).agg((chars > list_chars).alias("long"))  # at most 2n rows
-    sized = null_safe_join(listed, F.broadcast(lengths), _LIST)
-    lists = _whole_lists(sized.where(~F.col("long"))).unionByName(
-        _divided_lists(sized.where("long"), list_chars, block)
+    sized = null_safe_join(per_list, F.broadcast(top.select(*_ROW)), _ROW, "left_semi").select(
+        *_LIST, (F.col("chars") > list_chars).alias("long")
+    )
+    listed = null_safe_join(evaluated, F.broadcast(sized), _LIST)  # at most 2n lists
+    listed = listed.groupBy(*_LIST, "long", "email").agg(F.sum("rows").alias("rows"))
+    lists = _whole_lists(listed.where(~F.col("long"))).unionByName(
+        _divided_lists(listed.where("long"), list_chars, block)
     )
     parts = lists.groupBy(*_ROW, "list_part").agg(
         F.max(F.when(F.col("fits"), F.col("text"))).alias("valid_emails_list"),

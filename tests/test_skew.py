@@ -95,3 +95,13 @@ def test_ranks_have_no_gaps(frames):
         assert [m["email_rank"] for m in members] == list(range(1, min(5, members[0]["total_emails_for_company_country"]) + 1))
         scores = [m["priority_score"] for m in members]
         assert scores == sorted(scores, reverse=True)
+
+
+@pytest.mark.parametrize("seed", [7, 8, 9])
+@pytest.mark.parametrize("many", [0, 3])
+def test_companies_with_many_spellings_match_by_tokens(spark, seed, many):
+    data = {name: spark.createDataFrame(rows, DDL[name]) for name, rows in tables(seed=seed).items()}
+    hub, emails = data["persona_hub"], data["emails"]
+    paired = op.domain_match_by_country(hub, emails).collect()
+    assert sum(r["companies_valid"] for r in paired) and sum(r["companies_invalid"] for r in paired)
+    assert op.domain_match_by_country(hub, emails, many=many).collect() == paired
