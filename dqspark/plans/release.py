@@ -58,7 +58,8 @@ def release_metrics(
     noisy = pct(F.count_if(F.col("email_count") > k), row_count())
     volume = pairs.groupBy("country").agg(noisy.alias("share")).agg(F.max("share").alias("gt5_email_country_pct_max"))
 
-    mailed = facts.select("id", F.lit(False).alias("listed"), "filled")
+    # Every branch reads n, or it would need a shuffle of its own without the counts.
+    mailed = facts.select("id", F.lit(False).alias("listed"), (F.col("filled") & (n > 0)).alias("filled"))
     listed = hub.select("id", F.lit(True).alias("listed"), F.lit(False).alias("filled"))
     flags = listed.unionByName(mailed).groupBy("id").agg(
         F.bool_or("listed").alias("listed"), (F.bool_or("filled") & F.col("id").isNotNull()).alias("has_email")
