@@ -73,22 +73,16 @@ def fits() -> Column:
     )
 
 
-def _pieces(text: Column, lengths: Column) -> Column:
-    """All pieces of `text` that have one of the `lengths`."""
-    size = F.length(text)
-    fitting = F.filter(lengths, lambda n: n <= size)
-    return F.flatten(
-        F.transform(fitting, lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(text, i, n)))
-    )
-
-
-def _tagged(kind: str, texts: Column) -> Column:
-    return F.transform(texts, lambda text: F.struct(F.lit(kind).alias("kind"), text.alias("token")))
+def _pieces(text: str, lengths: str) -> str:
+    """SQL for all pieces of the column `text` that have one of the `lengths`."""
+    piece = f"transform(sequence(1, length({text}) - n + 1), i -> substring({text}, i, n))"
+    return f"flatten(transform(filter({lengths}, n -> n <= length({text})), n -> {piece}))"
 
 
-def _tokens(*kinds: tuple[str, Column]) -> Column:
-    """Explode arrays of text into distinct (kind, token) rows."""
-    return F.inline(F.array_distinct(F.concat(*[_tagged(kind, texts) for kind, texts in kinds])))
+def _tokens(**kinds: str) -> Column:
+    """Explode arrays of text, given as SQL, into distinct (kind, token) rows."""
+    tagged = [f"transform({texts}, t -> struct('{kind}' AS kind, t AS token))" for kind, texts in kinds.items()]
+    return F.expr(f"inline(array_distinct(concat({', '.join(tagged)})))")
 
 
 def _match_by_tokens(companies: DataFrame, addresses: DataFrame) -> DataFrame:
@@ -97,32 +91,27 @@ def _match_by_tokens(companies: DataFrame, addresses: DataFrame) -> DataFrame:
     Each clause becomes equality of a token: a dotted suffix for related domains, a piece of the address as
     long as some root or name of the company for the others.
     """
-    root, name = domain_root(F.col("company_domain")), F.col("name_clean")
-    long_name = F.when(F.length(name) >= 4, name)
-    wanted = companies.select(
+    spelled = companies.select(
         "id",
-        _tokens(
-            ("name", F.array("company_domain")),
-            ("below", dotted_suffixes(F.col("company_domain"), proper=True)),
-            ("root", F.array_compact(F.array(F.nullif(root, F.lit(""))))),
-            ("local", F.array_compact(F.array(long_name))),
-        ),
-    ).distinct()
-    lengths = companies.groupBy("id").agg(
-        F.collect_set(F.length(F.nullif(root, F.lit("")))).alias("root_lengths"),
-        F.collect_set(F.length(long_name)).alias("name_lengths"),
+        "company_domain",
+        F.nullif(domain_root(F.col("company_domain")), F.lit("")).alias("root"),
+        F.when(F.length("name_clean") >= 4, F.col("name_clean")).alias("long_name"),
+        dotted_suffixes(F.col("company_domain"), proper=True).alias("parents"),
+    )
+    sought = dict(
+        name="array(company_domain)", below="parents", root="array_compact(array(root))", local="array_compact(array(long_name))"
+    )
+    wanted = spelled.select("id", _tokens(**sought)).distinct()
+    lengths = spelled.groupBy("id").agg(
+        F.collect_set(F.length("root")).alias("root_lengths"), F.collect_set(F.length("long_name")).alias("name_lengths")
     )
     listed = addresses.select("id", "country", "local_part", "email_domain", "local_clean").distinct()
-    offered = listed.join(F.broadcast(lengths), "id").select(  # as few rows as there are such companies
-        "id",
-        "country",
-        _tokens(
-            ("name", dotted_suffixes(F.col("email_domain"))),
-            ("below", F.array("email_domain")),
-            ("root", _pieces(F.col("email_domain"), F.col("root_lengths"))),
-            ("root", _pieces(F.col("local_part"), F.col("root_lengths"))),
-            ("local", _pieces(F.col("local_clean"), F.col("name_lengths"))),
-        ),
+    pieces = f"concat({_pieces('email_domain', 'root_lengths')}, {_pieces('local_part', 'root_lengths')})"
+    found = dict(name="suffixes", below="array(email_domain)", root=pieces, local=_pieces("local_clean", "name_lengths"))
+    offered = (
+        listed.join(F.broadcast(lengths), "id")  # as few rows as there are such companies
+        .withColumn("suffixes", dotted_suffixes(F.col("email_domain")))
+        .select("id", "country", _tokens(**found))
     )
     matched = offered.distinct().join(wanted, ["id", "kind", "token"], "left_semi").select("id", "country").distinct()
     return listed.select("id", "country", F.lit(False).alias("fits")).distinct().unionByName(
