@@ -25,8 +25,9 @@ from ..schemas import require
 from .formats import CLEAN, valid_emails
 
 
-# A company with more spellings of name and domain than this is not paired with its addresses.
-MANY_SPELLINGS = 1000
+# A company with more spellings of name and domain than this is not paired with its addresses: an address
+# has about as many tokens, so that from here on pairs would be more rows than tokens.
+MANY_SPELLINGS = 200
 
 
 # --- six-clause rule: hub domain, root and name against the whole address ---------------------------
@@ -99,7 +100,10 @@ def _match_by_tokens(companies: DataFrame, addresses: DataFrame) -> DataFrame:
         dotted_suffixes(F.col("company_domain"), proper=True).alias("parents"),
     )
     sought = dict(
-        name="array(company_domain)", below="parents", root="array_compact(array(root))", local="array_compact(array(long_name))"
+        name="array(company_domain)",
+        below="parents",
+        root="array_compact(array(root))",
+        local="array_compact(array(long_name))",
     )
     wanted = spelled.select("id", _tokens(**sought)).distinct()
     lengths = spelled.groupBy("id").agg(
