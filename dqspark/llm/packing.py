@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain, islice
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .work import written
+from .words import mix
 
 TOKENIZER = "word_bpe_49k.json"
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -28,65 +29,105 @@ _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 class Encoder:
-    """Token ids of texts, as little-endian bytes, remembered by piece between white space.
+    """Token ids of texts, remembered by piece between white space.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its pieces in order. Memory
-    is bounded: beyond limit pieces, only the half that was met first stays.
+    The tokenizer drops white space and never joins across it, so a text's ids are those of its pieces in order. Pieces
+    are found and looked up by a 64-bit hash in numpy; those not remembered go to the tokenizer. A slot holds one piece
+    and a newer one takes its place, so memory is bounded.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, slots: int = 1 << 22, most_ids: int = 1 << 23, most_parts: int = 700_000):
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.kept: dict[str, bytes] = {"": b""}
+        self.tokenizer, self.most_parts = Tokenizer.from_file(path), most_parts
         self.parts: dict[str, bytes] = {"": b""}
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
-
-    def _learn_words(self, words: list[str]) -> None:
-        """Lower-case words of letters; each of them ends with the one token that ends a word."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) != len(words):
-            raise ValueError("the tokenizer does not mark the end of words")
-        raw, start = ids.astype("<u4").tobytes(), 0
-        for word, stop in zip(words, (cuts * 4).tolist(), strict=True):
-            self.parts[word] = raw[start:stop]
-            start = stop
-
-    def _whole(self, piece: str) -> bytes:
-        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, pieces: set[str]) -> None:
-        plain = {p: m for p in pieces if (m := _PLAIN.fullmatch(p))}
-        lowered = {p: m[1].lower() for p, m in plain.items()}
-        if words := list({w for w in lowered.values() if w not in self.parts}):
-            self._learn_words(words)
-        for p in pieces:
-            if p in plain:
-                signs = plain[p][2]
-                if signs not in self.parts:
-                    self.parts[signs] = self._whole(signs)
-                self.kept[p] = self.parts[lowered[p]] + self.parts[signs]
-            else:
-                self.kept[p] = self._whole(p)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.kept) > self.limit:
-            self.kept = dict(islice(self.kept.items(), self.limit // 2))
-        if len(self.parts) > self.limit:
+        bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.letters = {ord(c): bytes_of(c)[0][0] for c in map(chr, range(256)) if _PLAIN.fullmatch(c) and c.isalpha()}
+        self.keys, self.places = np.zeros(slots, np.uint64), np.zeros(slots, np.int32)
+        self.pool, self.used = np.zeros(most_ids, np.uint32), 1  # number of ids of a piece, then these; next free place
+        self.shift = np.uint64(64 - (slots - 1).bit_length())
+        self.powers = self.inverses = np.empty(0, np.uint64)
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _learnt(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each of these pieces."""
+        if len(self.parts) > self.most_parts:
             self.parts = {"": b""}
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if missing := set(chain.from_iterable(split)).difference(self.kept):
-            self._learn(missing)
-        return [b"".join(map(self.kept.__getitem__, pieces)) for pieces in split]
+        parts, tokenize, letters, out = self.parts, self.tokenizer.model.tokenize, self.letters, []
+        for piece in pieces:
+            if not (found := _PLAIN.fullmatch(piece)):
+                out.append(self._ids(piece))
+                continue
+            word, signs = found[1].lower(), found[2]
+            if (ids := parts.get(word)) is None:
+                known = [t.id for t in tokenize(word.translate(letters))]
+                ids = parts[word] = pack_ids(f"<{len(known)}I", *known)
+            if signs not in parts:
+                parts[signs] = self._ids(signs)
+            out.append(ids + parts[signs])
+        return out
+
+    def _remember(self, hashes: np.ndarray, pieces: list[str]) -> np.ndarray:
+        """Places in the pool of new pieces."""
+        learnt = self._learnt(pieces)
+        sizes = np.fromiter(map(len, learnt), np.int64, len(learnt)) // 4
+        heads = np.cumsum(sizes + 1) - sizes - 1
+        flat = np.frombuffer(b"".join([x for ids in learnt for x in (pack_ids("<I", len(ids) // 4), ids)]), "<u4")
+        if self.used + len(flat) > len(self.pool):
+            self.keys[:], self.used = 0, 1
+        if self.used + len(flat) > len(self.pool):
+            self.pool = np.zeros(self.used + len(flat), np.uint32)
+        self.pool[self.used : self.used + len(flat)] = flat
+        places = (heads + self.used).astype(np.int32)
+        self.used += len(flat)
+        slots = hashes >> self.shift
+        self.keys[slots], self.places[slots] = hashes, places
+        return places
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of UTF-8 texts. Those of 1 MB are worked on together; the longest piece bounds what a call needs."""
+        joined = b" ".join(texts) + b" "
+        raw = np.frombuffer(joined, np.uint8)
+        space = _SPACE[raw]
+        edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+        if not space[0]:
+            edges = np.append(0, edges)
+        starts, stops = edges[::2], edges[1::2]
+        if len(self.powers) <= len(raw):
+            n = 2 * len(raw) + 2
+            self.powers, self.inverses = (np.cumprod(np.append(np.uint64(1), np.full(n, x, np.uint64))) for x in (_POWER, np.uint64(pow(int(_POWER), -1, 1 << 64))))
+        sums = np.append(np.uint64(0), np.cumsum(_BYTE[raw] * self.powers[: len(raw)]))
+        hashes = mix((sums[stops] - sums[starts]) * self.inverses[starts] + (stops - starts).astype(np.uint64)) | np.uint64(1)
+        slots = hashes >> self.shift
+        places = self.places[slots]
+        missing = np.flatnonzero(self.keys[slots] != hashes)
+        if len(missing):
+            new, first, which = np.unique(hashes[missing], return_index=True, return_inverse=True)
+            where = missing[first]
+            pieces = [joined[a:b].decode() for a, b in zip(starts[where].tolist(), stops[where].tolist(), strict=True)]
+            if self.used + 4 * len(joined) > len(self.pool):  # the pool may start anew: learn every piece of these texts
+                new, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+                pieces = [joined[a:b].decode() for a, b in zip(starts[first].tolist(), stops[first].tolist(), strict=True)]
+                missing = np.arange(len(hashes))
+            places[missing] = self._remember(new, pieces)[which]
+        sizes = self.pool[places].astype(np.int64)
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.pool[np.repeat(places.astype(np.int64) + 1 - (ends - sizes), sizes) + np.arange(total)]
+        bounds = np.cumsum([len(t) + 1 for t in texts])
+        last = np.append(0, ends)[np.searchsorted(starts, bounds)]
+        return np.split(ids, last[:-1])
 
 
 _encoders: dict[str, Encoder] = {}
+_SPACE = np.isin(np.arange(256), [9, 10, 13, 32])
+_POWER = np.uint64(0xD1342543DE82EF95)
+_BYTE = np.random.default_rng(41).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _groups(texts: list[str], most: int = 500_000) -> Iterator[list[str]]:
+def _groups(texts: list[bytes], most: int = 500_000) -> Iterator[list[bytes]]:
     group, size = [], 0
     for text in texts:
         if group and size + len(text) > most:
@@ -112,9 +153,9 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int
         for batch in stream:
             rows = []
             ids = iter(batch.column(0).to_pylist())
-            for group in _groups([t or "" for t in batch.column(1).to_pylist()]):
-                for raw in encoder.encode(group):
-                    doc, raw = next(ids), raw + end
+            for group in _groups([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]):
+                for found in encoder.encode(group):
+                    doc, raw = next(ids), found.astype("<u4").tobytes() + end
                     for n, at in enumerate(range(0, len(raw), step)):
                         part = raw[at : at + step]
                         rows.append((doc, n, at // 4, len(part) // 4, zlib.crc32(part)))
