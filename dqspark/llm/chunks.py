@@ -45,31 +45,34 @@ def chunk_rows(docs: DataFrame, least: int = 20, most: int = 256, bits: int = 4)
     """One row per chunk: digest (high, low), doc_id, number, start and stop in code points, words that begin in it."""
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_digest
+        digest, names = xxhash.xxh3_128_digest, ["high", "low", "doc_id", "chunk", "start", "stop", "words"]
+        columns: list[list[np.ndarray]] = [[], [], [], [], []]
+        digests: list[bytes] = []
+
+        def made() -> pa.RecordBatch:
+            own = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
+            arrays = [np.ascontiguousarray(own[:, 0]), np.ascontiguousarray(own[:, 1]), *(np.concatenate(c) for c in columns)]
+            for x in (digests, *columns):
+                x.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=names)
+
         for batch in stream:
-            columns: list[list] = [[], [], [], [], [], []]
-            digests: list[bytes] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 if not text:
                     continue
                 stops = ends(text, least, most, bits)
-                starts = [0, *stops[:-1]]
-                digests += [digest(text[a:b]) for a, b in zip(starts, stops, strict=True)]
+                digests += [digest(text[a:b]) for a, b in zip([0, *stops[:-1]], stops, strict=True)]
                 at = np.array(stops)
-                raw = np.frombuffer(text, np.uint8)
-                points = np.cumsum(raw & 0xC0 != 0x80)[at - 1]
+                points = np.cumsum(np.frombuffer(text, np.uint8) & 0xC0 != 0x80)[at - 1]
                 inside = np.frombuffer(text.translate(FOLD), np.uint8) != 32
                 words = np.cumsum(inside & ~np.append(False, inside[:-1]))[at - 1]
-                columns[0].append(np.full(len(at), doc))
-                columns[1].append(np.arange(len(at), dtype=np.int32))
-                columns[2].append(np.append(0, points[:-1]))
-                columns[3].append(points)
-                columns[4].append(np.diff(words, prepend=0).astype(np.int32))
-            if digests:
-                own = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
-                made = [own[:, 0], own[:, 1], *(np.concatenate(c) for c in columns[:5])]
-                for at in range(0, len(digests), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c[at : at + 100_000])) for c in made], names=["high", "low", "doc_id", "chunk", "start", "stop", "words"])
+                of = (np.full(len(at), doc), np.arange(len(at), dtype=np.int32), np.append(0, points[:-1]), points, np.diff(words, prepend=0).astype(np.int32))
+                for column, values in zip(columns, of, strict=True):
+                    column.append(values)
+                if len(digests) >= 50_000:
+                    yield made()
+        if digests:
+            yield made()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(batches, _CHUNKS)
 
