@@ -3,7 +3,7 @@
 A document is a weighted set of shingles of five words, weighted by frequency in it and damped inverse document
 frequency. Each of HASHES samples draws one shingle with probability proportional to its weight, alike in alike sets;
 documents that agree in all samples of a band are candidates. A bucket's candidates are compared with its most central
-member instead of with each other, and verified by weighted Jaccard similarity on the whole texts.
+members instead of with each other, and verified by weighted Jaccard similarity on the whole texts.
 """
 
 from __future__ import annotations
@@ -25,18 +25,20 @@ from .words import mix, shingle_hashes, split
 HASHES, BANDS = 24, 8
 #: Document frequencies are counted by bucket of the shingle's hash, as many as Spark's HashingTF has by default.
 BUCKETS = 1 << 18
-_DRAWS = 1 << 16
-_SLOTS = 16
+_DRAWS = 1 << 12
+#: Positions of the samples whose agreement makes a finer bucket, in the second round.
+_FINER = [sorted(x.tolist()) for x in (np.random.default_rng(31).permutation(HASHES)[:5] for _ in range(12))]
 
 
 @cache
-def _draws() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per sample: r and ln c of gamma variates, uniform beta, by a hash of the shingle; the factor of that hash."""
+def _draws() -> tuple[np.ndarray, np.ndarray]:
+    """Per sample and hash of a shingle: r, ln c and r (1 - beta) of gamma and uniform variates, beta, 1 / r; the factor
+    of each sample's hash. The table is small enough for a processor's cache; shingles of one hash rank by their own."""
     random = np.random.default_rng(29)
-    r = random.gamma(2, 1, (HASHES, _DRAWS)).astype(np.float32)
-    c = np.log(random.gamma(2, 1, (HASHES, _DRAWS))).astype(np.float32)
-    beta = random.random((HASHES, _DRAWS), np.float32)
-    return np.maximum(r, 1e-6), c, beta, random.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    r = np.maximum(random.gamma(2, 1, (HASHES, _DRAWS)), 1e-6)
+    log_c, beta = np.log(random.gamma(2, 1, (HASHES, _DRAWS))), random.random((HASHES, _DRAWS))
+    factor = random.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return np.stack([r, log_c - r * (1 - beta), beta, 1 / r], axis=-1).astype(np.float32).reshape(-1, 4), factor
 
 
 def weighted_shingles(text: bytes | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,15 +49,18 @@ def weighted_shingles(text: bytes | None, idf: np.ndarray) -> tuple[np.ndarray,
 
 def signature(found: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """HASHES samples of a non-empty weighted set, each the drawn shingle with its quantised weight."""
-    r, c, beta, factor = _draws()
+    table, factor = _draws()
     log_weight = np.log(weights).astype(np.float32)
     drawn, steps = np.empty(HASHES, np.uint64), np.empty(HASHES)
-    for k in range(HASHES):
-        draw = ((found * factor[k]) >> np.uint64(48)).astype(np.int64)
-        own = r[k][draw]
-        step = np.floor(log_weight / own + beta[k][draw])
-        best = int((c[k][draw] - own * (step - beta[k][draw] + 1)).argmin())
-        drawn[k], steps[k] = found[best], step[best]
+    together = max(1, min(HASHES, 50_000 // len(found)))
+    shift = np.uint64(64 - (_DRAWS - 1).bit_length())
+    for k in range(0, HASHES, together):
+        own = factor[k : k + together, None]
+        at = ((found * own) >> shift).view(np.int64) + np.arange(k, k + len(own))[:, None] * _DRAWS
+        rows = table.take(at, axis=0)
+        step = np.floor(log_weight * rows[..., 3] + rows[..., 2])
+        best = (rows[..., 1] - rows[..., 0] * step).argmin(axis=1)
+        drawn[k : k + together], steps[k : k + together] = found[best], step[np.arange(len(own)), best]
     return mix(drawn ^ mix(steps.astype(np.int64).view(np.uint64))).view(np.int64)
 
 
@@ -117,13 +122,13 @@ def _central(members: DataFrame, *keys: str) -> DataFrame:
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, idf, threshold: float, name: str) -> DataFrame:
     """(node, hub) of the pairs of (node, rep, hub, hub_rep) whose texts are similar.
 
-    The samples are compared first: at the threshold, fewer than 9 of 24 agree with probability 2e-6. Each text is then
+    The samples are compared first: at the threshold, fewer than 12 of 24 agree with probability 4e-4. Each text is then
     sent once per pair, and a hub's text once per 256 of its pairs.
     """
     own = nodes.select("node", "samples")
     agree = F.size(F.filter(F.zip_with("samples", "hub_samples", lambda a, b: a == b), lambda x: x))
     pairs = pairs.join(own, "node").join(own.select(F.col("node").alias("hub"), F.col("samples").alias("hub_samples")), "hub")
-    pairs = written(pairs.where(agree >= 9).select("node", "rep", "hub", "hub_rep"), f"{name}-pairs")
+    pairs = written(pairs.where(agree >= 12).select("node", "rep", "hub", "hub_rep"), f"{name}-pairs")
     parts = pairs.groupBy("hub", "hub_rep").agg(F.ceil(F.count("*") / 256).cast("int").alias("parts"))
     member = pairs.join(parts.select("hub", "parts"), "hub").select(F.col("rep").alias("doc_id"), "node", "hub", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
     hubs = parts.select(F.col("hub_rep").alias("doc_id"), F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
@@ -149,40 +154,43 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, idf, threshol
     return written(sent.mapInArrow(batches, "node binary, hub binary").distinct(), f"{name}-links")
 
 
+def _buckets(nodes: DataFrame, positions: list[list[int]], name: str) -> DataFrame:
+    """(bucket, node, rep, score) of the nodes that share a bucket. score: how many nodes its buckets hold."""
+    keys = F.array(*[F.xxhash64(F.lit(n), *[F.col("samples")[k] for k in own]) for n, own in enumerate(positions)])
+    members = nodes.select("node", "rep", F.explode(keys).alias("bucket"))
+    crowded = members.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    members = written(members.join(crowded, "bucket"), f"{name}-members")
+    score = members.groupBy("node").agg(F.sum("n").alias("score"))
+    return written(members.join(score, "node").select("bucket", "node", "rep", "score"), f"{name}-scores")
+
+
+def _to_centres(members: DataFrame, of: DataFrame) -> DataFrame:
+    """(bucket, node, rep, hub, hub_rep): members of each bucket beside the most central node of it in of."""
+    return members.join(_central(of, "bucket"), "bucket").where(F.col("node") != F.col("hub"))
+
+
 def links(docs: DataFrame, nodes: DataFrame, idf, threshold: float = 0.8) -> DataFrame:
     """(node, hub) of similar texts, so that whoever is similar to a bucket's centre is linked to it.
 
-    In the first round each member of a bucket is compared with the most central one: the member that shares the most
-    buckets with others. Members that are similar to it need no other link. The rest of each bucket goes on: they are
-    compared with the most central of SLOTS random parts of the rest and of the others, until each was such a hub or is
-    linked. So a bucket of m members costs about m comparisons, not their square.
+    In the first round, buckets are the bands. Each member is compared with the most central one, which shares the most
+    buckets with others. Who is not similar to it goes on to the second round, with finer buckets of five samples: the
+    most central of all members and the most central of those that go on are its centres. A bucket of m members costs m
+    comparisons a round, not their square. At the threshold, two texts share a band with probability 0.997 and a finer
+    bucket with 0.99.
     """
     rows = HASHES // BANDS
-    keys = F.array(*[F.xxhash64(F.lit(b), *[F.col("samples")[b * rows + k] for k in range(rows)]) for b in range(BANDS)])
-    members = nodes.select("node", "rep", F.explode(keys).alias("bucket"))
-    crowded = members.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    members = written(members.join(crowded, "bucket"), "near-members")
-    score = members.groupBy("node").agg(F.sum("n").alias("score"))
-    members = written(members.join(score, "node").select("bucket", "node", "rep", "score"), "near-scores")
-    first = members.join(_central(members, "bucket"), "bucket").where(F.col("node") != F.col("hub"))
-    found = _verified(first.select("node", "rep", "hub", "hub_rep").distinct(), nodes, docs, idf, threshold, "near-0")
-    rest = written(first.join(found, ["node", "hub"], "left_anti").select("bucket", "node", "rep"), "near-rest-0")
-    total, used = found, first.select("bucket", F.col("hub").alias("node")).distinct()
-    number = 0
-    while not rest.isEmpty():
-        number += 1
-        scored = members.join(rest.select("bucket").distinct(), "bucket", "left_semi").join(used, ["bucket", "node"], "left_anti")
-        scored = scored.join(rest.select("bucket", "node", F.lit(True).alias("rests")), ["bucket", "node"], "left")
-        scored = scored.select("bucket", "node", "rep", "score", F.coalesce("rests", F.lit(False)).alias("rests"), F.pmod(F.xxhash64("node", F.lit(number)), F.lit(_SLOTS)).alias("slot"))
-        hubs = written(_central(scored, "bucket", "rests", "slot"), f"near-hubs-{number}")
-        pairs = rest.join(hubs, "bucket").where(F.col("node") != F.col("hub")).select("node", "rep", "hub", "hub_rep").distinct()
-        found = _verified(pairs, nodes, docs, idf, threshold, f"near-{number}")
-        total = total.unionByName(found)
-        done = hubs.where("rests").select("bucket", F.col("hub").alias("node"))
-        linked = rest.join(hubs.select("bucket", "hub"), "bucket").join(found, ["node", "hub"], "left_semi").select("bucket", "node")
-        used = written(used.unionByName(hubs.select("bucket", F.col("hub").alias("node"))).distinct(), f"near-used-{number}")
-        rest = written(rest.join(done.unionByName(linked).distinct(), ["bucket", "node"], "left_anti"), f"near-rest-{number}")
-    return total
+    first = _to_centres(*[_buckets(nodes, [list(range(b * rows, (b + 1) * rows)) for b in range(BANDS)], "near-0")] * 2)
+    pairs = ["node", "rep", "hub", "hub_rep"]
+    first = written(first.select(*pairs).distinct(), "near-first")
+    found = _verified(first, nodes, docs, idf, threshold, "near-0")
+    rest = written(first.join(found, ["node", "hub"], "left_anti").select("node").distinct(), "near-rest")
+    taking_part = nodes.join(first.select("node").unionByName(first.select(F.col("hub").alias("node"))).distinct(), "node", "left_semi")
+    finer = _buckets(taking_part, _FINER, "near-1")
+    going_on = written(finer.join(rest, "node", "left_semi"), "near-on")
+    open_buckets = finer.join(going_on.select("bucket").distinct(), "bucket", "left_semi")
+    second = _to_centres(going_on, open_buckets).select(*pairs).unionByName(_to_centres(going_on, going_on).select(*pairs))
+    second = second.distinct().join(first, ["node", "hub"], "left_anti")
+    return found.unionByName(_verified(second, nodes, docs, idf, threshold, "near-1"))
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
