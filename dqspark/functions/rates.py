@@ -15,9 +15,9 @@ def _div(a: Column, b: Column) -> Column:
 
 
 def pct(part: Column, whole: Column) -> Column:
-    """round(100 * part / whole, 2) as double for counts; NULL when `whole` is 0."""
-    a, b = part.cast("bigint"), whole.cast("bigint")
-    return _div(20000 * a + b, F.nullif(2 * b, F.lit(0).cast("bigint"))) / F.lit(100.0)
+    """round(100 * part / whole, 2) as double for counts, also of pairs; NULL when `whole` is 0."""
+    a, b = part.cast("decimal(30,0)"), whole.cast("decimal(30,0)")
+    return _div(20000 * a + b, F.nullif(2 * b, F.lit(0).cast("decimal(30,0)"))) / F.lit(100.0)
 
 
 def ratio2(numerator: Column, denominator: Column) -> Column:

@@ -214,16 +214,23 @@ def domain_match_emails(domains: DataFrame, emails: DataFrame) -> DataFrame:
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("c_own", "c_under", "a_own", "a_under")]
     )
     # `own` counts the name itself, `under` its proper subdomains.
-    related = F.col("a_own") * F.col("c_own") + F.col("a_under") * F.col("c_own") + F.col("a_own") * F.col("c_under")
+    related = _pairs(F.col("a_own") + F.col("a_under"), F.col("c_own")) + _pairs(F.col("a_own"), F.col("c_under"))
     per_id = per_name.groupBy("id").agg(
-        (F.sum("a_own") * F.sum("c_own")).alias("pairs"), F.sum(related).alias("related")
+        _pairs(F.sum("a_own"), F.sum("c_own")).alias("pairs"), F.sum(related).alias("related")
     )
     total, match = F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.sum("related"), F.lit(0))
     return per_id.agg(
-        total.alias("total_valid_emails"), match.alias("domain_match_emails"), pct(match, total).alias("pct_domain_match")
+        total.cast("bigint").alias("total_valid_emails"),
+        match.cast("bigint").alias("domain_match_emails"),
+        pct(match, total).alias("pct_domain_match"),
     )
 
 
+def _pairs(a: Column, b: Column) -> Column:
+    """A product of counts, which a bigint may not hold."""
+    return a.cast("decimal(19,0)") * b.cast("decimal(18,0)")
+
+
 def _suffix_counts(names: DataFrame, side: str) -> DataFrame:
     """(id, name, <side>_own, <side>_under): rows of exactly this name, and of names below it."""
     counted = names.groupBy("id", "name").agg(row_count().alias("rows"))
@@ -262,8 +269,8 @@ def domain_root_match(domains: DataFrame, emails: DataFrame) -> DataFrame:
     )
     per_root = sides.groupBy("id", "root").agg(F.sum("c").alias("c"), F.sum("a").alias("a"))
     per_id = per_root.groupBy("id").agg(
-        (F.sum("c") * F.sum("a")).alias("pairs"),
-        F.sum(F.when(F.col("root") != "", F.col("c") * F.col("a")).otherwise(0)).alias("same"),
+        _pairs(F.sum("c"), F.sum("a")).alias("pairs"),
+        F.sum(F.when(F.col("root") != "", _pairs(F.col("c"), F.col("a"))).otherwise(0)).alias("same"),
     )
     return per_id.agg(pct(F.sum("same"), F.sum("pairs")).alias("match_pct"))
 

@@ -1,9 +1,8 @@
 """Where tables come from and where results go."""
 
-from .logs import append_runs, new_run, read_metrics, read_runs, save_metrics, use_checkpoint_dir
+from .logs import append_runs, new_run, read_metrics, read_runs, save_metrics
 from .tables import jdbc_options, read_files, read_jdbc
 
 __all__ = [
     "append_runs", "jdbc_options", "new_run", "read_files", "read_jdbc", "read_metrics", "read_runs", "save_metrics",
-    "use_checkpoint_dir",
 ]

@@ -6,7 +6,7 @@ touches and no others.
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -18,19 +18,6 @@ from ..schemas import METRIC_LOG, RUN_LOG, require
 RUNS, METRICS = "email_dq_runs", "email_dq_metrics"
 
 
-def use_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only in local mode."""
-    context = spark.sparkContext
-    configured = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="checkpoints-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(configured)
-    return configured
-
-
 def _aligned(df: DataFrame, schema) -> DataFrame:
     present = set(df.columns)
     return df.select(
@@ -75,21 +62,22 @@ def append_runs(runs: DataFrame, root: str) -> None:
     _aligned(runs, RUN_LOG).write.mode("append").parquet(f"{root}/{RUNS}")
 
 
-def save_metrics(metrics: DataFrame, root: str) -> None:
+def save_metrics(metrics: DataFrame, root: str, run_ids: Iterable[str] | None = None) -> None:
     """Insert or replace metric rows by (run_id, metric_key).
 
-    Only the partitions of the runs in `metrics` are read and written. The merged rows are checkpointed
-    first, because their plan reads what the write replaces. Of two writers to one run the last wins.
+    Only the partitions of run_ids are read and written; rows of other runs in `metrics` are not saved. Without run_ids
+    they are those in `metrics`, which are then computed once more. Stored files are replaced after all reads, when the
+    write commits. Of two writers to one run the last wins.
     """
     spark = metrics.sparkSession
-    use_checkpoint_dir(spark)
     if "details" in metrics.columns:
         metrics = metrics.withColumn("details_json", F.to_json("details"))
     new = _aligned(metrics, METRIC_LOG)
-    touched = read_metrics(spark, root).join(new.select("run_id").distinct(), "run_id", "left_semi")
-    merged = upsert_metrics(touched, new).checkpoint()
+    runs = [r["run_id"] for r in new.select("run_id").distinct().collect()] if run_ids is None else list(run_ids)
+    of_runs = F.col("run_id").isin(runs)
     (
-        merged.repartition("run_id")
+        upsert_metrics(read_metrics(spark, root).where(of_runs), new.where(of_runs))
+        .repartition("run_id")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("run_id")

@@ -40,10 +40,10 @@ SELECT o_orderkey AS email_id, o_custkey AS id, 'slug-' || {_O} AS slug,
 FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey JOIN {{nation}} ON c_nationkey = n_nationkey""",
     "domains": f"""
 SELECT id, country, fqdn, website, status_code FROM (
-  SELECT c_custkey AS id, n_name AS country, 'https://www.co' || {_C} || '.com/x' AS fqdn, 'www.co' || {_C} || '.com' AS website,
+  SELECT CASE WHEN c_custkey % 13 = 0 THEN -c_custkey ELSE c_custkey END AS id, n_name AS country, 'https://www.co' || {_C} || '.com/x' AS fqdn, 'www.co' || {_C} || '.com' AS website,
     CASE WHEN c_custkey % 10 < 6 THEN 200 WHEN c_custkey % 10 = 6 THEN 404 WHEN c_custkey % 10 = 7 THEN NULL
       WHEN c_custkey % 10 = 8 THEN 301 ELSE 500 END AS status_code
-  FROM {{customer}} JOIN {{nation}} ON c_nationkey = n_nationkey WHERE c_custkey % 13 <> 0
+  FROM {{customer}} JOIN {{nation}} ON c_nationkey = n_nationkey
   UNION ALL
   SELECT c_custkey, n_name, 'co' || {_C} || '.org', NULL, 200
   FROM {{customer}} JOIN {{nation}} ON c_nationkey = n_nationkey WHERE c_custkey % 17 = 0) u""",

@@ -541,7 +541,7 @@ ROW_FUNCTIONS: dict[str, str] = {
         HUB_EMAILS,
         f"SELECT email_id, {SIX_CLAUSES} AS matched FROM address a JOIN company c ON c.id = a.id",
         company=company().split(" WHERE ")[0],
-        address=address().replace(" AND contains(email, '@')", "").replace(f"WHERE {filled('email')}", "WHERE email IS NOT NULL"),
+        address=address().replace(" AND contains(email, '@')", "").replace(f"WHERE {filled('email')}", "WHERE TRUE"),
     ),
     "country_key": _row_function("emails", "email_id", country=label("country", "UNKNOWN")),
     "status_label": _row_function("emails", "email_id", status=label("verification_status", "NULL")),

@@ -44,7 +44,7 @@ def _hub_and_email(spark: SparkSession, sf_dir: str) -> DataFrame:
         fn.domain_root(domain),
         fn.alnum_clean(F.col("name")),
     )
-    return emails.join(hub, "id").where(email.isNotNull()).select("email_id", matched.alias("matched"))
+    return emails.join(hub, "id").select("email_id", matched.alias("matched"))
 
 
 def _coverage_delta(spark, sf_dir):

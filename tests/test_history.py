@@ -130,3 +130,20 @@ def test_logs_on_disk(spark, tmp_path):
         ("r2", "a"): (3.0, '{"threshold":"5"}'),
         ("r3", "a"): (4.0, None),
     }
+
+
+def test_only_the_given_runs_are_read_and_written(spark, tmp_path):
+    root = str(tmp_path)
+    save_metrics(spark.createDataFrame([("r1", "a", "A", 1.0), ("r2", "a", "A", 2.0)], METRICS), root)
+    save_metrics(spark.createDataFrame([("r1", "a", "A", 5.0), ("r2", "a", "A", 6.0)], METRICS), root, run_ids=["r1"])
+    got = {(r["run_id"], r["value_pct"]) for r in read_metrics(spark, root).collect()}
+    assert got == {("r1", 5.0), ("r2", 2.0)}
+    plan = read_metrics(spark, root).where(F.col("run_id").isin(["r1"]))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "r1" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_pair_counts_beyond_a_long(spark):
+    from dqspark.functions.rates import pct
+
+    row = spark.sql("SELECT cast(5e17 AS decimal(38,0)) AS a, cast(2e18 AS decimal(38,0)) AS b")
+    assert row.select(pct(F.col("a"), F.col("b")).alias("p")).first()["p"] == 25.0
