@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .work import sliced
 from .words import FOLD
 
 _GEAR = np.random.default_rng(5).integers(0, 2**32, 256, dtype=np.uint32)
@@ -56,7 +57,7 @@ def chunk_rows(docs: DataFrame, least: int = 20, most: int = 256, bits: int = 4)
                 x.clear()
             return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=names)
 
-        for batch in stream:
+        for batch in sliced(stream):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 if not text:
                     continue

@@ -150,22 +150,25 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def match_items(docs: DataFrame, items: DataFrame, window: int = 10, block_words: int = 50_000) -> tuple[DataFrame, dict[str, str]]:
-    """docs with its word count, hit word ranges and occurring items, and the names of these three columns.
+def match_items(docs: DataFrame, items: DataFrame, window: int = 10, block_words: int = 50_000, cut: bool = False) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its word count, hit word ranges and occurring items, and the names of these three columns; with cut also
+    the text without the hit ranges, null where there are none.
 
     A null or wordless text has no words and no hits. A null item text is no item; a null item_id still marks words but
     is not listed. Repeated rows count once each in docs; repeated items add nothing. Extra columns pass through; where
     one has the name of a new column, the new one gets underscores in front. Items beyond block_words words go into
     further automata, which the texts pass one after the other.
     """
-    names = {name: fresh(docs, name) for name in ("n_words", "spans", "items")}
+    names = {name: fresh(docs, name) for name in ("n_words", "spans", "items", *["cut_text"] * cut)}
     kinds = [(names["n_words"], T.LongType()), (names["spans"], SPANS), (names["items"], T.ArrayType(T.StringType()))]
+    kinds += [(names["cut_text"], T.StringType())] if cut else []
     for n, automaton in enumerate(_blocks(items, window, block_words)):
         shared = docs.sparkSession.sparkContext.broadcast(automaton)
 
         def compute(texts, *before, shared=shared):
             match, counts, spans, found = shared.value.match, [], [], []
-            for text in texts.cast(pa.binary()).to_pylist():
+            whole = texts.cast(pa.binary()).to_pylist()
+            for text in whole:
                 words = split(text)
                 ranges, of = match(words)
                 counts.append(len(words))
@@ -175,10 +178,11 @@ def match_items(docs: DataFrame, items: DataFrame, window: int = 10, block_words
                 spans = [_merged(a + [(x["start"], x["stop"]) for x in b]) if b else a for a, b in zip(spans, before[1].to_pylist(), strict=True)]
                 found = [sorted({*a, *b}) for a, b in zip(found, before[2].to_pylist(), strict=True)]
             rows = [[{"start": a, "stop": b} for a, b in x] for x in spans]
-            return [pa.array(counts, pa.int64()), pa.array(rows, _ARROW_SPANS), pa.array(found, pa.list_(pa.string()))]
+            made = [pa.array(counts, pa.int64()), pa.array(rows, _ARROW_SPANS), pa.array(found, pa.list_(pa.string()))]
+            return made + ([pa.array([_without(t, x) if x else None for t, x in zip(whole, rows, strict=True)], pa.string())] if cut else [])
 
-        own = list(names.values())
-        docs = add_columns(docs, ["text", *own[: 3 * bool(n)]], kinds, compute, drop=tuple(own[: 3 * bool(n)]))
+        own = list(names.values()) if n else []
+        docs = add_columns(docs, ["text", *own[:3]], kinds, compute, drop=tuple(own))
     return docs, names
 
 
@@ -214,16 +218,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_cover
     A document of whose words more than max_coverage are hit goes whole. Documents without hits stay as they are; see
     match_items for odd rows.
     """
-    matched, name = match_items(docs, items, window)
+    matched, name = match_items(docs, items, window, cut=True)
     hit = F.aggregate(name["spans"], F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
     kept = matched.where(hit <= F.col(name["n_words"]) * max_coverage)
-    cut = fresh(kept, "cut_text")
-
-    def compute(texts, spans):
-        found = spans.to_pylist()
-        return [pa.array([_without(text.as_py().encode(), s) if s else None for text, s in zip(texts, found, strict=True)], pa.string())]
-
-    kept = add_columns(kept, ["text", name["spans"]], [(cut, T.StringType())], compute)
+    cut = name["cut_text"]
     text = F.coalesce(F.col(cut), F.col("text"))
     changed = {"text": text}
     if "n_chars" in docs.columns:

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .work import sliced
+
 #: Element names by their part in a page.
 MAIN = frozenset({"article", "main"})
 HIDDEN = frozenset({"script", "style", "noscript", "template", "title", "textarea", "select", "option", "svg", "math", "iframe", "object", "audio", "video", "canvas", "button"})
@@ -124,7 +126,7 @@ def fit_weights(pages: DataFrame, penalty: float = 200.0) -> dict[str, float]:
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
-        for batch in stream:
+        for batch in sliced(stream):
             for page in batch.column(0).to_pylist():
                 total.update(token_counts(page or ""))
         keys = list(total)
@@ -183,7 +185,7 @@ def extract(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFr
     shared = pages.sparkSession.sparkContext.broadcast(fit_weights(pages) if weights is None else weights)
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
+        for batch in sliced(stream):
             texts = [main_text(page, shared.value) for page in batch.column(2).to_pylist()]
             made = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["page_id", "url", "text", "n_chars"])

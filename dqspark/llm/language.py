@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .folds import HELD_OUT, fold
-from .work import add_columns, fresh
+from .work import add_columns, fresh, sliced
 from .words import FOLD
 
 BUCKETS = 4096
@@ -110,7 +110,7 @@ def fit(docs: DataFrame, sample: int = 3000) -> Model | None:
     picked = known.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share * (1 << 30)).select("text", "lang")
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
+        for batch in sliced(stream):
             counts = [bucket_counts(t) for t in batch.column(0).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([np.minimum(c, 65535).astype("<u2").tobytes() for c in counts], pa.binary())], names=["lang", "counts"])
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .folds import matrix_blocks, summed
-from .work import add_columns, fresh, replace_columns, written
+from .work import add_columns, fresh, replace_columns, sliced, written
 from .words import mix, shingle_hashes, split
 
 HASHES, BANDS = 24, 8
@@ -81,7 +81,7 @@ def fit_idf(docs: DataFrame, damping: float = 0.25) -> np.ndarray:
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS + 64)
-        for batch in stream:
+        for batch in sliced(stream):
             for text in batch.column(0).cast(pa.binary()).to_pylist():
                 total[np.unique(shingle_hashes(text) & np.uint64(BUCKETS - 1)).astype(np.int64)] += 1
                 total[BUCKETS] += 1
@@ -102,7 +102,7 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
     """doc_id, node (digest of the words) and samples of each row; both null where a text has no words."""
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
+        for batch in sliced(stream):
             nodes, samples = [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 node = node_of(text)
@@ -138,7 +138,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, idf, threshol
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, of_hub = None, None
-        for batch in stream:
+        for batch in sliced(stream):
             nodes, hubs = [], []
             for hub, node, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).cast(pa.binary()).to_pylist(), strict=True):
                 if node_of(text) != node:  # another text of the same doc_id

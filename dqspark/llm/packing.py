@@ -19,7 +19,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .work import written
+from .work import sliced, written
 from .words import mix
 
 TOKENIZER = "word_bpe_49k.json"
@@ -36,7 +36,7 @@ class Encoder:
     and a newer one takes its place, so memory is bounded.
     """
 
-    def __init__(self, path: str, slots: int = 1 << 22, most_ids: int = 1 << 23, most_parts: int = 700_000):
+    def __init__(self, path: str, slots: int = 1 << 21, most_ids: int = 1 << 22, most_parts: int = 350_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.most_parts = Tokenizer.from_file(path), most_parts
@@ -150,7 +150,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int
         path = public_tokenizers.path(tokenizer)
         encoder = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
         end, step = np.array([end_id], "<u4").tobytes(), capacity * 4
-        for batch in stream:
+        for batch in sliced(stream):
             rows = []
             ids = iter(batch.column(0).to_pylist())
             for group in _groups([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .work import add_columns, fresh, replace_columns
+from .work import add_columns, fresh, replace_columns, sliced
 
 #: The kinds in their order, and the base patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -190,7 +190,7 @@ def fit(docs: DataFrame) -> Model:
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
-        for batch in stream:
+        for batch in sliced(stream):
             for text in batch.column(0).to_pylist():
                 total.update((k, votes) for _, k, _, _, votes in candidates(text))
         keys = list(total)

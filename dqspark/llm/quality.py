@@ -92,7 +92,7 @@ def with_statistics(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def isotonic(positive: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The non-decreasing rates nearest to positive / n, by pooling adjacent violators; empty bins interpolate."""
+    """The non-decreasing rates nearest to positive / n, by pooling adjacent violators, and lines between the pools' centres."""
     blocks: list[list[float]] = []
     for at in np.flatnonzero(n):
         blocks.append([positive[at], n[at], at * n[at]])
@@ -174,6 +174,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Dat
     """The rows of docs that score at least threshold, unchanged. Repeated rows share their fate."""
     measured, _ = with_statistics(docs.select("doc_id", "text"))
     model = fit(written(measured.select("doc_id", "statistics"), "quality-statistics"), labels)
-    again, name = with_statistics(docs)
-    scored, score = _scored(again, name, model)
+    shared, score = docs.sparkSession.sparkContext.broadcast(model), fresh(docs, "score")
+
+    def compute(texts):
+        made = [statistics(t) for t in texts.cast(pa.binary()).to_pylist()]
+        return [pa.array(shared.value.score(np.array(made, float)) if made else [], pa.float64())]
+
+    scored = add_columns(docs, ["text"], [(score, T.DoubleType())], compute)
     return replace_columns(scored.where(F.col(score) >= threshold), docs, {})

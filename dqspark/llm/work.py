@@ -44,6 +44,13 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def sliced(stream: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches in smaller ones, so that Python objects of few texts are alive at a time."""
+    for batch in stream:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def add_columns(
     df: DataFrame,
     inputs: list[str],
@@ -57,7 +64,7 @@ def add_columns(
     names, kept = schema.fieldNames(), [f.name for f in keep]
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
+        for batch in sliced(stream):
             made = compute(*[batch.column(c) for c in inputs])
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + made, names=names)
 
