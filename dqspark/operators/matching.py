@@ -86,15 +86,14 @@ def _tokens(**kinds: str) -> Column:
     return F.expr(f"inline(array_distinct(concat({', '.join(tagged)})))")
 
 
-def _match_by_tokens(companies: DataFrame, addresses: DataFrame) -> DataFrame:
-    """(id, country, fits) for companies with very many spellings, without pairing spellings and addresses.
+def _by_tokens(companies: DataFrame, addresses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Spellings and addresses, with all their columns, once per (kind, token) that decides on a fit.
 
     Each clause becomes equality of a token: a dotted suffix for related domains, a piece of the address as
     long as some root or name of the company for the others.
     """
     spelled = companies.select(
-        "id",
-        "company_domain",
+        "*",
         F.nullif(domain_root(F.col("company_domain")), F.lit("")).alias("root"),
         F.when(F.length("name_clean") >= 4, F.col("name_clean")).alias("long_name"),
         dotted_suffixes(F.col("company_domain"), proper=True).alias("parents"),
@@ -105,24 +104,44 @@ def _match_by_tokens(companies: DataFrame, addresses: DataFrame) -> DataFrame:
         root="array_compact(array(root))",
         local="array_compact(array(long_name))",
     )
-    wanted = spelled.select("id", _tokens(**sought)).distinct()
     lengths = spelled.groupBy("id").agg(
         F.collect_set(F.length("root")).alias("root_lengths"), F.collect_set(F.length("long_name")).alias("name_lengths")
     )
-    listed = addresses.select("id", "country", "local_part", "email_domain", "local_clean").distinct()
     pieces = f"concat({_pieces('email_domain', 'root_lengths')}, {_pieces('local_part', 'root_lengths')})"
     found = dict(name="suffixes", below="array(email_domain)", root=pieces, local=_pieces("local_clean", "name_lengths"))
     offered = (
-        listed.join(F.broadcast(lengths), "id")  # as few rows as there are such companies
+        addresses.join(F.broadcast(lengths), "id")  # as few rows as there are such companies
         .withColumn("suffixes", dotted_suffixes(F.col("email_domain")))
-        .select("id", "country", _tokens(**found))
+        .select(*addresses.columns, _tokens(**found))
     )
-    matched = offered.distinct().join(wanted, ["id", "kind", "token"], "left_semi").select("id", "country").distinct()
+    return spelled.select(*companies.columns, _tokens(**sought)), offered
+
+
+def _match_by_tokens(companies: DataFrame, addresses: DataFrame) -> DataFrame:
+    """(id, country, fits) for companies with very many spellings, without pairing spellings and addresses."""
+    listed = addresses.select("id", "country", "local_part", "email_domain", "local_clean").distinct()
+    wanted, offered = _by_tokens(companies, listed)
+    token = ["id", "kind", "token"]
+    offered, wanted = offered.select(*token, "country").distinct(), wanted.select(*token).distinct()
+    matched = offered.join(wanted, token, "left_semi").select("id", "country").distinct()
     return listed.select("id", "country", F.lit(False).alias("fits")).distinct().unionByName(
         matched.withColumn("fits", F.lit(True))
     )
 
 
+def fitting_pairs(companies: DataFrame, addresses: DataFrame) -> DataFrame:
+    """(id, fitting): how many pairs of a hub row and an e-mail row of these companies fit.
+
+    Both sides are folded, with `copies` and `written`; a pair is met once per token it shares, counted once.
+    """
+    spelling, address = ["company_domain", "name_clean"], ["local_part", "email_domain", "local_clean"]
+    spelled = companies.groupBy("id", *spelling).agg(F.sum("copies").alias("copies"))
+    listed = addresses.groupBy("id", *address).agg(F.sum("written").alias("written"))
+    wanted, offered = _by_tokens(spelled, listed)
+    hits = wanted.join(offered, ["id", "kind", "token"]).select("id", *spelling, "copies", *address, "written").distinct()
+    return hits.groupBy("id").agg(F.sum(F.col("copies") * F.col("written")).alias("fitting"))
+
+
 def _status_per_company_country(hub: DataFrame, emails: DataFrame, lower_first: bool, many: int) -> DataFrame:
     """(id, country, has_match): does any address of the company in that country fit?
 

@@ -6,81 +6,84 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import row_count
-from ..plans import null_safe_join, shuffle_partitions
-from .matching import fits, usable_addresses, usable_companies
+from ..plans import hot_keys, key_counts, null_safe_join, salted_join
+from .matching import fits, fitting_pairs, usable_addresses, usable_companies
 
 _ROW = ["id", "name", "company_domain"]
 _LIST = [*_ROW, "fits"]
-_PIECES = 1 << 32
+_PREFIX = 6
 
 
-def _evaluated(hub: DataFrame, emails: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """The n (id, name, domain) rows with most (company, address) pairs; all evaluated pairs of their ids.
+def _addresses(emails: DataFrame) -> DataFrame:
+    """The usable addresses of each company, equal ones folded into one with `written`."""
+    return (
+        usable_addresses(emails, False)
+        .groupBy("id", "email", "local_part", "email_domain", "local_clean")
+        .agg(row_count().alias("written"))
+    )
+
 
-    Pairs of an id are the product of two counts, so the ranking joins counts only. The pairs themselves
-    are built for at most n ids, from distinct addresses with their number of rows.
+def _largest(companies: DataFrame, addresses: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """The n ids with most (company, address) pairs, and the n company rows to list.
+
+    Pairs of an id are the product of two counts, so the ranking joins counts only.
     """
-    companies = usable_companies(hub, False, "name")
     per_id = companies.groupBy("id").agg(F.sum("copies").alias("hub_rows"))
-    addressed = usable_addresses(emails, False).groupBy("id").agg(row_count().alias("rows"))
+    addressed = addresses.groupBy("id").agg(F.sum("written").alias("rows"))
     ids = (
         per_id.join(addressed, "id")
-        .select("id", "rows", (F.col("hub_rows") * F.col("rows")).alias("total_emails"))
+        .select("id", (F.col("hub_rows") * F.col("rows")).alias("total_emails"))
         .orderBy(F.desc("total_emails"), "id")
         .limit(n)
     )
-    few = F.broadcast(ids)  # n rows
     order = [F.desc("total_emails"), F.col("id"), F.asc_nulls_last("name"), F.col("company_domain")]
-    top = companies.join(few, "id").select(*_ROW, "total_emails").orderBy(*order).limit(n)
+    top = companies.join(F.broadcast(ids), "id").orderBy(*order).limit(n)  # n rows
+    return ids, top
 
-    addresses = (
-        usable_addresses(emails, False)
-        .join(F.broadcast(ids.select("id")), "id", "left_semi")
-        .groupBy("id", "email", "local_part", "email_domain", "local_clean")
-        .agg(row_count().alias("written"))
-    )
-    spellings = companies.join(F.broadcast(ids.select("id")), "id", "left_semi")
-    # Few companies, all of them large: each is cut into as many splits as there are partitions.
-    splits = shuffle_partitions(emails)
-    left = addresses.withColumn("split", F.pmod(F.xxhash64("email"), F.lit(splits)).cast("int"))
-    right = spellings.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
-    evaluated = left.join(right, ["id", "split"]).select(
-        *_ROW, "email", fits().alias("fits"), (F.col("copies") * F.col("written")).alias("rows")
-    )
-    return top, evaluated
 
+def _evaluated(joined: DataFrame) -> DataFrame:
+    """The verdict and the number of copies of each company row and address that stand beside each other."""
+    return joined.select(*_ROW, "email", fits().alias("fits"), (F.col("copies") * F.col("written")).alias("rows"))
 
-def domain_match_review_addresses(hub: DataFrame, emails: DataFrame, n: int = 20) -> DataFrame:
-    """The review in long form: one row per company row and distinct address, with its number of copies."""
-    top, evaluated = _evaluated(hub, emails, n)
-    listed = null_safe_join(evaluated, F.broadcast(top.select(*_ROW)), _ROW, "left_semi")  # n rows
-    return listed.groupBy(*_ROW, "email", F.col("fits").alias("is_valid_email")).agg(F.sum("rows").alias("copies"))
 
+def domain_match_review_addresses(hub: DataFrame, emails: DataFrame, n: int | None = 20) -> DataFrame:
+    """The review in long form: one row per company row and distinct address, with its number of copies.
+
+    `n=None` lists all company rows; companies with very many addresses are joined in splits.
+    """
+    companies, addresses = usable_companies(hub, False, "name"), _addresses(emails)
+    if n is None:
+        hot = hot_keys(key_counts(emails.select("id"), "id"), "id")
+        joined = salted_join(addresses, companies, "id", hot, [F.col("email")])
+        listed = _evaluated(joined)
+    else:
+        listed = _evaluated(addresses.join(F.broadcast(_largest(companies, addresses, n)[1]), "id"))  # n rows
+    return listed.groupBy(*_ROW, "email", F.col("fits").alias("is_valid_email")).agg(F.sum("rows").alias("copies"))
 
-def _whole_lists(rows: DataFrame) -> DataFrame:
-    text = F.array_join(F.array_repeat("email", F.col("rows").cast("int")), ", ")
-    sorted_text = F.array_sort(F.collect_list(F.struct("email", text.alias("text"))))
-    return rows.groupBy(*_LIST).agg(F.array_join(sorted_text["text"], ", ").alias("text")).withColumn(
-        "list_part", F.lit(0).cast("bigint")
-    )
 
+def _parts(rows: DataFrame, list_chars: int, block: int) -> DataFrame:
+    """(list, list_part, text): sorted lists, cut where the text before an address fills a multiple of `list_chars`.
 
-def _divided_lists(rows: DataFrame, list_chars: int, block: int) -> DataFrame:
-    """Long lists, sorted across partitions; each partition joins its own stretches of them."""
+    What lies before an address follows from the order of the addresses alone: the characters of all lower
+    prefixes, plus those before it within its own prefix. So no task walks a whole list, and the cuts are
+    the same however the rows are partitioned.
+    """
     first = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rows") - 1, F.lit(block).cast("bigint")))
     blocks = rows.withColumn("first", first).withColumn("times", F.least(F.lit(block), F.col("rows") - F.col("first")))
-    stretches = blocks.repartitionByRange(*_LIST, "email", "first").withColumn("stretch", F.spark_partition_id())
+    blocks = blocks.withColumn("prefix", F.substring("email", 1, _PREFIX))
     size = (F.length("email") + 2) * F.col("times")
-    before = Window.partitionBy(*_LIST, "stretch").orderBy("email", "first").rowsBetween(Window.unboundedPreceding, -1)
-    piece = F.call_function("div", F.coalesce(F.sum(size).over(before), F.lit(0)), F.lit(list_chars))
+
+    lower = Window.partitionBy(*_LIST).orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
+    prefixes = blocks.groupBy(*_LIST, "prefix").agg(F.sum(size).alias("chars"))
+    offsets = prefixes.select(*_LIST, "prefix", F.coalesce(F.sum("chars").over(lower), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy(*_LIST, "prefix").orderBy("email", "first").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("offset") + F.coalesce(F.sum(size).over(inside), F.lit(0))
+    placed = null_safe_join(blocks, offsets, [*_LIST, "prefix"])
+    placed = placed.withColumn("list_part", F.call_function("div", before, F.lit(list_chars)))
+
     text = F.array_join(F.array_repeat("email", F.col("times").cast("int")), ", ")
     sorted_text = F.array_sort(F.collect_list(F.struct("email", "first", text.alias("text"))))
-    joined = (
-        stretches.withColumn("piece", piece)
-        .groupBy(*_LIST, "stretch", "piece")
-        .agg(F.array_join(sorted_text["text"], ", ").alias("text"))
-    )
-    return joined.select(*_LIST, "text", (F.col("stretch") * F.lit(_PIECES) + F.col("piece") + 1).alias("list_part"))
+    return placed.groupBy(*_LIST, "list_part").agg(F.array_join(sorted_text["text"], ", ").alias("text"))
 
 
 def domain_match_company_review(
@@ -88,34 +91,28 @@ def domain_match_company_review(
 ) -> DataFrame:
     """The n largest companies with counts and sorted lists of fitting and other addresses.
 
-    A list of up to `list_chars` characters is one string, in the row with `list_part` 0. A longer list
-    takes further rows of the same company, in the order of `list_part`: no cell outgrows a task and no
-    address is left out.
+    Fitting pairs are counted from equal tokens of spellings and addresses; only the n listed rows stand beside
+    addresses. A list goes on in a further row, with the next `list_part`, at each multiple of `list_chars`
+    characters (give or take a block of copies), so that no cell outgrows a task and no address is left out.
     """
-    top, evaluated = _evaluated(hub, emails, n)
-    per_list = evaluated.groupBy(*_LIST).agg(
-        F.sum("rows").alias("rows"), F.sum((F.length("email") + 2) * F.col("rows")).alias("chars")
+    companies, addresses = usable_companies(hub, False, "name"), _addresses(emails)
+    ids, top = _largest(companies, addresses, n)
+    few = F.broadcast(ids.select("id"))  # n rows
+    fitting = fitting_pairs(companies.join(few, "id", "left_semi"), addresses.join(few, "id", "left_semi"))
+    counted = (
+        ids.join(fitting, "id", "left")
+        .withColumn("valid_emails", F.coalesce("fitting", F.lit(0).cast("bigint")))
+        .select("id", "total_emails", "valid_emails", (F.col("total_emails") - F.col("valid_emails")).alias("invalid_emails"))
     )
-    counts = per_list.groupBy("id").agg(
-        F.sum(F.when(F.col("fits"), F.col("rows")).otherwise(0)).alias("valid_emails"),
-        F.sum(F.when(F.col("fits"), 0).otherwise(F.col("rows"))).alias("invalid_emails"),
-    )
-    counted = top.join(F.broadcast(counts), "id")  # both at most n rows
 
-    sized = null_safe_join(per_list, F.broadcast(top.select(*_ROW)), _ROW, "left_semi").select(
-        *_LIST, (F.col("chars") > list_chars).alias("long")
-    )
-    listed = null_safe_join(evaluated, F.broadcast(sized), _LIST)  # at most 2n lists
-    listed = listed.groupBy(*_LIST, "long", "email").agg(F.sum("rows").alias("rows"))
-    lists = _whole_lists(listed.where(~F.col("long"))).unionByName(
-        _divided_lists(listed.where("long"), list_chars, block)
-    )
-    parts = lists.groupBy(*_ROW, "list_part").agg(
+    listed = _evaluated(addresses.join(F.broadcast(top), "id"))
+    listed = listed.groupBy(*_LIST, "email").agg(F.sum("rows").alias("rows"))
+    parts = _parts(listed, list_chars, block).groupBy(*_ROW, "list_part").agg(
         F.max(F.when(F.col("fits"), F.col("text"))).alias("valid_emails_list"),
         F.max(F.when(~F.col("fits"), F.col("text"))).alias("invalid_emails_list"),
     )
     return (
-        null_safe_join(parts, F.broadcast(counted), _ROW)
+        parts.join(F.broadcast(counted), "id")
         .select(
             *_ROW,
             "total_emails",

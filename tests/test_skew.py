@@ -63,6 +63,28 @@ def test_long_lists_are_divided_and_complete(frames):
         assert {p["total_emails"] for p in parts} == {row["total_emails"]}
 
 
+def test_parts_of_lists_do_not_follow_the_partitioning(spark, frames):
+    hub, emails = frames["persona_hub"], frames["emails"]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    try:
+        for partitions in (2, 8, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            found.append(op.domain_match_company_review(hub, emails, list_chars=200, block=3).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] == found[2]
+    assert max(r["list_part"] for r in found[0]) > 0
+
+
+def test_long_form_of_all_companies(frames):
+    hub, emails = frames["persona_hub"], frames["emails"]
+    everything = {tuple(r) for r in op.domain_match_review_addresses(hub, emails, n=None).collect()}
+    some = {tuple(r) for r in op.domain_match_review_addresses(hub, emails, n=3).collect()}
+    assert some < everything
+    assert everything == {tuple(r) for r in op.domain_match_review_addresses(hub, emails, n=100_000).collect()}
+
+
 def test_review_counts_agree_with_long_form(frames):
     hub, emails = frames["persona_hub"], frames["emails"]
     review = {(r["id"], r["name"], r["company_domain"]): r for r in op.domain_match_company_review(hub, emails).collect()}
