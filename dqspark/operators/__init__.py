@@ -8,6 +8,7 @@ from .coverage import (
     coverage_published_by_source,
     coverage_published_total,
     coverage_reconcile,
+    coverage_reconcile_reasons,
     vendor_reachout,
 )
 from .domains import domain_status_distribution, domain_status_summary
@@ -50,6 +51,7 @@ __all__ = [
     "action_items", "action_items_metric", "blocked_examples", "blocked_summary", "breaches", "company_valid_format",
     "composite_metric", "composite_score", "coverage_by_source", "coverage_delta", "coverage_domain_universe",
     "coverage_overall", "coverage_published_by_source", "coverage_published_total", "coverage_reconcile",
+    "coverage_reconcile_reasons",
     "deliverability_distribution", "domain_match_by_country", "domain_match_company_review", "domain_match_emails",
     "domain_match_review_addresses", "domain_match_rollup", "domain_mismatch_examples", "domain_mismatch_pct",
     "domain_root_match", "domain_status_distribution", "domain_status_summary", "duplicate_buckets",

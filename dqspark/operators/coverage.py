@@ -142,6 +142,30 @@ def coverage_reconcile(overall: DataFrame, by_source: DataFrame) -> DataFrame:
     return both.withColumn("matches", ~F.coalesce(differs, F.lit(False)))
 
 
+def coverage_reconcile_reasons(hub: DataFrame) -> DataFrame:
+    """Why the vendor totals of companies exceed the overall total, and by how many.
+
+    An id counts once per vendor there and once overall; rows without an id are one company overall and none
+    per vendor. So `total_difference` is the further vendors of ids minus that company. Ids without a vendor
+    and repeated hub rows are shown too; they alone change neither total.
+    """
+    require(hub, ["id", "source"], "hub")
+    pairs = hub.groupBy("id", "source").agg(row_count().alias("rows"))
+    nameless = ~F.coalesce(non_blank(F.col("source")), F.lit(False))
+    per_id = pairs.groupBy("id").agg(
+        row_count().alias("vendors"), F.bool_or(nameless).alias("nameless"), F.sum(F.col("rows") - 1).alias("repeated")
+    )
+    known, zero = F.col("id").isNotNull(), F.lit(0).cast("bigint")
+    reasons = per_id.agg(
+        F.count_if(known & (F.col("vendors") > 1)).alias("ids_with_several_vendors"),
+        F.coalesce(F.sum(F.when(known, F.col("vendors") - 1)), zero).alias("further_vendors"),
+        F.count_if(~known).alias("companies_without_id"),
+        F.count_if(known & F.col("nameless")).alias("ids_without_vendor"),
+        F.coalesce(F.sum("repeated"), zero).alias("repeated_hub_rows"),
+    )
+    return reasons.withColumn("total_difference", F.col("further_vendors") - F.col("companies_without_id"))
+
+
 def vendor_reachout(by_source: DataFrame, threshold: float = 70) -> DataFrame:
     """Flag the vendors whose share of companies without e-mail reaches the threshold, worst first."""
     require(by_source, ["source", "pct_without_email"], "coverage by source")

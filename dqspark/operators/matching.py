@@ -184,14 +184,17 @@ def domain_match_rollup(
     """`domain_match_by_country` with a grand total row ALL first."""
     status = _status_per_company_country(hub, emails, lower_first, many)
     by_country = status.groupBy("country").agg(row_count().alias("n"), F.count_if("has_match").alias("fit"))
-    # The grand total of an empty input is a row of zeros, so it comes from a global aggregate.
-    total = by_country.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("fit"), F.lit(0)).alias("fit"))
-    rows = total.select(F.lit(0).alias("part"), F.lit("ALL").alias("country"), "n", "fit").unionByName(
-        by_country.select(F.lit(1).alias("part"), "country", "n", "fit")
+    whole = F.grouping("country").cast("int").alias("whole")
+    rolled = by_country.rollup("country").agg(whole, F.sum("n").alias("n"), F.sum("fit").alias("fit"))
+    # The grand total of an empty input is a row of zeros.
+    zero = F.lit(0).cast("bigint")
+    empty = hub.sparkSession.range(1).select(
+        F.lit(None).cast("string").alias("country"), F.lit(1).alias("whole"), zero.alias("n"), zero.alias("fit")
     )
-    order = ["part", F.desc("total_companies"), F.asc_nulls_last("country")]
-    columns = _match_columns(F.col("n"), F.col("fit"))
-    return rows.select("part", "country", *columns).orderBy(*order).drop("part")
+    rows = rolled.unionByName(empty).groupBy("whole", "country").agg(F.sum("n").alias("n"), F.sum("fit").alias("fit"))
+    order = [F.desc("whole"), F.desc("total_companies"), F.asc_nulls_last("country")]
+    named = F.when(F.col("whole") == 1, "ALL").otherwise(F.col("country")).alias("country")
+    return rows.select("whole", named, *_match_columns(F.col("n"), F.col("fit"))).orderBy(*order).drop("whole")
 
 
 def domain_mismatch_pct(by_country: DataFrame) -> DataFrame:

@@ -26,7 +26,6 @@ from ..schemas import require
 # Points per property; role inboxes bring 10 or 7 (see role_score).
 VALID_POINTS, UNIQUE_POINTS, NOT_BLOCKED_POINTS, DOMAIN_POINTS, VERIFIED_POINTS = 50, 15, 15, 10, 5
 _GROUP = ["id", "country"]
-_BROADCAST_GROUPS = 10_000
 
 
 def _best(rows: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "_rank") -> DataFrame:
@@ -100,9 +99,7 @@ def priority_top_emails(
     groups = groups.select(*_GROUP, "fan_out", total).where(total >= min_total)
     group_order = [F.desc("total_emails_for_company_country"), F.asc_nulls_last("id"), F.col("country")]
     if n is not None:
-        groups = groups.orderBy(*group_order).limit(n)
-        if n <= _BROADCAST_GROUPS:
-            groups = F.broadcast(groups)
+        groups = F.broadcast(groups.orderBy(*group_order).limit(n))  # n rows
     rows = null_safe_join(base, groups, _GROUP)
 
     tie = [F.col("email"), F.col("verification_status")]

@@ -286,6 +286,21 @@ OPERATORS: dict[str, str] = {
         + ", ".join(f"cast(sum({c}) AS bigint) AS {c}" for c in COVERAGE_COLUMNS)
         + f" FROM ({BY_SOURCE})",
     ),
+    "coverage_reconcile_reasons": statement(
+        HUB_EMAILS,
+        """SELECT count(*) FILTER (WHERE id IS NOT NULL AND vendors > 1) AS ids_with_several_vendors,
+  cast(coalesce(sum(vendors - 1) FILTER (WHERE id IS NOT NULL), 0) AS bigint) AS further_vendors,
+  count(*) FILTER (WHERE id IS NULL) AS companies_without_id,
+  count(*) FILTER (WHERE id IS NOT NULL AND nameless) AS ids_without_vendor,
+  cast((SELECT coalesce(sum(n - 1), 0) FROM hub_pairs) AS bigint) AS repeated_hub_rows,
+  cast((SELECT sum(total_companies) FROM by_source) - (SELECT count(*) FROM per_company) AS bigint) AS total_difference
+FROM per_id""",
+        per_company=PER_COMPANY,
+        flags=PER_SOURCE,
+        by_source=BY_SOURCE,
+        hub_pairs="SELECT id, source, count(*) AS n FROM persona_hub GROUP BY id, source",
+        per_id=f"SELECT id, count(*) AS vendors, bool_or(NOT {filled('source')}) AS nameless FROM hub_pairs GROUP BY id",
+    ),
     "vendor_reachout": statement(
         HUB_EMAILS,
         """SELECT *, pct_without_email >= 11 AS reach_out_flag, CASE WHEN pct_without_email >= 11 THEN 'Reach out' ELSE 'OK' END

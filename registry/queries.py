@@ -166,6 +166,7 @@ OPERATORS: dict[str, Query] = {
     "coverage_domain_universe": _over(op.coverage_domain_universe, "domains", "emails"),
     "coverage_delta": _coverage_delta,
     "coverage_reconcile": _coverage_reconcile,
+    "coverage_reconcile_reasons": _over(op.coverage_reconcile_reasons, "persona_hub"),
     "vendor_reachout": _vendor_reachout,
     "domain_status_distribution": _over(op.domain_status_distribution, "domains"),
     "domain_status_summary": _over(op.domain_status_summary, "domains"),

@@ -38,6 +38,7 @@ def test_empty_tables_give_null_rates(empty):
     assert tuple(op.domain_mismatch_pct(op.domain_match_by_country(hub, emails)).first()) == (None, None)
     by_source = op.coverage_by_source(hub, emails)
     assert op.coverage_reconcile(op.coverage_overall(hub, emails), by_source).first()["matches"]
+    assert tuple(op.coverage_reconcile_reasons(hub).first()) == (0, 0, 0, 0, 0, 0)
     delta = op.coverage_delta(op.coverage_overall(hub, emails), op.coverage_domain_universe(domains, emails)).first()
     assert (delta["delta_pct_with"], delta["ok"]) == (0.0, True)
     for rows in (

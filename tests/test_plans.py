@@ -46,6 +46,7 @@ def operators(f):
         "coverage_domain_universe": op.coverage_domain_universe(domains, emails),
         "coverage_delta": op.coverage_delta(overall, op.coverage_domain_universe(domains, emails)),
         "coverage_reconcile": op.coverage_reconcile(overall, by_source),
+        "coverage_reconcile_reasons": op.coverage_reconcile_reasons(hub),
         "vendor_reachout": op.vendor_reachout(by_source),
         "domain_status_distribution": op.domain_status_distribution(domains),
         "domain_status_summary": op.domain_status_summary(domains),
