@@ -20,16 +20,11 @@ from ..functions import (
     six_clause_match,
     website_domain,
 )
-from ..plans import hot_keys, key_counts, salted_join
+from ..plans import hot_keys_of, salted_join
 from ..schemas import require
 from .formats import CLEAN, valid_emails
 
 
-# A company with more spellings of name and domain than this is not paired with its addresses: an address
-# has about as many tokens, so that from here on pairs would be more rows than tokens.
-MANY_SPELLINGS = 200
-
-
 # --- six-clause rule: hub domain, root and name against the whole address ---------------------------
 
 
@@ -80,14 +75,18 @@ def _pieces(text: str, lengths: str) -> str:
     return f"flatten(transform(filter({lengths}, n -> n <= length({text})), n -> {piece}))"
 
 
-def _tokens(**kinds: str) -> Column:
-    """Explode arrays of text, given as SQL, into distinct (kind, token) rows."""
+# A token's place among the 64 bits that stand for the tokens of a company.
+_PLACE = "cast(pmod(xxhash64({t}kind, {t}token), 64) AS int)"
+
+
+def _tokens(**kinds: str) -> str:
+    """SQL for the distinct (kind, token) structs of arrays of text."""
     tagged = [f"transform({texts}, t -> struct('{kind}' AS kind, t AS token))" for kind, texts in kinds.items()]
-    return F.expr(f"inline(array_distinct(concat({', '.join(tagged)})))")
+    return f"array_distinct(concat({', '.join(tagged)}))"
 
 
-def _by_tokens(companies: DataFrame, addresses: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Spellings and addresses, with all their columns, once per (kind, token) that decides on a fit.
+def _wanted(companies: DataFrame) -> DataFrame:
+    """Spellings, with all their columns, once per (kind, token) of which an address needs one to fit.
 
     Each clause becomes equality of a token: a dotted suffix for related domains, a piece of the address as
     long as some root or name of the company for the others.
@@ -98,35 +97,37 @@ def _by_tokens(companies: DataFrame, addresses: DataFrame) -> tuple[DataFrame, D
         F.when(F.length("name_clean") >= 4, F.col("name_clean")).alias("long_name"),
         dotted_suffixes(F.col("company_domain"), proper=True).alias("parents"),
     )
-    sought = dict(
+    tokens = _tokens(
         name="array(company_domain)",
         below="parents",
         root="array_compact(array(root))",
         local="array_compact(array(long_name))",
     )
-    lengths = spelled.groupBy("id").agg(
-        F.collect_set(F.length("root")).alias("root_lengths"), F.collect_set(F.length("long_name")).alias("name_lengths")
+    return spelled.select(*companies.columns, F.expr(f"inline({tokens})"))
+
+
+def _sought(wanted: DataFrame) -> DataFrame:
+    """Per company what its addresses need to find their tokens: lengths of roots and names, and 64 bits that
+    rule out most tokens which no spelling has. A row stays small however many spellings there are."""
+
+    def lengths(kind: str) -> Column:
+        return F.collect_set(F.when(F.col("kind") == kind, F.length("token")))
+
+    bits = F.expr(f"bit_or(shiftleft(1L, {_PLACE.format(t='')}))")
+    return wanted.groupBy("id").agg(
+        lengths("root").alias("root_lengths"), lengths("local").alias("name_lengths"), bits.alias("bits")
     )
+
+
+def _offered(with_sought: DataFrame, *columns: str) -> DataFrame:
+    """The columns once per (kind, token) of an address that its company may want; with NULL where there is none."""
     pieces = f"concat({_pieces('email_domain', 'root_lengths')}, {_pieces('local_part', 'root_lengths')})"
-    found = dict(name="suffixes", below="array(email_domain)", root=pieces, local=_pieces("local_clean", "name_lengths"))
-    offered = (
-        addresses.join(F.broadcast(lengths), "id")  # as few rows as there are such companies
-        .withColumn("suffixes", dotted_suffixes(F.col("email_domain")))
-        .select(*addresses.columns, _tokens(**found))
-    )
-    return spelled.select(*companies.columns, _tokens(**sought)), offered
-
-
-def _match_by_tokens(companies: DataFrame, addresses: DataFrame) -> DataFrame:
-    """(id, country, fits) for companies with very many spellings, without pairing spellings and addresses."""
-    listed = addresses.select("id", "country", "local_part", "email_domain", "local_clean").distinct()
-    wanted, offered = _by_tokens(companies, listed)
-    token = ["id", "kind", "token"]
-    offered, wanted = offered.select(*token, "country").distinct(), wanted.select(*token).distinct()
-    matched = offered.join(wanted, token, "left_semi").select("id", "country").distinct()
-    return listed.select("id", "country", F.lit(False).alias("fits")).distinct().unionByName(
-        matched.withColumn("fits", F.lit(True))
+    tokens = _tokens(
+        name="suffixes", below="array(email_domain)", root=pieces, local=_pieces("local_clean", "name_lengths")
     )
+    thinned = f"filter({tokens}, t -> getbit(bits, {_PLACE.format(t='t.')}) = 1)"
+    suffixed = with_sought.withColumn("suffixes", dotted_suffixes(F.col("email_domain")))
+    return suffixed.select(*columns, F.expr(f"inline_outer({thinned})"))
 
 
 def fitting_pairs(companies: DataFrame, addresses: DataFrame) -> DataFrame:
@@ -137,26 +138,27 @@ def fitting_pairs(companies: DataFrame, addresses: DataFrame) -> DataFrame:
     spelling, address = ["company_domain", "name_clean"], ["local_part", "email_domain", "local_clean"]
     spelled = companies.groupBy("id", *spelling).agg(F.sum("copies").alias("copies"))
     listed = addresses.groupBy("id", *address).agg(F.sum("written").alias("written"))
-    wanted, offered = _by_tokens(spelled, listed)
+    wanted = _wanted(spelled)
+    offered = _offered(listed.join(F.broadcast(_sought(wanted)), "id"), *listed.columns)  # a row per company asked for
     hits = wanted.join(offered, ["id", "kind", "token"]).select("id", *spelling, "copies", *address, "written").distinct()
     return hits.groupBy("id").agg(F.sum(F.col("copies") * F.col("written")).alias("fitting"))
 
 
-def _status_per_company_country(hub: DataFrame, emails: DataFrame, lower_first: bool, many: int) -> DataFrame:
+def _status_per_company_country(hub: DataFrame, emails: DataFrame, lower_first: bool) -> DataFrame:
     """(id, country, has_match): does any address of the company in that country fit?
 
-    Only the id column is read to find hot companies. Their addresses are joined in splits, and the
-    aggregation after the join shuffles partial flags, never addresses. A company with more than `many`
-    spellings is matched by tokens, so that its spellings and addresses are not multiplied.
+    All companies are matched alike, by equal tokens of their spellings and their distinct addresses. So the work
+    follows the number of spellings plus the number of addresses, never their product. Addresses of hot companies
+    meet their company in splits; after that, no key has more rows than there are countries.
     """
-    addresses, companies = usable_addresses(emails, lower_first, "country"), usable_companies(hub, lower_first)
-    # At most one in `many` of the hub's rows, and none where ids are unique.
-    wide = F.broadcast(key_counts(companies, "id").where(F.col("rows") > many).select("id"))
-    hot = hot_keys(key_counts(emails.select("id"), "id"), "id")
-    usual = companies.drop("copies").join(wide, "id", "left_anti")
-    paired = salted_join(addresses, usual, "id", hot, [F.col("email")]).select("id", "country", fits().alias("fits"))
-    by_tokens = _match_by_tokens(companies.join(wide, "id", "left_semi"), addresses.join(wide, "id", "left_semi"))
-    return paired.unionByName(by_tokens).groupBy("id", "country").agg(F.bool_or("fits").alias("has_match"))
+    address = ["id", "country", "local_part", "email_domain", "local_clean"]
+    listed = usable_addresses(emails, lower_first, "country").select(*address).distinct()
+    wanted = _wanted(usable_companies(hub, lower_first)).select("id", "kind", "token").distinct()
+    hot = hot_keys_of(emails, "id")
+    joined = salted_join(listed, _sought(wanted), "id", hot, [F.col(c) for c in address[1:]])
+    offered = _offered(joined, "id", "country").distinct()
+    met = offered.join(wanted.withColumn("met", F.lit(True)), ["id", "kind", "token"], "left")
+    return met.groupBy("id", "country").agg(F.bool_or(F.coalesce("met", F.lit(False))).alias("has_match"))
 
 
 def _match_columns(total: Column, fitting: Column) -> list[Column]:
@@ -169,20 +171,16 @@ def _match_columns(total: Column, fitting: Column) -> list[Column]:
     ]
 
 
-def domain_match_by_country(
-    hub: DataFrame, emails: DataFrame, lower_first: bool = False, many: int = MANY_SPELLINGS
-) -> DataFrame:
+def domain_match_by_country(hub: DataFrame, emails: DataFrame, lower_first: bool = False) -> DataFrame:
     """Companies per country with at least one address that passes the six-clause rule."""
-    status = _status_per_company_country(hub, emails, lower_first, many)
+    status = _status_per_company_country(hub, emails, lower_first)
     by_country = status.groupBy("country").agg(*_match_columns(row_count(), F.count_if("has_match")))
     return by_country.orderBy(F.desc("total_companies"), F.asc_nulls_last("country"))
 
 
-def domain_match_rollup(
-    hub: DataFrame, emails: DataFrame, lower_first: bool = False, many: int = MANY_SPELLINGS
-) -> DataFrame:
+def domain_match_rollup(hub: DataFrame, emails: DataFrame, lower_first: bool = False) -> DataFrame:
     """`domain_match_by_country` with a grand total row ALL first."""
-    status = _status_per_company_country(hub, emails, lower_first, many)
+    status = _status_per_company_country(hub, emails, lower_first)
     by_country = status.groupBy("country").agg(row_count().alias("n"), F.count_if("has_match").alias("fit"))
     whole = F.grouping("country").cast("int").alias("whole")
     rolled = by_country.rollup("country").agg(whole, F.sum("n").alias("n"), F.sum("fit").alias("fit"))

@@ -3,7 +3,8 @@
 A key is hot when it holds more rows than an average shuffle partition. With P partitions there are
 fewer than P hot keys, so the frame of hot keys is small enough to broadcast whatever the data size.
 Each hot key is cut into as many splits as it fills average partitions, and the other side repeats its
-rows for that key once per split: at most 2P further rows when the key is unique there.
+rows for that key once per split: at most 2P further rows when the key is unique there. Choose
+`spark.sql.shuffle.partitions` with the data: with 200 partitions for 100 TB, a key is hot above 500 GB only.
 """
 
 from __future__ import annotations
@@ -23,9 +24,29 @@ def hot_keys(counts: DataFrame, key: str, rows: str = "rows") -> DataFrame:
     parts = shuffle_partitions(counts)
     total = counts.agg(F.sum(rows)).scalar()
     share = F.col(rows) * parts / total
-    return counts.where(F.col(key).isNotNull()).select(key, F.ceil(share).cast("int").alias(_SPLITS)).where(
-        F.col(_SPLITS) > 1
+    hot = counts.where(F.col(key).isNotNull() & (share > 1)).select(F.struct(key, F.ceil(share).cast("int")).alias("entry"))
+    return _unfolded(hot.agg(F.map_from_entries(F.collect_list("entry"))), key)
+
+
+def hot_keys_of(df: DataFrame, key: str) -> DataFrame:
+    """(key, _splits) for the hot keys of rows that are read once for it: keys and total come from one rollup."""
+    parts = shuffle_partitions(df)
+    counts = df.rollup(key).agg(F.grouping(key).alias("whole"), F.count(F.lit(1)).alias("rows"))
+    # The total, a NULL key, and fewer than `parts` hot keys.
+    few = counts.orderBy(F.desc("whole"), F.desc("rows"), key).limit(parts + 1)
+    found = few.agg(
+        F.max(F.when(F.col("whole") == 1, F.col("rows"))).alias("total"),
+        F.collect_list(F.when((F.col("whole") == 0) & F.col(key).isNotNull(), F.struct(key, "rows"))).alias("found"),
     )
+    hot = F.filter("found", lambda x: x["rows"] * parts > F.col("total"))
+    entries = F.transform(hot, lambda x: F.struct(x[key], F.ceil(x["rows"] * parts / F.col("total")).cast("int")))
+    return _unfolded(found.select(F.map_from_entries(entries)), key)
+
+
+def _unfolded(one_map: DataFrame, key: str) -> DataFrame:
+    """The entries of a single map as rows. It is a scalar subquery, which Spark runs once for all its uses."""
+    one = one_map.sparkSession.range(0, 1, 1, 1)
+    return one.select(F.explode(one_map.scalar()).alias(key, _SPLITS))
 
 
 def key_counts(df: DataFrame, key: str) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dqspark import operators as op
-from dqspark.plans import hot_keys, key_counts, null_safe_join, salted_join
+from dqspark.plans import hot_keys, hot_keys_of, key_counts, null_safe_join, salted_join
 
 from .adversarial import DDL, HOT, tables
 
@@ -119,10 +119,42 @@ def test_ranks_have_no_gaps(frames):
         assert scores == sorted(scores, reverse=True)
 
 
-@pytest.mark.parametrize("seed, many", [(7, 0), (8, 3), (9, 0)])
-def test_companies_with_many_spellings_match_by_tokens(spark, seed, many):
-    data = {name: spark.createDataFrame(rows, DDL[name]) for name, rows in tables(seed=seed).items()}
-    hub, emails = data["persona_hub"], data["emails"]
-    paired = op.domain_match_by_country(hub, emails).collect()
-    assert sum(r["companies_valid"] for r in paired) and sum(r["companies_invalid"] for r in paired)
-    assert op.domain_match_by_country(hub, emails, many=many).collect() == paired
+@pytest.mark.parametrize("partitions", [2, 8, 64])
+def test_hot_keys_of_rows_equal_those_of_counts(spark, frames, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        for emails in (frames["emails"], frames["emails"].limit(0)):
+            of_rows = sorted(map(tuple, hot_keys_of(emails, "id").collect()))
+            assert of_rows == sorted(map(tuple, hot_keys(key_counts(emails, "id"), "id").collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_one_company_of_many_spellings_and_addresses(spark):
+    many = 10_000
+    hub = spark.range(many).select(
+        F.lit(1).cast("bigint").alias("id"),
+        F.concat(F.lit("firm"), "id").alias("name"),
+        F.concat(F.lit("host"), "id", F.lit(".com")).alias("fqdn"),
+    )
+    address = F.concat(F.lit("p"), "id", F.lit("@mail"), "id", F.lit(".org"))
+    fitting = F.concat(F.lit("p@sub.host"), "id", F.lit(".com"))
+    emails = spark.range(many).select(
+        F.lit(1).cast("bigint").alias("id"),
+        F.when(F.col("id") % 2 == 0, "A").otherwise("B").alias("country"),
+        F.when(F.col("id") % 1000 == 1, fitting).otherwise(address).alias("email"),
+    )
+    rows = {r["country"]: r["companies_valid"] for r in op.domain_match_by_country(hub, emails).collect()}
+    assert rows == {"A": 0, "B": 1}
+
+
+def test_match_reads_the_emails_twice(spark, frames, tmp_path):
+    frames["emails"].write.parquet(str(tmp_path / "emails"))
+    emails = spark.read.parquet(str(tmp_path / "emails"))
+    for operator in (op.domain_match_by_country, op.domain_match_rollup):
+        df = operator(frames["persona_hub"], emails)
+        df.collect()
+        text = df._jdf.queryExecution().executedPlan().toString()
+        final = text.split("== Initial Plan ==")[0]
+        assert final.count("FileScan parquet") <= 2
