@@ -40,6 +40,7 @@ from .metrics import (
     metric_frame,
     metrics_from_wide,
     release_change,
+    release_volume_change,
     with_severity,
 )
 from .ranking import priority_top_emails
@@ -57,6 +58,6 @@ __all__ = [
     "domain_root_match", "domain_status_distribution", "domain_status_summary", "duplicate_buckets",
     "duplicate_summary", "duplicate_top", "email_format_distribution", "email_volume_by_country",
     "email_volume_examples", "email_volume_worst_country", "invalid_email_examples", "metric_frame",
-    "metrics_from_wide", "priority_top_emails", "release_change", "release_trend", "unique_duplicate_count",
+    "metrics_from_wide", "priority_top_emails", "release_change", "release_volume_change", "release_trend", "unique_duplicate_count",
     "upsert_metrics", "vendor_reachout", "with_severity",
 ]

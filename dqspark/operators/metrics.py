@@ -205,29 +205,40 @@ def composite_metric(scores: DataFrame) -> DataFrame:
     )
 
 
-def release_change(runs: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Each metric next to its value in the run before, and the difference.
+def _beside_previous(runs: DataFrame, metrics: DataFrame, value: str, prev: str) -> DataFrame:
+    """(metric_key, run_ts, value, prev): each value next to that of the same metric in the run before.
 
     History is cut by month: within a month the previous row is a window away, and the first row of a
     month takes the last row of the month before that has one. No task sees more than one month of a key.
     """
     require(runs, ["run_id", "run_ts"], "runs")
-    require(metrics, ["run_id", "metric_key", "value_pct"], "metrics")
+    require(metrics, ["run_id", "metric_key", value], "metrics")
     history = metrics.join(runs.select("run_id", "run_ts"), "run_id").select(
-        "metric_key", "run_ts", "run_id", "value_pct", F.trunc("run_ts", "MM").alias("month")
+        "metric_key", "run_ts", "run_id", value, F.trunc("run_ts", "MM").alias("month")
     )
     order = ["run_ts", "run_id"]
     inside = Window.partitionBy("metric_key", "month").orderBy(*order)
-    stamped = history.withColumn("nth", F.row_number().over(inside)).withColumn(
-        "inside_pct", F.lag("value_pct").over(inside)
-    )
-    last = history.groupBy("metric_key", "month").agg(F.max_by(F.struct("value_pct"), F.struct(*order)).alias("last"))
+    stamped = history.withColumn("nth", F.row_number().over(inside)).withColumn("inside", F.lag(value).over(inside))
+    last = history.groupBy("metric_key", "month").agg(F.max_by(F.struct(value), F.struct(*order)).alias("last"))
     months = Window.partitionBy("metric_key").orderBy("month")
-    carried = last.select("metric_key", "month", F.lag("last").over(months)["value_pct"].alias("carried_pct"))
-    prev = F.when(F.col("nth") == 1, F.col("carried_pct")).otherwise(F.col("inside_pct"))
-    return (
-        stamped.join(carried, ["metric_key", "month"])
-        .select("metric_key", "run_ts", "value_pct", prev.alias("prev_pct"))
-        .withColumn("change", F.round(F.col("value_pct") - F.col("prev_pct"), 6))
-        .orderBy("metric_key", "run_ts")
-    )
+    carried = last.select("metric_key", "month", F.lag("last").over(months)[value].alias("carried"))
+    before = F.when(F.col("nth") == 1, F.col("carried")).otherwise(F.col("inside"))
+    return stamped.join(carried, ["metric_key", "month"]).select("metric_key", "run_ts", value, before.alias(prev))
+
+
+def release_change(runs: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Each metric next to its value in the run before, and the difference."""
+    change = F.round(F.col("value_pct") - F.col("prev_pct"), 6).alias("change")
+    return _beside_previous(runs, metrics, "value_pct", "prev_pct").select("*", change).orderBy("metric_key", "run_ts")
+
+
+def release_volume_change(runs: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Each count next to that of the run before, with the difference and the growth in percent.
+
+    The growth is NULL where the count before was zero or is missing. Metrics without a count are left out.
+    """
+    require(metrics, ["value_num"], "metrics")
+    beside = _beside_previous(runs, metrics.where(F.col("value_num").isNotNull()), "value_num", "prev_num")
+    change = F.col("value_num") - F.col("prev_num")
+    growth = F.round(100 * change / F.nullif(F.col("prev_num"), F.lit(0.0)), 6)
+    return beside.select("*", change.alias("change"), growth.alias("change_pct")).orderBy("metric_key", "run_ts")

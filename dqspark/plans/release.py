@@ -83,3 +83,35 @@ def release_metrics(
         ]
     )
     return metrics_from_wide(wide, run_id, thresholds)
+
+
+VOLUME_LABELS = {
+    "companies_num": "Volume: companies",
+    "emails_num": "Volume: emails",
+    "valid_emails_num": "Volume: emails of valid format",
+    "domains_num": "Volume: domain rows",
+}
+
+
+def release_volumes(hub: DataFrame, emails: DataFrame, domains: DataFrame, run_id: str) -> DataFrame:
+    """The counts of a run as metric rows with `value_num`, for `release_volume_change`."""
+    require(hub, ["id"], "hub")
+    require(emails, ["email"], "emails")
+    good = format_status(email_clean(F.col("email"))) == "valid"
+    counted = side_by_side(
+        [
+            hub.agg(F.count_distinct("id").alias("companies_num")),
+            emails.agg(
+                F.count_if(non_blank(F.col("email"))).alias("emails_num"), F.count_if(good).alias("valid_emails_num")
+            ),
+            domains.agg(row_count().alias("domains_num")),
+        ]
+    )
+    rows = [
+        F.struct(
+            F.lit(key).alias("metric_key"), F.lit(label).alias("metric_label"), F.col(key).cast("double").alias("value_num")
+        )
+        for key, label in VOLUME_LABELS.items()
+    ]
+    long = counted.select(F.lit(run_id).alias("run_id"), F.inline(F.array(*rows)))
+    return long.select("*", F.lit(None).cast("double").alias("value_pct"), F.lit("info").alias("severity"))

@@ -478,6 +478,14 @@ ORDER BY email_count DESC, id LIMIT 20""",
     "priority_top_emails_deduped": ranking(50, dedupe=True),
     "metric_frame": metrics_sql(),
     "release_metrics": metrics_sql(),
+    "release_volumes": statement(
+        ["persona_hub", "emails", "domains"],
+        f"""SELECT 'release-1' AS run_id, metric_key, metric_label, cast(n AS double) AS value_num, cast(NULL AS double) AS value_pct, 'info' AS severity
+FROM (SELECT 'companies_num' AS metric_key, 'Volume: companies' AS metric_label, (SELECT count(DISTINCT id) FROM persona_hub) AS n
+  UNION ALL SELECT 'emails_num', 'Volume: emails', (SELECT count(*) FROM emails WHERE {filled('email')})
+  UNION ALL SELECT 'valid_emails_num', 'Volume: emails of valid format', (SELECT count(*) FROM emails WHERE {valid(CLEAN)})
+  UNION ALL SELECT 'domains_num', 'Volume: domain rows', (SELECT count(*) FROM domains))""",
+    ),
     "with_severity": statement(["dq_metrics"], GRADED),
     "breaches": statement(["dq_metrics"], BREACHED, graded=GRADED),
     "action_items": statement(
@@ -509,6 +517,12 @@ FROM dq_runs r JOIN composite c USING (run_id) WHERE c.composite_score IS NOT NU
         points=POINTS,
         composite=COMPOSITE,
     ),
+    "release_volume_change": statement(
+        ["dq_runs", "dq_metrics"],
+        """SELECT metric_key, run_id AS run_ts, value_pct AS value_num, lag(value_pct) OVER w AS prev_num,
+  value_pct - lag(value_pct) OVER w AS change, round(100 * (value_pct - lag(value_pct) OVER w) / nullif(lag(value_pct) OVER w, 0), 6) AS change_pct
+FROM dq_runs JOIN dq_metrics USING (run_id) WHERE value_pct IS NOT NULL WINDOW w AS (PARTITION BY metric_key ORDER BY run_id)""",
+    ),
     "release_change": statement(
         ["dq_runs", "dq_metrics"],
         """SELECT metric_key, run_id AS run_ts, value_pct, lag(value_pct) OVER w AS prev_pct,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dqspark import functions as fn
 from dqspark import operators as op
-from dqspark.plans.release import release_metrics
+from dqspark.plans.release import release_metrics, release_volumes
 
 from .fixtures import view
 
@@ -138,6 +138,15 @@ def _upserted(spark, sf_dir):
     return op.upsert_metrics(stored, halved.unionByName(scores))
 
 
+def _release_volumes(spark, sf_dir):
+    return release_volumes(*(view(spark, sf_dir, v) for v in ("persona_hub", "emails", "domains")), RUN_ID)
+
+
+def _release_volume_change(spark, sf_dir):
+    counts = view(spark, sf_dir, "dq_metrics").withColumnRenamed("value_pct", "value_num")
+    return op.release_volume_change(_runs(spark, sf_dir), counts)
+
+
 def _release_trend(spark, sf_dir):
     return op.release_trend(_runs(spark, sf_dir), op.composite_metric(_composite(spark, sf_dir)))
 
@@ -203,6 +212,7 @@ OPERATORS: dict[str, Query] = {
     ),
     "metric_frame": _metric_frame,
     "release_metrics": _release_metrics,
+    "release_volumes": _release_volumes,
     "with_severity": _with_severity,
     "breaches": _breached,
     "action_items": _action_items,
@@ -211,6 +221,7 @@ OPERATORS: dict[str, Query] = {
     "upsert_metrics": _upserted,
     "release_trend": _release_trend,
     "release_change": _release_change,
+    "release_volume_change": _release_volume_change,
 }
 
 ROW_FUNCTIONS: dict[str, Query] = {
