@@ -3,7 +3,8 @@
 A document is a weighted set of shingles of five words, weighted by frequency in it and damped inverse document
 frequency. Each of HASHES samples draws one shingle with probability proportional to its weight, alike in alike sets;
 documents that agree in all samples of a band are candidates. A bucket's candidates are compared with its most central
-members instead of with each other, and verified by weighted Jaccard similarity on the whole texts.
+members first; whoever that does not join to the rest of a bucket is compared with all of it, in blocks of bounded size.
+Candidates are verified by weighted Jaccard similarity on the whole texts.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ HASHES, BANDS = 24, 8
 #: Document frequencies are counted by bucket of the shingle's hash, as many as Spark's HashingTF has by default.
 BUCKETS = 1 << 18
 _DRAWS = 1 << 12
+#: Candidates agree in so many samples.
+_AGREE = 12
+#: A block of a bucket's members has about so many rows and bytes of text at most.
+_BLOCK_ROWS, _BLOCK_BYTES = 500, 2_000_000
 #: Positions of the samples whose agreement makes a finer bucket, in the second round.
 _FINER = [sorted(x.tolist()) for x in (np.random.default_rng(31).permutation(HASHES)[:5] for _ in range(12))]
 
@@ -99,18 +104,19 @@ def node_of(text: bytes | None) -> bytes | None:
 
 
 def signatures(docs: DataFrame, idf) -> DataFrame:
-    """doc_id, node (digest of the words) and samples of each row; both null where a text has no words."""
+    """doc_id, node (digest of the words), samples and bytes of each row; node and samples null where a text has no words."""
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(stream):
-            nodes, samples = [], []
+            nodes, samples, sizes = [], [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 node = node_of(text)
+                sizes.append(len(text or b""))
                 nodes.append(node)
                 samples.append(signature(*weighted_shingles(text, idf.value)) if node else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(samples, pa.list_(pa.int64()))], names=["doc_id", "node", "samples"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(samples, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], names=["doc_id", "node", "samples", "size"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(batches, "doc_id long, node binary, samples array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(batches, "doc_id long, node binary, samples array<long>, size long")
 
 
 def _central(members: DataFrame, *keys: str) -> DataFrame:
@@ -128,7 +134,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, idf, threshol
     own = nodes.select("node", "samples")
     agree = F.size(F.filter(F.zip_with("samples", "hub_samples", lambda a, b: a == b), lambda x: x))
     pairs = pairs.join(own, "node").join(own.select(F.col("node").alias("hub"), F.col("samples").alias("hub_samples")), "hub")
-    pairs = written(pairs.where(agree >= 12).select("node", "rep", "hub", "hub_rep"), f"{name}-pairs")
+    pairs = written(pairs.where(agree >= _AGREE).select("node", "rep", "hub", "hub_rep"), f"{name}-pairs")
     parts = pairs.groupBy("hub", "hub_rep").agg(F.ceil(F.count("*") / 256).cast("int").alias("parts"))
     member = pairs.join(parts.select("hub", "parts"), "hub").select(F.col("rep").alias("doc_id"), "node", "hub", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
     hubs = parts.select(F.col("hub_rep").alias("doc_id"), F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
@@ -155,13 +161,13 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, idf, threshol
 
 
 def _buckets(nodes: DataFrame, positions: list[list[int]], name: str) -> DataFrame:
-    """(bucket, node, rep, score) of the nodes that share a bucket. score: how many nodes its buckets hold."""
+    """(bucket, band, node, rep, score) of the nodes that share a bucket. score: how many nodes its buckets hold."""
     keys = F.array(*[F.xxhash64(F.lit(n), *[F.col("samples")[k] for k in own]) for n, own in enumerate(positions)])
-    members = nodes.select("node", "rep", F.explode(keys).alias("bucket"))
+    members = nodes.select("node", "rep", F.posexplode(keys).alias("band", "bucket"))
     crowded = members.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     members = written(members.join(crowded, "bucket"), f"{name}-members")
     score = members.groupBy("node").agg(F.sum("n").alias("score"))
-    return written(members.join(score, "node").select("bucket", "node", "rep", "score"), f"{name}-scores")
+    return written(members.join(score, "node").select("bucket", "band", "node", "rep", "score"), f"{name}-scores")
 
 
 def _to_centres(members: DataFrame, of: DataFrame) -> DataFrame:
@@ -169,17 +175,132 @@ def _to_centres(members: DataFrame, of: DataFrame) -> DataFrame:
     return members.join(_central(of, "bucket"), "bucket").where(F.col("node") != F.col("hub"))
 
 
+def _grouped(stream: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list]]:
+    """The columns, as lists, of rows in succession that agree in the first columns."""
+    held, of = None, None
+    for batch in sliced(stream):
+        columns = [c.to_pylist() for c in batch.columns]
+        heads = list(zip(*columns[:keys], strict=True))
+        at = 0
+        while at < len(heads):
+            stop = at + 1
+            while stop < len(heads) and heads[stop] == heads[at]:
+                stop += 1
+            part = [c[at:stop] for c in columns]
+            if heads[at] == of:
+                for own, more in zip(held, part, strict=True):
+                    own += more
+            else:
+                if held:
+                    yield held
+                held, of = part, heads[at]
+            at = stop
+    if held:
+        yield held
+
+
+def _sides(group: list[list]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the left and the right block of a group, its samples and labels."""
+    part = np.array(group[4])
+    return np.flatnonzero(part == group[1][0]), np.flatnonzero(part == group[2][0]), np.array(group[6], np.int64), np.array(group[7], np.int64)
+
+
+def _candidates(x: np.ndarray, left: np.ndarray, right: np.ndarray, samples: np.ndarray, labels: np.ndarray, band: int) -> np.ndarray:
+    """Of right, the rows to compare with row x of left: not joined to it yet, alike in the samples, in no bucket together before this band."""
+    equal = samples[right] == samples[x]
+    shared = equal.reshape(len(right), BANDS, -1).all(axis=2)
+    chosen = (equal.sum(axis=1) >= _AGREE) & (labels[right] != labels[x]) & ~shared[:, :band].any(axis=1)
+    return right[chosen & (right > x)] if left[0] == right[0] else right[chosen]
+
+
+def _pairs_to_read(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each pair of blocks that have a candidate in it."""
+    names = ["bucket", "left", "right", "band", "part", "node", "samples", "label", "rep"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+    for group in _grouped(stream, 3):
+        left, right, samples, labels = _sides(group)
+        chosen: set[int] = set()
+        for x in left.tolist() if len(right) else ():
+            if len(found := _candidates(x, left, right, samples, labels, group[3][0])):
+                chosen |= {x, *found.tolist()}
+        if chosen:
+            yield pa.RecordBatch.from_arrays([pa.array([c[k] for k in sorted(chosen)], kind) for c, kind in zip(group, kinds, strict=True)], names=names)
+
+
+def _joined(sets: list[tuple[np.ndarray, np.ndarray]], group: list[list], threshold: float) -> Iterator[tuple[int, int]]:
+    """Rows that are similar, and enough of them to join whoever is similar in this pair of blocks."""
+    left, right, samples, labels = _sides(group)
+    lengths = np.array([len(found) for found, _ in sets])
+    starts = np.cumsum(lengths) - lengths
+    _, at = np.unique(np.concatenate([found for found, _ in sets]), return_inverse=True)
+    weights, own = np.concatenate([w for _, w in sets]), np.zeros(at.max() + 1)
+    totals = np.add.reduceat(weights, starts)
+    for x in left.tolist() if len(right) else ():
+        others = _candidates(x, left, right, samples, labels, group[3][0])
+        if not len(others):
+            continue
+        of_x = slice(starts[x], starts[x] + lengths[x])
+        own[at[of_x]] = weights[of_x]
+        firsts = np.cumsum(lengths[others]) - lengths[others]
+        places = np.arange(lengths[others].sum()) + np.repeat(starts[others] - firsts, lengths[others])
+        both = np.add.reduceat(np.minimum(own[at[places]], weights[places]), firsts)
+        own[at[of_x]] = 0
+        for y in others[both >= threshold * (totals[x] + totals[others] - both)].tolist():
+            if labels[y] != labels[x]:
+                labels[labels == labels[y]] = labels[x]
+                yield x, y
+
+
+def _rest_linked(docs: DataFrame, nodes: DataFrame, members: DataFrame, found: DataFrame, idf, threshold: float) -> DataFrame:
+    """(node, hub) of similar texts that share a band's bucket and that found does not join.
+
+    In each bucket, the largest part that found joins is settled; the others are open. Each open member is compared with
+    all members that are not joined to it, so that no pair of a bucket is left out. The members are dealt out to blocks
+    and every open block is compared with every other, first by samples alone, then by the texts of those that are alike
+    in them; what becomes joined there is not compared further. A bucket with no open member costs nothing.
+    """
+    labels = components(nodes, found).select("node", F.col("class_id").alias("label"))
+    labelled = members.join(nodes.select("node", "samples", "size"), "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "rep"))
+    labelled = written(labelled, "near-labelled")
+    parts = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    parts = parts.groupBy("bucket").agg(F.max(F.struct("n", "size", "label")).alias("most"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    blocks = lambda n, size: F.greatest(F.ceil(n / _BLOCK_ROWS), F.ceil(size / _BLOCK_BYTES), F.lit(1)).cast("int")
+    n, size = F.col("most.n"), F.col("most.size")
+    parts = parts.where(F.col("n") > n).select("bucket", F.col("most.label").alias("settled"), blocks(F.col("n") - n, F.col("size") - size).alias("open_parts"), blocks(n, size).alias("settled_parts"))
+    rows = labelled.join(written(parts, "near-parts"), "bucket")
+    is_open, number = F.col("label") != F.col("settled"), F.xxhash64("node", "bucket")
+    part = F.when(is_open, F.pmod(number, F.col("open_parts"))).otherwise(F.col("open_parts") + F.pmod(number, F.col("settled_parts"))).cast("int")
+    last = F.when(is_open, F.col("open_parts") + F.col("settled_parts")).otherwise(F.col("open_parts"))
+    rows = rows.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), last - 1)))
+    key = ["bucket", "left", "right"]
+    rows = rows.select("bucket", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), "band", "part", "node", "samples", "label", "rep")
+    rows = rows.repartition(*key).sortWithinPartitions(*key)
+    kept = written(rows.mapInArrow(_pairs_to_read, rows.schema), "near-read")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("binary").alias("text"))
+    sent = kept.join(texts, "rep").select(*[c for c in kept.columns if c != "rep"], "text").repartition(*key).sortWithinPartitions(*key)
+
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _grouped(stream, 3):
+            own = [k for k, text in enumerate(group[8]) if node_of(text) == group[5][k]]  # no other text of the same doc_id
+            group = [[c[k] for k in own] for c in group]
+            if own and (pairs := list(_joined([weighted_shingles(t, idf.value) for t in group[8]], group, threshold))):
+                yield pa.RecordBatch.from_arrays([pa.array([group[5][k] for k in side], pa.binary()) for side in zip(*pairs, strict=True)], names=["node", "hub"])
+
+    return written(sent.mapInArrow(batches, "node binary, hub binary").distinct(), "near-rest-links")
+
+
 def links(docs: DataFrame, nodes: DataFrame, idf, threshold: float = 0.8) -> DataFrame:
-    """(node, hub) of similar texts, so that whoever is similar to a bucket's centre is linked to it.
+    """(node, hub) of similar texts, so that all similar texts that share a band are joined by links.
 
     In the first round, buckets are the bands. Each member is compared with the most central one, which shares the most
     buckets with others. Who is not similar to it goes on to the second round, with finer buckets of five samples: the
     most central of all members and the most central of those that go on are its centres. A bucket of m members costs m
-    comparisons a round, not their square. At the threshold, two texts share a band with probability 0.997 and a finer
-    bucket with 0.99.
+    comparisons a round, not their square. Last, whoever is not joined to the rest of a band's bucket by then is compared
+    with all of it: see _rest_linked. At the threshold, two texts share a band with probability 0.997.
     """
     rows = HASHES // BANDS
-    first = _to_centres(*[_buckets(nodes, [list(range(b * rows, (b + 1) * rows)) for b in range(BANDS)], "near-0")] * 2)
+    members = _buckets(nodes, [list(range(b * rows, (b + 1) * rows)) for b in range(BANDS)], "near-0")
+    first = _to_centres(members, members)
     pairs = ["node", "rep", "hub", "hub_rep"]
     first = written(first.select(*pairs).distinct(), "near-first")
     found = _verified(first, nodes, docs, idf, threshold, "near-0")
@@ -190,7 +311,8 @@ def links(docs: DataFrame, nodes: DataFrame, idf, threshold: float = 0.8) -> Dat
     open_buckets = finer.join(going_on.select("bucket").distinct(), "bucket", "left_semi")
     second = _to_centres(going_on, open_buckets).select(*pairs).unionByName(_to_centres(going_on, going_on).select(*pairs))
     second = second.distinct().join(first, ["node", "hub"], "left_anti")
-    return found.unionByName(_verified(second, nodes, docs, idf, threshold, "near-1"))
+    found = written(found.unionByName(_verified(second, nodes, docs, idf, threshold, "near-1")), "near-hubs")
+    return found.unionByName(_rest_linked(docs, nodes, members, found, idf, threshold))
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -223,8 +345,8 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     idf = docs.sparkSession.sparkContext.broadcast(fit_idf(docs))
     signed = written(signatures(docs, idf), "near-samples")
     worded = signed.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
-    nodes = worded.groupBy("node").agg(F.min(F.struct("doc_id", "samples")).alias("first"), F.count("*").alias("copies"))
-    nodes = written(nodes.select("node", F.col("first.doc_id").alias("rep"), F.col("first.samples").alias("samples"), "copies"), "near-nodes")
+    nodes = worded.groupBy("node").agg(F.min(F.struct("doc_id", "samples", "size")).alias("first"), F.count("*").alias("copies"))
+    nodes = written(nodes.select("node", F.col("first.doc_id").alias("rep"), F.col("first.samples").alias("samples"), F.col("first.size").alias("size"), "copies"), "near-nodes")
     labels = components(nodes, links(docs, nodes, idf, threshold))
     labelled = nodes.join(labels, "node", "left").select("node", F.coalesce("class_id", "rep").alias("class_id"), "copies")
     own = signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))

@@ -142,6 +142,18 @@ def test_near_duplicates(tables, texts):
     assert all(got[d] <= d for d in got)
 
 
+def test_near_duplicates_in_a_family(spark):
+    """1,040 documents at 0.78 of each other, in pairs at 0.85: none of a pair is near to a bucket's centre."""
+    chance = random.Random(11)
+    word = lambda: "".join(chance.choices("abcdefghij", k=8))
+    common, rows = [word() for _ in range(176)], []
+    for k in range(520):
+        of_pair = [word() for _ in range(8)]
+        rows += [(2 * k + side, " ".join(common + of_pair + [word() for _ in range(16)])) for side in (0, 1)]
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[2 * k + 1] == got[2 * k] == 2 * k for k in range(520)) >= 515
+
+
 def test_samples_estimate_similarity():
     chance, idf = np.random.default_rng(1), np.ones(near_duplicates.BUCKETS, np.float32)
     agree = []
