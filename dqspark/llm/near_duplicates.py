@@ -32,7 +32,7 @@ _AGREE = 12
 #: A block of a bucket's members has about so many rows and bytes of text at most.
 _BLOCK_ROWS, _BLOCK_BYTES = 500, 2_000_000
 #: Positions of the samples whose agreement makes a finer bucket, in the second round.
-_FINER = [sorted(x.tolist()) for x in (np.random.default_rng(31).permutation(HASHES)[:5] for _ in range(12))]
+_FINER = (lambda random: [sorted(random.permutation(HASHES)[:5].tolist()) for _ in range(12)])(np.random.default_rng(31))
 
 
 @cache
@@ -296,7 +296,8 @@ def links(docs: DataFrame, nodes: DataFrame, idf, threshold: float = 0.8) -> Dat
     buckets with others. Who is not similar to it goes on to the second round, with finer buckets of five samples: the
     most central of all members and the most central of those that go on are its centres. A bucket of m members costs m
     comparisons a round, not their square. Last, whoever is not joined to the rest of a band's bucket by then is compared
-    with all of it: see _rest_linked. At the threshold, two texts share a band with probability 0.997.
+    with all of it: see _rest_linked. At the threshold, two texts share a band with probability 0.997 and a finer bucket
+    with 0.95.
     """
     rows = HASHES // BANDS
     members = _buckets(nodes, [list(range(b * rows, (b + 1) * rows)) for b in range(BANDS)], "near-0")

@@ -154,6 +154,10 @@ def test_near_duplicates_in_a_family(spark):
     assert sum(got[2 * k + 1] == got[2 * k] == 2 * k for k in range(520)) >= 515
 
 
+def test_finer_buckets_differ():
+    assert len({tuple(x) for x in near_duplicates._FINER}) == len(near_duplicates._FINER) == 12
+
+
 def test_samples_estimate_similarity():
     chance, idf = np.random.default_rng(1), np.ones(near_duplicates.BUCKETS, np.float32)
     agree = []
