@@ -4,7 +4,7 @@ A document is a weighted set of shingles of five words, weighted by frequency in
 frequency. Each of HASHES samples draws one shingle with probability proportional to its weight, alike in alike sets;
 documents that agree in all samples of a band are candidates. A bucket's candidates are compared with its most central
 members first; whoever that does not join to the rest of a bucket is compared with all of it, in blocks of bounded size.
-Candidates are verified by weighted Jaccard similarity on the whole texts.
+Candidates are verified on the whole texts: their weighted or their plain Jaccard similarity reaches the threshold.
 """
 
 from __future__ import annotations
@@ -77,6 +77,12 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(both / total) if total else 0.0
 
 
+def alike(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], threshold: float) -> bool:
+    """Whether the weighted or the plain similarity reaches the threshold. Where edits are rarer than what they change, as
+    in a large group, the weighted one is lower: 0.768 where the plain one is 0.80, in a third of 100,000 rows."""
+    return max(similarity(a, b), similarity(*((found, np.ones(len(found))) for found, _ in (a, b)))) >= threshold
+
+
 def fit_idf(docs: DataFrame, damping: float = 0.25) -> np.ndarray:
     """1 + damping * ln(N / documents with the shingle) / ln N by bucket, from all texts. Its size is fixed.
 
@@ -152,7 +158,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, idf, threshol
                 if node == hub:
                     if current != hub:
                         current, of_hub = hub, weighted_shingles(text, idf.value)
-                elif current == hub and similarity(of_hub, weighted_shingles(text, idf.value)) >= threshold:
+                elif current == hub and alike(of_hub, weighted_shingles(text, idf.value), threshold):
                     nodes.append(node)
                     hubs.append(hub)
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(hubs, pa.binary())], names=["node", "hub"])
@@ -243,9 +249,11 @@ def _joined(sets: list[tuple[np.ndarray, np.ndarray]], group: list[list], thresh
         own[at[of_x]] = weights[of_x]
         firsts = np.cumsum(lengths[others]) - lengths[others]
         places = np.arange(lengths[others].sum()) + np.repeat(starts[others] - firsts, lengths[others])
-        both = np.add.reduceat(np.minimum(own[at[places]], weights[places]), firsts)
+        held = own[at[places]]
+        both, count = np.add.reduceat(np.minimum(held, weights[places]), firsts), np.add.reduceat(held > 0, firsts, dtype=np.int64)
         own[at[of_x]] = 0
-        for y in others[both >= threshold * (totals[x] + totals[others] - both)].tolist():
+        similar = (both >= threshold * (totals[x] + totals[others] - both)) | (count >= threshold * (lengths[x] + lengths[others] - count))
+        for y in others[similar].tolist():
             if labels[y] != labels[x]:
                 labels[labels == labels[y]] = labels[x]
                 yield x, y

@@ -154,6 +154,19 @@ def test_near_duplicates_in_a_family(spark):
     assert sum(got[2 * k + 1] == got[2 * k] == 2 * k for k in range(520)) >= 515
 
 
+def test_plain_similarity_in_a_large_group(spark):
+    """Copies at a plain similarity just over 0.8 whose weighted similarity is lower."""
+    chance = random.Random(12)
+    word = lambda: "".join(chance.choices("abcdefghij", k=8))
+    common = [word() for _ in range(182)]
+    rows = [(k, " ".join(common + [word() for _ in range(22)])) for k in range(120)] + [(1000 + k, " ".join(word() for _ in range(30))) for k in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    a, b = (near_duplicates.weighted_shingles(rows[k][1].encode(), near_duplicates.fit_idf(docs)) for k in (0, 1))
+    assert len(np.intersect1d(a[0], b[0])) / len(np.union1d(a[0], b[0])) >= 0.8 > near_duplicates.similarity(a, b)
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates.classes(docs).collect()}
+    assert all(got[k] == (0 if k < 1000 else k) for k in got)
+
+
 def test_finer_buckets_differ():
     assert len({tuple(x) for x in near_duplicates._FINER}) == len(near_duplicates._FINER) == 12
 
