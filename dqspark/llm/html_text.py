@@ -3,6 +3,8 @@
 A page is a sequence of words and tags. Words score above zero, by how often words in such an element belong to the
 labelled main part; tags score below zero, by how often they stand outside of it. One linear scan finds the contiguous
 run with the highest total, whose blocks are the text. Labelled pages are those that mark one main part themselves.
+Words in a marked main part count in full and its tags next to nothing, whichever they are. Parts that never belong to
+the text are left out.
 """
 
 from __future__ import annotations
@@ -103,25 +105,37 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
         yield "open", known, element(), main > 0, aside > 0
 
 
+def labelled(page: str) -> bool:
+    """Whether a page marks one main part."""
+    return len(re.findall(r"<(?:article|main)[\s>]", page, re.IGNORECASE)) == 1
+
+
+def _tag(value: str, element: str) -> str:
+    return f"tag {value} in p" if value in INLINE and element == "p" else f"tag {value}"
+
+
 def token_counts(page: str) -> Counter:
-    """How often each kind of word and tag stands inside (True) and outside of the main part of a labelled page."""
+    """How often each kind of word and tag stands inside (True) and outside of the main part of a labelled page, without
+    the parts that never belong to the text."""
     out: Counter = Counter()
-    if len(re.findall(r"<(?:article|main)[\s>]", page, re.IGNORECASE)) != 1:
+    if not labelled(page):
         return out
     for kind, value, element, main, aside in tokens(page):
-        inside = main and not aside
+        if aside:
+            continue
         if kind == "text":
-            out["word " + element, inside] += len(value.split())
+            out["word " + element, main] += len(value.split())
         else:
-            out["tag " + value, inside] += 1
+            out[_tag(value, element), main] += 1
     return out
 
 
-def fit_weights(pages: DataFrame, penalty: float = 200.0) -> dict[str, float]:
-    """Scores of words by enclosing block and of tags, from all labelled pages. There is one count per known element.
+def fit_weights(pages: DataFrame, penalty: float = 4.0) -> dict[str, float]:
+    """Scores of words by enclosing block and of tags, inline tags apart in paragraphs, from all labelled pages. There is
+    a count or two per known element. They hold outside of marked main parts.
 
     A word scores the smoothed share of such words inside; a tag minus penalty times its smoothed share outside, so that
-    the tags around a part that is never inside outweigh penalty words. Without labelled pages every word scores a half.
+    no tag outweighs more than penalty words. Without labelled pages every word scores a half.
     """
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +164,10 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     blocks: list[list[str]] = [[]]
     best = (0.0, 0, 0)
     total, first, parts = 0.0, 0, []
-    for kind, value, element, main, aside in tokens(page or ""):
+    found = list(tokens(page or ""))
+    # What stands outside of the one main part of a labelled page is no text, whatever it looks like.
+    marked = labelled(page or "") and any(kind == "text" and main and not aside and value.split() for kind, value, _, main, aside in found)
+    for kind, value, element, main, aside in found:
         if kind == "text":
             n = len(value.split())
             if aside:
@@ -160,7 +177,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
             if n and total <= 0:
                 total, first = 0.0, len(parts)
             parts.append(value)
-            total += n * weights.get("word " + element, 0.5)
+            total += n * (1.0 if main else -1.0 if marked else weights.get("word " + element, 0.5))
             if n and total > best[0]:
                 best = (total, first, len(parts))
         else:
@@ -169,7 +186,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
             elif value == "br":
                 parts.append("\n")
             if not (aside and main):
-                total += weights.get("tag " + value, -1.0)
+                total += -0.01 if main else weights.get(_tag(value, element), -0.25)
     for part in parts[best[1] : best[2]]:
         if part is None:
             blocks.append([])

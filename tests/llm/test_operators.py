@@ -291,6 +291,16 @@ def test_main_text(spark, tables):
     assert [r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()] == [""] * 3
 
 
+def test_main_text_keeps_what_an_article_holds(tables):
+    weights = html_text.fit_weights(tables["pages"])
+    half = [" ".join(f"{side}{k}" for k in range(150)) for side in "ab"]
+    middles = ['<p>see <a href="x">this link</a> here</p>', "<ul>" + "<li>one item</li>" * 20 + "</ul>", "<table>" + "<tr><td>cell</td></tr>" * 20 + "</table>", "<div>inner <div>words</div></div>", "<h2>Heading</h2>"]
+    for middle in middles:
+        for open_, close in (("<article>", "</article>"), ("<div class=content>", "</div>")):
+            text = html_text.main_text(f"<nav>go home</nav>{open_}<p>{half[0]}</p>{middle}<p>{half[1]}</p>{close}<footer>end</footer>", weights)
+            assert text.split() == [*half[0].split(), *re.sub("<[^>]*>", " ", middle).split(), *half[1].split()]
+
+
 OPERATORS = {
     "decontaminate": lambda docs, t: decontaminate.decontaminate(docs, t["benchmark"]),
     "contamination": lambda docs, t: decontaminate.contamination(docs, t["benchmark"]),
