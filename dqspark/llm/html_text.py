@@ -4,7 +4,7 @@ A page is a sequence of words and tags. Words score above zero, by how often wor
 labelled main part; tags score below zero, by how often they stand outside of it. One linear scan finds the contiguous
 run with the highest total, whose blocks are the text. Labelled pages are those that mark one main part themselves.
 Words in a marked main part count in full and its tags next to nothing, whichever they are. Parts that never belong to
-the text are left out.
+the text are left out and score nothing.
 """
 
 from __future__ import annotations
@@ -171,8 +171,6 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
         if kind == "text":
             n = len(value.split())
             if aside:
-                if n:
-                    total = min(total, 0.0) - 1.0 if not main else total
                 continue
             if n and total <= 0:
                 total, first = 0.0, len(parts)
@@ -185,7 +183,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
                 parts.append(None)
             elif value == "br":
                 parts.append("\n")
-            if not (aside and main):
+            if not aside:
                 total += -0.01 if main else weights.get(_tag(value, element), -0.25)
     for part in parts[best[1] : best[2]]:
         if part is None:

@@ -301,6 +301,13 @@ def test_main_text_keeps_what_an_article_holds(tables):
             assert text.split() == [*half[0].split(), *re.sub("<[^>]*>", " ", middle).split(), *half[1].split()]
 
 
+def test_main_text_around_an_advert(tables):
+    weights = html_text.fit_weights(tables["pages"])
+    half = [" ".join(f"{side}{k}" for k in range(150)) for side in "ab"]
+    for aside in ('<div class="advert">buy now</div>', '<aside><ul><li><a href="x">related</a></li></ul></aside>', '<p class="notice">' + "note " * 400 + "</p>"):
+        assert html_text.main_text(f"<div class=content><p>{half[0]}</p>{aside}<p>{half[1]}</p></div>", weights) == "\n\n".join(half)
+
+
 OPERATORS = {
     "decontaminate": lambda docs, t: decontaminate.decontaminate(docs, t["benchmark"]),
     "contamination": lambda docs, t: decontaminate.contamination(docs, t["benchmark"]),
