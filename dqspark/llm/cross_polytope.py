@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .work import written
+
 _FOUND = "query_id long, vec_id long, score double"
 
 
@@ -71,29 +73,37 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Block:
-    """A block of queries of one vector length with their probes."""
+    """A block of queries of one vector length with their probes. Without probes, every row is a candidate."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, tables: int, probes: int, seed: int):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, tables: int, probes: int | None, seed: int):
         self.ids, self.vectors, self.norms = ids, vectors, np.sqrt((vectors * vectors).sum(axis=1))
-        self.tables = Tables(vectors.shape[1], tables, seed)
-        self.probed = self.tables.probes(self.vectors / self.norms[:, None], probes)
+        self.tables = Tables(vectors.shape[1], tables, seed) if probes else None
+        self.probed = self.tables.probes(self.vectors / self.norms[:, None], probes) if probes else None
 
     def search(self, ids: np.ndarray, vectors: np.ndarray, k: int) -> list[np.ndarray]:
         """Columns query_id, vec_id, score of the k nearest candidates of each query among these rows, ties included."""
         norms = np.sqrt((vectors * vectors).sum(axis=1))
-        candidate = np.zeros((len(self.ids), len(ids)), bool)
-        for probed, bucket in zip(self.probed, self.tables.buckets(vectors / norms[:, None]), strict=True):
+        candidate = np.full((len(self.ids), len(ids)), self.probed is None)
+        for probed, bucket in zip(self.probed, self.tables.buckets(vectors / norms[:, None]), strict=True) if self.probed else ():
             candidate |= probed[:, bucket]
         candidate &= self.ids[:, None] != ids
         rough = np.where(candidate, (self.vectors / self.norms[:, None]) @ (vectors / norms[:, None]).T, -9.0)
-        if rough.shape[1] > k:
-            candidate &= rough >= np.partition(rough, -k, axis=1)[:, -k, None] - 1e-9
+        order = np.argsort(ids, kind="stable")
+        firsts = np.flatnonzero(np.diff(ids[order], prepend=ids[order[:1]] - 1))
+        if len(firsts) > k:
+            once = rough if len(firsts) == len(ids) else np.maximum.reduceat(rough[:, order], firsts, axis=1)
+            candidate &= rough >= np.partition(once, -k, axis=1)[:, -k, None] - 1e-9
         q, x = np.nonzero(candidate)
         score = (self.vectors[q] * vectors[x]).sum(axis=1) / (self.norms[q] * norms[x])
         return _best([self.ids[q], ids[x], score], k)
 
 
 def _best(columns: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """The k best rows of each query; of rows that repeat an id, the best one counts."""
+    order = np.lexsort((-columns[2], columns[1], columns[0]))
+    query, rows, score = (c[order] for c in columns)
+    again = np.append(False, (query[1:] == query[:-1]) & (rows[1:] == rows[:-1]))[: len(query)]
+    columns = [c[~again] for c in (query, rows, score)]
     order = np.lexsort((columns[1], -columns[2], columns[0]))
     query, rows, score = (c[order] for c in columns)
     first = np.flatnonzero(np.diff(query, prepend=query[0] - 1)) if len(query) else np.empty(0, int)
@@ -101,7 +111,7 @@ def _best(columns: list[np.ndarray], k: int) -> list[np.ndarray]:
     return [c[place < k] for c in (query, rows, score)]
 
 
-def _blocks(queries: DataFrame, size: int, tables: int, probes: int, seed: int) -> Iterator[list[Block]]:
+def _blocks(queries: DataFrame, size: int, tables: int, probes: int | None, seed: int) -> Iterator[list[Block]]:
     parts = max(1, -(-queries.count() // size))
     for n in range(parts):
         rows = queries.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == n).collect()
@@ -113,6 +123,7 @@ def _blocks(queries: DataFrame, size: int, tables: int, probes: int, seed: int)
 
 def nearest(vectors: DataFrame, k: int = 5, every: int = 50, tables: int = 16, probes: int = 6, block: int = 4096, seed: int = 7) -> DataFrame:
     """For each row whose vec_id is divisible by every: its k nearest among all other rows, as far as they are candidates.
+    A query with fewer than k candidates is compared with all rows instead.
 
     Rows without a vec_id or a usable vector take no part; vectors of another length are no candidates of a query. Ties
     go to the smaller vec_id; repeated rows of an id count once. Queries are taken in blocks of about block, whose size
@@ -121,9 +132,21 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, tables: int = 16, p
     """
     usable_rows = vectors.where(usable("embedding") & F.col("vec_id").isNotNull())
     rows = usable_rows.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    queries = written(rows.where(F.col("id") % every == 0).dropDuplicates(["id"]), "neighbour-queries")
+    found = written(_ranked(rows, queries, k, block, tables, probes, seed), "neighbours")
+    short = queries.join(found.where(F.col("rank") == k).select(F.col("query_id").alias("id")), "id", "left_anti")
+    if short.isEmpty():
+        return found
+    short = written(short, "neighbour-rest")
+    full = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti")
+    return full.unionByName(_ranked(rows, short, k, block, tables, None, seed))
+
+
+def _ranked(rows: DataFrame, queries: DataFrame, k: int, block: int, tables: int, probes: int | None, seed: int) -> DataFrame:
+    """query_id, rank, vec_id, score of the k best candidates of each query."""
     found = None
-    for blocks in _blocks(rows.where(F.col("id") % every == 0).dropDuplicates(["id"]), block, tables, probes, seed):
-        shared = vectors.sparkSession.sparkContext.broadcast(blocks)
+    for blocks in _blocks(queries, block, tables, probes, seed):
+        shared = rows.sparkSession.sparkContext.broadcast(blocks)
 
         def batches(stream: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             best = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]

@@ -107,6 +107,22 @@ def test_neighbours(spark):
     assert got[50] == [100, 101, 102, 103, 104] and got[100] == [50, 101, 102, 103, 104]
 
 
+def test_neighbours_of_repeated_ids(spark):
+    chance = np.random.default_rng(4)
+    base = chance.standard_normal(64)
+    rows = [(0, base.tolist())] + [(k, (base + 0.05 * k * chance.standard_normal(64)).tolist()) for k in range(1, 8) for _ in range(8 if k < 4 else 1)]
+    rows += [(100 + k, chance.standard_normal(64).tolist()) for k in range(1, 30)]
+    out = cross_polytope.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)).where("query_id = 0").orderBy("rank").collect()
+    assert [r["rank"] for r in out] == [1, 2, 3, 4, 5] and {1, 2, 3, 4} <= {r["vec_id"] for r in out}
+
+
+def test_neighbours_of_small_tables(spark):
+    vectors = np.random.default_rng(5).standard_normal((6, 64))
+    out = cross_polytope.nearest(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>"))
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    assert [r["vec_id"] for r in out.orderBy("rank").collect()] == (1 + np.argsort(-(unit[1:] @ unit[0]))).tolist()
+
+
 def test_language(tables):
     out = language.languages(tables["documents"]).join(tables["documents"].select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in out) / len(out) > 0.9
