@@ -18,7 +18,13 @@ from .work import sliced
 from .words import FOLD
 
 _GEAR = np.random.default_rng(5).integers(0, 2**32, 256, dtype=np.uint32)
-_CHUNKS = "high long, low long, doc_id long, chunk int, start long, stop long, words int"
+_CHUNKS = "high long, low long, doc_id long, text_key long, chunk int, start long, stop long, words int"
+
+
+def text_key(text: bytes) -> int:
+    """64 bits that tell the texts under one doc_id apart: the same as Spark's xxhash64 of the text."""
+    key = xxhash.xxh64_intdigest(text, 42)
+    return key - (key >> 63 << 64)
 
 
 def ends(text: bytes, least: int, most: int, bits: int) -> list[int]:
@@ -43,11 +49,12 @@ def ends(text: bytes, least: int, most: int, bits: int) -> list[int]:
 
 
 def chunk_rows(docs: DataFrame, least: int = 20, most: int = 256, bits: int = 4) -> DataFrame:
-    """One row per chunk: digest (high, low), doc_id, number, start and stop in code points, words that begin in it."""
+    """One row per chunk: digest (high, low), doc_id, key of the text, number, start and stop in code points, words that
+    begin in it."""
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, names = xxhash.xxh3_128_digest, ["high", "low", "doc_id", "chunk", "start", "stop", "words"]
-        columns: list[list[np.ndarray]] = [[], [], [], [], []]
+        digest, names = xxhash.xxh3_128_digest, ["high", "low", "doc_id", "text_key", "chunk", "start", "stop", "words"]
+        columns: list[list[np.ndarray]] = [[], [], [], [], [], []]
         digests: list[bytes] = []
 
         def made() -> pa.RecordBatch:
@@ -67,7 +74,7 @@ def chunk_rows(docs: DataFrame, least: int = 20, most: int = 256, bits: int = 4)
                 points = np.cumsum(np.frombuffer(text, np.uint8) & 0xC0 != 0x80)[at - 1]
                 inside = np.frombuffer(text.translate(FOLD), np.uint8) != 32
                 words = np.cumsum(inside & ~np.append(False, inside[:-1]))[at - 1]
-                of = (np.full(len(at), doc), np.arange(len(at), dtype=np.int32), np.append(0, points[:-1]), points, np.diff(words, prepend=0).astype(np.int32))
+                of = (np.full(len(at), doc), np.full(len(at), text_key(text)), np.arange(len(at), dtype=np.int32), np.append(0, points[:-1]), points, np.diff(words, prepend=0).astype(np.int32))
                 for column, values in zip(columns, of, strict=True):
                     column.append(values)
                 if len(digests) >= 50_000:
@@ -78,20 +85,15 @@ def chunk_rows(docs: DataFrame, least: int = 20, most: int = 256, bits: int = 4)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(batches, _CHUNKS)
 
 
-def repeated_passages(docs: DataFrame, min_words: int = 15, least: int = 20, most: int = 256, bits: int = 4) -> DataFrame:
-    """Runs of chunks that occur in several documents, of min_words words or more.
-
-    One row per run: doc_id, start, stop (code points), n_words, n_chunks, first_doc_id (the smallest id that holds a
-    chunk of the run), is_first. The document first_doc_id has a row of its own. Rows without a
-    text or a doc_id have no chunks; rows of one doc_id are one document, so what repeats only there is not reported.
-    Both ends of a passage lie in chunks that differ: of 50 words 15 or more are found in 99 of 100 random cases.
-    """
+def _runs(docs: DataFrame, min_words: int, least: int, most: int, bits: int) -> DataFrame:
+    """Runs of chunks that occur in several documents, by doc_id and key of the text."""
     chunks = chunk_rows(docs, least, most, bits)
     seen = chunks.groupBy("high", "low").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"))
     shared = seen.where(F.col("first_doc_id") < F.col("last_doc_id")).select("high", "low", "first_doc_id")
-    repeats = chunks.join(shared, ["high", "low"]).drop("high", "low").dropDuplicates(["doc_id", "chunk"])
-    run = F.col("chunk") - F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk"))
-    runs = repeats.withColumn("run", run).groupBy("doc_id", "run").agg(
+    of_text = ["doc_id", "text_key"]
+    repeats = chunks.join(shared, ["high", "low"]).drop("high", "low").dropDuplicates([*of_text, "chunk"])
+    run = F.col("chunk") - F.row_number().over(Window.partitionBy(*of_text).orderBy("chunk"))
+    runs = repeats.withColumn("run", run).groupBy(*of_text, "run").agg(
         F.min("start").alias("start"),
         F.max("stop").alias("stop"),
         F.sum("words").cast("long").alias("n_words"),
@@ -102,10 +104,23 @@ def repeated_passages(docs: DataFrame, min_words: int = 15, least: int = 20, mos
     return runs.withColumn("is_first", F.col("first_doc_id") == F.col("doc_id"))
 
 
+def repeated_passages(docs: DataFrame, min_words: int = 15, least: int = 20, most: int = 256, bits: int = 4) -> DataFrame:
+    """Runs of chunks that occur in several documents, of min_words words or more.
+
+    One row per run: doc_id, start, stop (code points), n_words, n_chunks, first_doc_id (the smallest id that holds a
+    chunk of the run), is_first. The document first_doc_id has a row of its own. Rows without a text or a doc_id have no
+    chunks. What repeats only under one doc_id is not reported. Different texts under one doc_id have runs of their own;
+    equal ones are one text.
+    Both ends of a passage lie in chunks that differ: of 50 words 15 or more are found in 99 of 100 random cases.
+    """
+    return _runs(docs, min_words, least, most, bits).drop("text_key")
+
+
 def without_repeats(docs: DataFrame, min_words: int = 15) -> DataFrame:
-    """(doc_id, text) of all rows with a doc_id, without the runs that a document with a smaller id holds first."""
-    runs = repeated_passages(docs, min_words).where(~F.col("is_first"))
-    cuts = runs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("cuts"))
+    """(doc_id, text) of all rows with a doc_id, without the runs that a document with a smaller id holds first. Rows that
+    repeat a doc_id are each cut by the runs of their own text."""
+    runs = _runs(docs, min_words, 20, 256, 4).where(~F.col("is_first"))
+    cuts = runs.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("cuts"))
     cut = F.aggregate(
         "cuts",
         F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at")),
@@ -113,4 +128,5 @@ def without_repeats(docs: DataFrame, min_words: int = 15) -> DataFrame:
         lambda x: F.concat(x["text"], F.substring(F.col("text"), (x["at"] + 1).cast("int"), F.length("text"))),
     )
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    return rows.join(cuts, "doc_id", "left").select("doc_id", F.when(F.col("cuts").isNull(), F.col("text")).otherwise(cut).alias("text"))
+    rows = rows.withColumn("text_key", F.xxhash64("text"))
+    return rows.join(cuts, ["doc_id", "text_key"], "left").select("doc_id", F.when(F.col("cuts").isNull(), F.col("text")).otherwise(cut).alias("text"))

@@ -325,7 +325,8 @@ def links(docs: DataFrame, nodes: DataFrame, idf, threshold: float = 0.8) -> Dat
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, class_id): the smallest rep of each node's connected part. Only nodes with an edge take part in rounds.
+    """(node, class_id, class_node): the node of the smallest rep of each node's connected part, and that rep. Only nodes
+    with an edge take part in rounds.
 
     Each round takes the smallest label of the neighbours, then the label of that label's own node.
     """
@@ -341,46 +342,57 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         jumped = written(jumped, f"near-labels-{number}")
         labels = jumped.select("node", F.col("next").alias("label"))
         if jumped.where(F.col("next") != F.col("label")).isEmpty():
-            return labels.select("node", F.col("label.rep").alias("class_id"))
+            return labels.select("node", F.col("label.rep").alias("class_id"), F.col("label.node").alias("class_node"))
 
 
-def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """One row per row of docs: doc_id, class_id, copies.
-
-    class_id is the smallest doc_id among the documents joined by links of this similarity; copies counts the rows with
-    the same words. Documents with the same words are always together. A document without words is a class of its own;
-    so is a row without a doc_id, whose class is null. Rows that repeat a doc_id are each one row of the result.
-    """
+def _labelled(docs: DataFrame, threshold: float) -> DataFrame:
+    """One row per row of docs: doc_id, node, class_id, class_node, copies. See classes; without words, node is null."""
     idf = docs.sparkSession.sparkContext.broadcast(fit_idf(docs))
     signed = written(signatures(docs, idf), "near-samples")
     worded = signed.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
     nodes = worded.groupBy("node").agg(F.min(F.struct("doc_id", "samples", "size")).alias("first"), F.count("*").alias("copies"))
     nodes = written(nodes.select("node", F.col("first.doc_id").alias("rep"), F.col("first.samples").alias("samples"), F.col("first.size").alias("size"), "copies"), "near-nodes")
     labels = components(nodes, links(docs, nodes, idf, threshold))
-    labelled = nodes.join(labels, "node", "left").select("node", F.coalesce("class_id", "rep").alias("class_id"), "copies")
+    labelled = nodes.join(labels, "node", "left").select("node", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("class_node", "node").alias("class_node"), "copies")
     own = signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
     joined = own.join(labelled, "node", "left")
-    return joined.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
+    return joined.select("doc_id", "node", F.coalesce("class_id", "doc_id").alias("class_id"), "class_node", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
+
+
+def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """One row per row of docs: doc_id, class_id, copies.
+
+    class_id is the smallest doc_id among the documents joined by links of this similarity; copies counts the rows with
+    the same words. Documents with the same words are always together. A document without words is a class of its own;
+    so is a row without a doc_id, whose class is null. Rows that repeat a doc_id are each one row of the result.
+    """
+    return _labelled(docs, threshold).select("doc_id", "class_id", "copies")
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """One row of each class of docs: one of its smallest doc_id. Rows without a doc_id or without words all stay."""
-    found = classes(docs, threshold)
-    gone = written(found.where(F.col("class_id") != F.col("doc_id")).select("doc_id").distinct(), "near-gone")
-    kept = docs.join(gone.select(F.col("doc_id").alias(fresh(docs, "gone_id"))), F.col("doc_id") == F.col(fresh(docs, "gone_id")), "left_anti")
-    # Of rows that repeat a doc_id with the same words, one stays.
-    node = fresh(kept, "node")
+    """One row of each class of docs, of its smallest doc_id. Rows without a doc_id or without words all stay.
+
+    Rows are told apart by doc_id and words: where a doc_id is repeated with different texts, only those go that have a
+    kept partner.
+    """
+    found = written(_labelled(docs, threshold), "near-classes")
+    kept_row = (F.col("class_id") == F.col("doc_id")) & F.col("class_node").eqNullSafe(F.col("node"))
+    gone = found.where(F.col("doc_id").isNotNull() & F.col("node").isNotNull() & ~kept_row).select("doc_id", "node").distinct()
+    repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    gone_id, gone_node, again_id, node = (fresh(docs, c) for c in ("gone_id", "gone_node", "again_id", "node"))
+    by_id = gone.select(F.col("doc_id").alias(gone_id)).distinct()
+    once = docs.join(by_id, F.col("doc_id") == F.col(gone_id), "left_anti")
+    if repeated.isEmpty():
+        return once
+    again = written(repeated.select(F.col("doc_id").alias(again_id)), "near-repeated")
+    once = once.join(again, F.col("doc_id") == F.col(again_id), "left_anti")
 
     def compute(texts):
         return [pa.array([node_of(t) for t in texts.cast(pa.binary()).to_pylist()], pa.binary())]
 
-    repeated = found.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1 and doc_id is not null").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    several, once = add_columns(kept, ["text"], [(node, T.BinaryType())], compute), fresh(kept, "again_id")
-    again = repeated.select(F.col("doc_id").alias(once))
-    several = several.join(again, F.col("doc_id") == F.col(once), "left")
-    chosen = several.where(F.col(once).isNotNull() & F.col(node).isNotNull()).dropDuplicates(["doc_id", node])
-    others = several.where(F.col(once).isNull() | F.col(node).isNull())
-    return replace_columns(chosen.unionByName(others), docs, {})
-
+    several = add_columns(docs.join(again, F.col("doc_id") == F.col(again_id), "left_semi"), ["text"], [(node, T.BinaryType())], compute)
+    wordless = several.where(F.col(node).isNull()).drop(node)
+    pairs = gone.select(F.col("doc_id").alias(gone_id), F.col("node").alias(gone_node))
+    worded = several.where(F.col(node).isNotNull()).join(pairs, (F.col("doc_id") == F.col(gone_id)) & (F.col(node) == F.col(gone_node)), "left_anti")
+    chosen = worded.dropDuplicates(["doc_id", node]).drop(node)
+    return once.unionByName(chosen).unionByName(wordless)

@@ -122,7 +122,8 @@ def candidates(text: str | None) -> list[tuple[int, int, int, bool, str]]:
     base = base_spans(text) if _ANY.search(text) else []
     wide = _wider(text, base) if _ANY.search(text) else []
     if re.search(r"[ (\[]dot[ )\]]", text, re.IGNORECASE):
-        wide += [s for m in _SPELT.finditer(text) if all((s := (m.start(), 0, m.end()))[2] <= a or b <= s[0] for a, _, b in base + wide)]
+        taken = base + wide
+        wide += [(m.start(), 0, m.end()) for m in _SPELT.finditer(text) if all(m.end() <= a or b <= m.start() for a, _, b in taken)]
     return sorted([(a, k, b, True, _votes(text, k, a, b, True)) for a, k, b in base] + [(a, k, b, False, _votes(text, k, a, b, False)) for a, k, b in wide])
 
 
