@@ -3,14 +3,20 @@
 A text becomes a row of symbols, its characters. An agenda holds the adjacent pairs whose joined text is in the
 vocabulary; the pair with the best score, leftmost first, is joined again and again until none is left. What is not in
 the vocabulary falls back to its UTF-8 bytes. Each Arrow batch is compared with the sentencepiece library.
+
+Words have agendas of their own. Those that a batch brings anew are worked on together in numpy: each round joins the
+best pair of every word that still has one.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,16 +27,18 @@ from .work import add_columns
 MODEL = "piece_bpe_32k.model"
 #: What stands for a space.
 SPACE = "▁"
+_ID = np.dtype("<u4")
 
 
 class Codec:
     """Ids of texts and back, by the vocabulary and the settings of a model file.
 
     Where no piece has a space mark after another character, no pair across such a place is ever joined. Then a text is
-    cut there and the parts, mostly words, are joined each for itself; their ids are remembered, at most `most` of them.
+    cut there and the parts, mostly words, are joined each for itself; the ids of those of up to `longest` characters are
+    remembered, about `most` of them.
     """
 
-    def __init__(self, path: str, most: int = 300_000, longest: int = 64):
+    def __init__(self, path: str, most: int = 600_000, longest: int = 64):
         from sentencepiece import SentencePieceProcessor
 
         self.library = SentencePieceProcessor(model_file=path)
@@ -48,6 +56,12 @@ class Codec:
         self._check_settings()
         self.parted = not any(SPACE in p.lstrip(SPACE) for p in self.known)
         self.most, self.longest, self.memory = most, longest, {}
+        # What an id alone stands for: bytes above 0x7F need their neighbours, all others do not.
+        self.high = {i for i, b in self.byte_of.items() if b > 0x7F}
+        self.surface = [self.texts.get(i) or (chr(self.byte_of[i]) if i in self.byte_of else "") for i in range(n)]
+        self.surface[self.unknown] = own.decode([self.unknown])
+        self.names = [str(i) for i in range(n)]
+        self.joins = Joins(self.known)
 
     def _check_settings(self) -> None:
         """This code takes models of one kind: merges with scores, bytes for unknown characters, texts left as they are
@@ -94,25 +108,46 @@ class Codec:
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text without begin or end; none for a null or empty one."""
-        if not text:
-            return []
-        marked = SPACE + text.replace(" ", SPACE)
+        return self.encode_batch([text])[0].tolist()
+
+    def encode_batch(self, texts: list[str | None], chars: int = 2_000_000) -> list[np.ndarray]:
+        """The ids of each text. Texts of about so many characters are worked on together."""
+        out, at = [], 0
+        while at < len(texts):
+            size, end = 0, at
+            while end < len(texts) and size < chars:
+                size += len(texts[end] or "")
+                end += 1
+            out += self._together(texts[at:end])
+            at = end
+        return out
+
+    def _together(self, texts: list[str | None]) -> list[np.ndarray]:
+        marked = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
         if not self.parted:
-            return self.merged(marked)
-        memory, ids = self.memory, []
-        for part in _PARTS.findall(marked):
-            if (own := memory.get(part)) is None:
-                own = self.merged(part)
-                if len(part) <= self.longest:
-                    if len(memory) >= self.most:
-                        memory.clear()
-                    memory[part] = own
-            ids += own
-        return ids
+            return [np.array(self.merged(t), _ID) for t in marked]
+        parts = [_PARTS.findall(t) for t in marked]
+        memory, wanted = self.memory, set(chain.from_iterable(parts))
+        new = wanted.difference(memory)
+        if len(memory) + len(new) > self.most:
+            memory.clear()
+            new = wanted
+        long = [p for p in new if len(p) > self.longest]
+        short = [p for p in new if len(p) <= self.longest]
+        for at in range(0, len(short), 20_000):  # few enough for a processor's cache
+            some = short[at : at + 20_000]
+            memory.update(zip(some, self.joins.ids(some, self.byte_ids), strict=True))
+        memory.update((p, np.array(self.merged(p), _ID).tobytes()) for p in long)
+        out = [np.frombuffer(b"".join(map(memory.__getitem__, own)), _ID) for own in parts]
+        for p in long:
+            del memory[p]
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: one space mark in front goes, bytes become characters, broken ones U+FFFD each. Control ids
         have no text."""
+        if self.high.isdisjoint(ids):
+            return "".join(map(self.surface.__getitem__, ids)).removeprefix(SPACE).replace(SPACE, " ")
         out: list[str] = []
         raw = bytearray()
         front = True  # whether nothing but nothing has come out so far
@@ -124,10 +159,8 @@ class Codec:
                 out.append(_characters(bytes(raw)))
                 raw.clear()
                 front = False
-            piece = self.texts.get(i)
-            if piece is None:
-                piece = self.library.decode([i]) if i == self.unknown else ""
-            elif front and piece.startswith(SPACE):
+            piece = self.surface[i]
+            if front and piece.startswith(SPACE) and i != self.unknown:
                 piece, front = piece[1:], False
             if piece:
                 out.append(piece.replace(SPACE, " "))
@@ -137,6 +170,89 @@ class Codec:
         return "".join(out)
 
 
+class Joins:
+    """Which pairs of symbols join, as arrays: symbols are piece ids, or numbers above them for other characters."""
+
+    def __init__(self, known: dict[str, tuple[float, int]]):
+        self.ids_of = {p: i for p, (_, i) in known.items()}
+        self.other = 1 << 22  # a character without a piece is this plus its code point
+        place = {score: n for n, score in enumerate(sorted({s for s, _ in known.values()}))}
+        pairs: dict[int, tuple[int, int]] = {}
+        for piece, (score, i) in known.items():
+            for cut in range(1, len(piece)):
+                left, right = self.symbol(piece[:cut]), self.symbol(piece[cut:])
+                if left is not None and right is not None:
+                    pairs[left << 32 | right] = (place[score], i)
+        keys = sorted(pairs)
+        self.keys = np.array([*keys, 1 << 62], np.int64)
+        self.places = np.array([*(pairs[k][0] for k in keys), 0], np.int32)
+        self.joined = np.array([*(pairs[k][1] for k in keys), 0], np.int32)
+        self.never = np.int32(len(place))
+
+    def symbol(self, text: str) -> int | None:
+        own = self.ids_of.get(text)
+        return own if own is not None else self.other + ord(text) if len(text) == 1 else None
+
+    def _found(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place in the agenda (the smaller, the better; never where the pair does not join) and joined symbol."""
+        key = left.astype(np.int64) << 32 | right
+        at = np.searchsorted(self.keys, key)
+        hit = self.keys[at] == key
+        return np.where(hit, self.places[at], self.never), self.joined[at]
+
+    def ids(self, parts: list[str], byte_ids: list[int]) -> Iterator[bytes]:
+        """The packed ids of each part, all of them joined at the same time."""
+        if not parts:
+            return iter(())
+        sizes = np.array([len(p) for p in parts])
+        points = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        different, which = np.unique(points, return_inverse=True)
+        symbols = np.array([self.symbol(chr(c)) for c in different.tolist()], np.int32)[which]
+        word = np.repeat(np.arange(len(parts), dtype=np.int32), sizes)
+        done_words, done_symbols = [], []
+        last = np.append(word[1:] != word[:-1], True)
+        place, joined = self._found(symbols, np.append(symbols[1:], np.int32(0)))
+        place[last] = self.never
+        while len(word):
+            first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            best = np.minimum.reduceat(place, first)
+            lengths = np.diff(np.append(first, len(word)))
+            ended = np.repeat(best == self.never, lengths)
+            if ended.any():
+                done_words.append(word[ended])
+                done_symbols.append(symbols[ended])
+                word, symbols, place, joined = word[~ended], symbols[~ended], place[~ended], joined[~ended]
+                lengths, best = lengths[best < self.never], best[best < self.never]
+                if not len(word):
+                    break
+            hits = np.flatnonzero(place == np.repeat(best, lengths))
+            hits = hits[np.append(True, word[hits[1:]] != word[hits[:-1]])]  # the leftmost of each word
+            symbols[hits] = joined[hits]
+            kept = np.ones(len(word), bool)
+            kept[hits + 1] = False
+            hits -= np.arange(len(hits))  # one symbol before each hit but the first has gone
+            word, symbols, place, joined = word[kept], symbols[kept], place[kept], joined[kept]
+            changed = np.concatenate([hits, hits[(hits > 0) & (word[hits - 1] == word[hits])] - 1])
+            following = np.minimum(changed + 1, len(word) - 1)
+            new_place, joined[changed] = self._found(symbols[changed], symbols[following])
+            place[changed] = np.where((following > changed) & (word[following] == word[changed]), new_place, self.never)
+        words, found = np.concatenate(done_words), np.concatenate(done_symbols)
+        order = np.argsort(words, kind="stable")
+        words, found = words[order], found[order]
+        other = np.flatnonzero(found >= self.other)
+        if len(other):  # characters without a piece become their bytes
+            spelled = [[byte_ids[b] for b in chr(c - self.other).encode()] for c in found[other].tolist()]
+            times = np.ones(len(found), np.int64)
+            times[other] = [len(x) for x in spelled]
+            words, at = np.repeat(words, times), np.cumsum(times) - times
+            found = np.repeat(found, times)
+            places = np.repeat(at[other], times[other]) + np.concatenate([np.arange(len(x)) for x in spelled])
+            found[places] = list(chain.from_iterable(spelled))
+        packed = found.astype(_ID).tobytes()
+        starts = (np.searchsorted(words, np.arange(len(parts) + 1)) * _ID.itemsize).tolist()
+        return map(lambda a, b: packed[a:b], starts, starts[1:])
+
+
 #: Space marks and what follows up to the next ones.
 _PARTS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
@@ -171,6 +287,14 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
+def _agrees(own: Codec, texts: list[str | None], ids: list[list[int]], decoded: list[str], check: bool) -> list[bool | None]:
+    """Whether the library has the same ids for each text, and the same text for these."""
+    if not check:
+        return [None] * len(texts)
+    library = own.library
+    return [library.encode(t or "") == x and library.decode(x) == d for t, x, d in zip(texts, ids, decoded, strict=True)]
+
+
 def encoded(docs: DataFrame, model: str | None = None, check: bool = True) -> DataFrame:
     """docs' doc_id with ids (all of the whole text, without begin and end), decoded (the text of these ids) and agrees:
     whether the sentencepiece library gives the same ids and the same text for them; null where check is off.
@@ -182,13 +306,11 @@ def encoded(docs: DataFrame, model: str | None = None, check: bool = True) -> Da
     fields = [("ids", T.ArrayType(T.IntegerType())), ("decoded", T.StringType()), ("agrees", T.BooleanType())]
 
     def compute(texts):
-        own, ids, decoded, agrees = codec(path), [], [], []
-        for text in texts.to_pylist():
-            made = own.encode(text)
-            ids.append(made)
-            decoded.append(own.decode(made))
-            agrees.append(own.library.encode(text or "") == made and own.library.decode(made) == decoded[-1] if check else None)
-        return [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string()), pa.array(agrees, pa.bool_())]
+        own, listed = codec(path), texts.to_pylist()
+        arrays = own.encode_batch(listed)
+        ids = [x.tolist() for x in arrays]
+        decoded = [own.decode(x) for x in ids]
+        return [pa.array(arrays, pa.list_(pa.int32())), pa.array(decoded, pa.string()), pa.array(_agrees(own, listed, ids, decoded, check), pa.bool_())]
 
     return add_columns(docs.select("doc_id", "text"), ["text"], fields, compute, drop=("text",))
 
@@ -200,13 +322,12 @@ def digests(docs: DataFrame, model: str | None = None, check: bool = True) -> Da
     fields = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType()), ("agrees", T.BooleanType())]
 
     def compute(texts):
-        own, rows = codec(path), []
-        for text in texts.to_pylist():
-            ids = own.encode(text)
-            decoded = own.decode(ids)
-            agrees = own.library.encode(text or "") == ids and own.library.decode(ids) == decoded if check else None
-            rows.append((len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), agrees))
-        columns = zip(*rows, strict=True) if rows else [[]] * 4
-        return [pa.array(list(c), kind) for c, kind in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.bool_()), strict=True)]
+        own, listed = codec(path), texts.to_pylist()
+        ids = [x.tolist() for x in own.encode_batch(listed)]
+        decoded = [own.decode(x) for x in ids]
+        of_ids = [hashlib.sha256(",".join(map(own.names.__getitem__, x)).encode()).hexdigest() for x in ids]
+        of_texts = [hashlib.sha256(t.encode()).hexdigest() for t in decoded]
+        agrees = _agrees(own, listed, ids, decoded, check)
+        return [pa.array([len(x) for x in ids], pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_texts, pa.string()), pa.array(agrees, pa.bool_())]
 
     return add_columns(docs.select("doc_id", "text"), ["text"], fields, compute, drop=("text",))
