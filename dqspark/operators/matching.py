@@ -130,18 +130,42 @@ def _offered(with_sought: DataFrame, *columns: str) -> DataFrame:
     return suffixed.select(*columns, F.expr(f"inline_outer({thinned})"))
 
 
-def fitting_pairs(companies: DataFrame, addresses: DataFrame) -> DataFrame:
+def _numbered(spelled: DataFrame, bits: int) -> DataFrame:
+    """Spellings with a place in bitmaps: (plane, chunk, bit), once for each binary digit of `copies` that is set.
+
+    Within a company and plane the spellings are dealt to chunks by hash and numbered there, so no task orders all
+    spellings of a company; a chunk that runs over goes on in another.
+    """
+    chunks = spelled.groupBy("id").agg(F.ceil(row_count() * 2 / bits).alias("chunks"))
+    planes = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda p: F.getbit("copies", p) == 1)
+    each = spelled.join(chunks, "id").withColumn("plane", F.explode(planes))
+    dealt = each.withColumn("chunk", F.pmod(F.xxhash64("company_domain", "name_clean"), F.col("chunks")))
+    place = F.row_number().over(Window.partitionBy("id", "plane", "chunk").orderBy("company_domain", "name_clean")) - 1
+    placed = dealt.withColumn("place", place)
+    over = F.call_function("div", F.col("place"), F.lit(bits)) * F.col("chunks")
+    return placed.withColumn("chunk", F.col("chunk") + over).withColumn("bit", (F.col("place") % bits).cast("bigint"))
+
+
+def fitting_pairs(companies: DataFrame, addresses: DataFrame, bits: int = 32768) -> DataFrame:
     """(id, fitting): how many pairs of a hub row and an e-mail row of these companies fit.
 
-    Both sides are folded, with `copies` and `written`; a pair is met once per token it shares, counted once.
+    Both sides are folded, with `copies` and `written`. No pair is built: each token has a bitmap of the spellings that
+    want it, an address joins the bitmaps of its tokens into one, and the set bits are its fitting spellings. Bitmaps
+    are kept by binary digit of `copies`, so that a bit in plane p counts for 2^p hub rows; they have at most `bits`
+    (up to 32,768, as Spark's bitmaps hold) and go on in further chunks. Addresses of hot companies meet the bitmaps in
+    splits.
     """
     spelling, address = ["company_domain", "name_clean"], ["local_part", "email_domain", "local_clean"]
     spelled = companies.groupBy("id", *spelling).agg(F.sum("copies").alias("copies"))
     listed = addresses.groupBy("id", *address).agg(F.sum("written").alias("written"))
-    wanted = _wanted(spelled)
+    wanted = _wanted(_numbered(spelled, bits))
+    bitmaps = wanted.groupBy("id", "kind", "token", "plane", "chunk").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
     offered = _offered(listed.join(F.broadcast(_sought(wanted)), "id"), *listed.columns)  # a row per company asked for
-    hits = wanted.join(offered, ["id", "kind", "token"]).select("id", *spelling, "copies", *address, "written").distinct()
-    return hits.groupBy("id").agg(F.sum(F.col("copies") * F.col("written")).alias("fitting"))
+    hot = hot_keys_of(listed, "id")
+    hits = salted_join(offered.where("token IS NOT NULL"), bitmaps, "id", hot, [F.col(c) for c in address], also=["kind", "token"])
+    met = hits.groupBy("id", *address, "written", "plane", "chunk").agg(F.bitmap_count(F.bitmap_or_agg("bitmap")).alias("fit"))
+    worth = F.expr("shiftleft(1L, plane)") * F.col("fit") * F.col("written")
+    return met.groupBy("id").agg(F.sum(worth).alias("fitting"))
 
 
 def _status_per_company_country(hub: DataFrame, emails: DataFrame, lower_first: bool) -> DataFrame:

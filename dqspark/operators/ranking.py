@@ -20,12 +20,17 @@ from ..functions import (
     status_label,
 )
 from ..functions.text import DELIVERABLE_STATUSES
-from ..plans import null_safe_join
+from ..plans import hot_keys_of, null_safe_join, salted_join
 from ..schemas import require
 
 # Points per property; role inboxes bring 10 or 7 (see role_score).
 VALID_POINTS, UNIQUE_POINTS, NOT_BLOCKED_POINTS, DOMAIN_POINTS, VERIFIED_POINTS = 50, 15, 15, 10, 5
-_GROUP = ["id", "country"]
+_GROUP, _ROW = ["id", "country"], ["email", "verification_status"]
+# An address as written but for capitals: blanks around it count in its parts.
+_WRITTEN = "written"
+_TOTAL = "total_emails_for_company_country"
+# What stands in the table of company names: a name, or the number of domain rows of the company.
+_NAME, _FAN_OUT = 0, 1
 
 
 def _best(rows: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "_rank") -> DataFrame:
@@ -37,39 +42,102 @@ def _best(rows: DataFrame, keys: list[str], order: list[Column], k: int, rank: s
 def _emails(emails: DataFrame) -> DataFrame:
     require(emails, ["id", "country", "email", "verification_status"], "emails")
     email = F.col("email")
-    status = status_label(F.col("verification_status"))
-    verified = F.when(status.isin(*DELIVERABLE_STATUSES), VERIFIED_POINTS).otherwise(0)
     return emails.where(non_blank(email)).select(
         "id",
         country_key(F.col("country")).alias("country"),
-        F.lower(F.trim(email)).alias("email"),
-        email_clean(email).alias("email_clean"),
-        email_domain(email, trimmed=False).alias("email_domain"),
-        (role_score(local_part(email, trimmed=False)) + verified).alias("person_score"),
-        status.alias("verification_status"),
+        F.lower(email).alias(_WRITTEN),
+        status_label(F.col("verification_status")).alias("verification_status"),
     )
 
 
-def _company_domains(domains: DataFrame) -> DataFrame:
-    """(id, company_domain, copies): the usable domain rows, equal ones folded."""
+def _domain_rows(domains: DataFrame) -> DataFrame:
+    """(id, company_domain): the usable domain rows."""
     require(domains, ["id", "fqdn"], "domains")
     usable = domains.where(F.col("id").isNotNull() & non_blank(F.col("fqdn")) & F.col("fqdn").contains("."))
-    named = usable.select("id", normalize_domain(F.col("fqdn")).alias("company_domain"))
-    return named.groupBy("id", "company_domain").agg(row_count().alias("copies"))
+    return usable.select("id", normalize_domain(F.col("fqdn")).alias("company_domain"))
 
 
-def _related_domains(email_domains: DataFrame, company: DataFrame) -> DataFrame:
-    """(id, email_domain, related): how many domain rows of the company are related to the e-mail domain.
+def _named_rows(rows: DataFrame) -> DataFrame:
+    """(id, kind, name, own, below): domain rows with exactly this name, and with a name below it; and per company one
+    row that counts all of its rows. An e-mail domain is related to `own` of each of its dotted suffixes and to `below`
+    of its whole name, so one equi-join finds both directions and the total."""
+    suffixes = dotted_suffixes(F.col("company_domain"))
+    names = F.transform(
+        suffixes,
+        lambda s, i: F.struct(F.lit(_NAME).alias("kind"), s.alias("name"), (i == 0).cast("int").alias("own"), (i > 0).cast("int").alias("below")),
+    )
+    whole = F.struct(F.lit(_FAN_OUT).alias("kind"), F.lit("").alias("name"), F.lit(1).alias("own"), F.lit(0).alias("below"))
+    return (
+        rows.select("id", F.inline(F.concat(names, F.array(whole))))
+        .groupBy("id", "kind", "name")
+        .agg(F.sum("own").alias("own"), F.sum("below").alias("below"))
+    )
+
+
+def _with_company(few: DataFrame, domains: DataFrame, hot: DataFrame) -> DataFrame:
+    """`few` with `related` and `fan_out`: how many domain rows of the company fit the e-mail domain, and how many there
+    are. Rows of hot companies meet their names in splits, then come together again by their own columns."""
+    wanted = F.transform(
+        dotted_suffixes(F.col("email_domain")),
+        lambda s, i: F.struct(F.lit(_NAME).alias("kind"), s.alias("name"), (i == 0).alias("whole")),
+    )
+    fan_out = F.struct(F.lit(_FAN_OUT).alias("kind"), F.lit("").alias("name"), F.lit(False).alias("whole"))
+    asked = few.select("*", F.inline(F.concat(wanted, F.array(fan_out))))
+    met = salted_join(asked, _named_rows(_domain_rows(domains)), "id", hot, [F.col(c) for c in _ROW], "left", ["kind", "name"])
+    found = F.col("own") + F.when(F.col("whole"), F.col("below")).otherwise(0)
+    return met.groupBy(*few.columns).agg(
+        F.coalesce(F.sum(F.when(F.col("kind") == _NAME, found)), F.lit(0)).alias("related"),
+        F.coalesce(F.sum(F.when(F.col("kind") == _FAN_OUT, F.col("own"))), F.lit(1)).alias("fan_out"),
+    )
 
-    A subdomain has its parent among its dotted suffixes, so both directions are equi-joins.
+
+def _totals(counts: DataFrame, domains: DataFrame, dedupe_domains: bool, min_total: int) -> DataFrame:
+    """(id, country, total) of the groups with at least `min_total` rows, from (id, country, rows)."""
+    groups = counts.groupBy(*_GROUP).agg(F.sum("rows").alias("rows"))
+    if dedupe_domains:
+        total = F.col("rows")
+    else:
+        fan_out = _domain_rows(domains).groupBy("id").agg(row_count().alias("of_company"))
+        groups = groups.join(fan_out, "id", "left")
+        total = F.col("rows") * F.coalesce("of_company", F.lit(1).cast("bigint"))
+    return groups.select(*_GROUP, total.alias(_TOTAL)).where(F.col(_TOTAL) >= min_total)
+
+
+def _folded(rows: DataFrame) -> DataFrame:
+    """(id, country, address as written, status, rows): equal rows as one."""
+    return rows.groupBy(*_GROUP, _WRITTEN, "verification_status").agg(row_count().alias("rows"))
+
+
+def _few_per_domain(folded: DataFrame, k: int) -> DataFrame:
+    """The distinct (address, status) rows that can be among the best k of their group, scored but for the domain.
+
+    Within an e-mail domain of a group only the domain's points are open, and these are equal for all, so the best k of
+    each domain suffice.
     """
-    above = email_domains.withColumn("company_domain", F.explode(dotted_suffixes(F.col("email_domain"))))
-    below = company.select(
-        "id", F.explode(dotted_suffixes(F.col("company_domain"), proper=True)).alias("email_domain"), "copies"
+    cleaned = folded.withColumn("email_clean", email_clean(F.col(_WRITTEN)))
+    of_address = Window.partitionBy(*_GROUP, "email_clean")
+    status, clean, local = F.col("verification_status"), F.col("email_clean"), local_part(F.col(_WRITTEN), trimmed=False)
+    flagged = cleaned.withColumn("is_duplicate_within_company", (F.sum("rows").over(of_address) > 1).cast("int")).select(
+        *_GROUP,
+        F.trim(_WRITTEN).alias("email"),
+        "verification_status",
+        _WRITTEN,
+        "email_clean",
+        "rows",
+        "is_duplicate_within_company",
+        email_domain(F.col(_WRITTEN), trimmed=False).alias("email_domain"),
+        is_valid_email(clean).cast("int").alias("is_valid_format"),
+        is_blocked(clean).cast("int").alias("is_blocked"),
+        (role_score(local) + F.when(status.isin(*DELIVERABLE_STATUSES), VERIFIED_POINTS).otherwise(0)).alias("person"),
     )
-    found = above.join(company, ["id", "company_domain"]).select("id", "email_domain", "copies")
-    found = found.unionByName(email_domains.join(below, ["id", "email_domain"]))
-    return found.groupBy("id", "email_domain").agg(F.sum("copies").alias("related"))
+    score = (
+        F.col("is_valid_format") * VALID_POINTS
+        + (1 - F.col("is_duplicate_within_company")) * UNIQUE_POINTS
+        + (1 - F.col("is_blocked")) * NOT_BLOCKED_POINTS
+        + F.col("person")
+    )
+    scored = flagged.withColumn("score", score).drop("person")
+    return _best(scored, [*_GROUP, "email_domain"], [F.desc("score"), clean, *_ROW], k).drop("_rank")
 
 
 def priority_top_emails(
@@ -85,56 +153,35 @@ def priority_top_emails(
     A company with several domain rows has each e-mail once per domain row, in the total and in the
     ranking; `dedupe_domains` keeps every e-mail once. `n=None` returns all groups.
 
-    Every group gives at least one result row, so n groups suffice: they are picked from counts, and only
-    their e-mails are scored. Rows that cannot reach the best k are dropped before each join, within
-    keys on which the parts of the score still missing are equal.
+    Equal rows are folded into counts by company, country, address and status; all else follows from that one shuffle.
+    Every group gives at least one result row, so n groups suffice: they are picked from counts, and only their e-mails
+    are folded. Without n, the totals come from the folded rows and join the k rows that a group has left. A hot group
+    is cut to k rows per task before each shuffle, and meets its company's names in splits.
     """
-    base, company = _emails(emails), _company_domains(domains)
-    fan_out = company.groupBy("id").agg(F.sum("copies").alias("fan_out"))
-    if dedupe_domains:
-        fan_out = fan_out.withColumn("fan_out", F.lit(1).cast("bigint"))
-    groups = base.groupBy(*_GROUP).agg(row_count().alias("rows")).join(fan_out, "id", "left")
-    groups = groups.withColumn("fan_out", F.coalesce("fan_out", F.lit(1).cast("bigint")))
-    total = (F.col("rows") * F.col("fan_out")).alias("total_emails_for_company_country")
-    groups = groups.select(*_GROUP, "fan_out", total).where(total >= min_total)
-    group_order = [F.desc("total_emails_for_company_country"), F.asc_nulls_last("id"), F.col("country")]
-    if n is not None:
-        groups = F.broadcast(groups.orderBy(*group_order).limit(n))  # n rows
-    rows = null_safe_join(base, groups, _GROUP)
-
-    tie = [F.col("email"), F.col("verification_status")]
-    address = [*_GROUP, "email_clean"]
-    written = rows.groupBy(*address).agg((row_count() > 1).cast("int").alias("is_duplicate_within_company"))
-    few = _best(rows, [*address, "email_domain"], [F.desc("person_score"), *tie], k)
-    flagged = (
-        null_safe_join(few, written, address)
-        .withColumn("is_valid_format", is_valid_email(F.col("email_clean")).cast("int"))
-        .withColumn("is_blocked", is_blocked(F.col("email_clean")).cast("int"))
-    )
-    score = (
-        F.col("is_valid_format") * VALID_POINTS
-        + (1 - F.col("is_duplicate_within_company")) * UNIQUE_POINTS
-        + (1 - F.col("is_blocked")) * NOT_BLOCKED_POINTS
-        + F.col("person_score")
-    )
-    scored = flagged.withColumn("score", score).drop("_rank")
-    few = _best(scored, [*_GROUP, "email_domain"], [F.desc("score"), F.col("email_clean"), *tie], k).drop("_rank")
-
-    pairs = few.where(F.col("id").isNotNull()).select("id", "email_domain").distinct()
-    related = F.coalesce("related", F.lit(0).cast("bigint"))
+    base = _emails(emails)
+    group_order = [F.desc(_TOTAL), F.asc_nulls_last("id"), F.col("country")]
+    if n is None:
+        folded = _folded(base)
+        groups = _totals(folded, domains, dedupe_domains, min_total)
+    else:
+        counts = base.groupBy(*_GROUP).agg(row_count().alias("rows"))
+        groups = F.broadcast(_totals(counts, domains, dedupe_domains, min_total).orderBy(*group_order).limit(n))  # n rows
+        folded = _folded(null_safe_join(base, groups.select(*_GROUP), _GROUP, "left_semi"))
+
+    hot = hot_keys_of(folded, "id")
+    matched = _with_company(_few_per_domain(folded, k), domains, hot)
     if dedupe_domains:
-        related = F.least(related, F.lit(1))
-    matched = few.join(_related_domains(pairs, company), ["id", "email_domain"], "left").withColumn("related", related)
-    # One row per joined domain row, of which never more than k can be among the best k.
-    hits = F.array_repeat(F.lit(1), F.least(F.col("related"), F.lit(k)).cast("int"))
-    misses = F.array_repeat(F.lit(0), F.least(F.col("fan_out") - F.col("related"), F.lit(k)).cast("int"))
+        matched = matched.withColumns({"related": F.least("related", F.lit(1)), "fan_out": F.lit(1)})
+    # One row per copy and joined domain row, of which never more than k can be among the best k.
+    several = F.least("rows", F.lit(k))
+    hits = F.array_repeat(F.lit(1), F.least(F.col("related") * several, F.lit(k)).cast("int"))
+    misses = F.array_repeat(F.lit(0), F.least((F.col("fan_out") - F.col("related")) * several, F.lit(k)).cast("int"))
     copies = matched.withColumn("domain_match", F.explode(F.concat(hits, misses)))
     copies = copies.withColumn("priority_score", F.col("score") + F.col("domain_match") * DOMAIN_POINTS)
-    order = [F.desc("priority_score"), F.col("email_clean"), *tie, F.desc("domain_match")]
-    ranked = _best(copies, _GROUP, order, k, "email_rank").select(
-        "id",
-        "country",
-        "total_emails_for_company_country",
+    order = [F.desc("priority_score"), F.col("email_clean"), *_ROW, F.desc("domain_match")]
+    ranked = null_safe_join(_best(copies, _GROUP, order, k, "email_rank"), groups, _GROUP).select(
+        *_GROUP,
+        _TOTAL,
         "email_rank",
         "priority_score",
         "email",

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from math import isqrt
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import row_count
-from ..plans import hot_keys, key_counts, null_safe_join, salted_join
+from ..plans import hot_keys, key_counts, null_safe_join, salted_join, shuffle_partitions
 from .matching import fits, fitting_pairs, usable_addresses, usable_companies
 
 _ROW = ["id", "name", "company_domain"]
 _LIST = [*_ROW, "fits"]
-_PREFIX = 6
 
 
 def _addresses(emails: DataFrame) -> DataFrame:
@@ -61,24 +62,52 @@ def domain_match_review_addresses(hub: DataFrame, emails: DataFrame, n: int | No
     return listed.groupBy(*_ROW, "email", F.col("fits").alias("is_valid_email")).agg(F.sum("rows").alias("copies"))
 
 
-def _parts(rows: DataFrame, list_chars: int, block: int) -> DataFrame:
+def _range_marks(rows: DataFrame, marks: int) -> DataFrame:
+    """(list, marks): some addresses of each list in order, which divide it into ranges of about equal size.
+
+    Whether an address is a mark follows from its hash and the length of the list, so that every evaluation finds the
+    same ones. A list with fewer addresses than `marks` has each of them as a mark.
+    """
+    sizes = rows.groupBy(*_LIST).agg(row_count().alias("size"))
+    each = F.greatest(F.call_function("div", F.col("size"), F.lit(marks)), F.lit(1).cast("bigint"))
+    sampled = null_safe_join(rows, F.broadcast(sizes), _LIST).where(F.pmod(F.xxhash64("email"), each) == 0)  # 2n rows
+    return sampled.groupBy(*_LIST).agg(F.array_sort(F.collect_list("email")).alias("marks"))
+
+
+def _range_number(marks: int) -> Column:
+    """How many of the column `marks` are not above `email`: first among every step-th of them, then within one step."""
+    step = max(1, isqrt(marks))
+    coarse = F.transform(
+        F.sequence(F.lit(0), F.call_function("div", F.size("marks") - 1, F.lit(step)).cast("int")),
+        lambda i: F.element_at("marks", i * step + 1),
+    )
+    before = F.greatest(F.size(F.filter(coarse, lambda m: m <= F.col("email"))) - 1, F.lit(0)) * step
+    within = F.size(F.filter(F.slice("marks", before + 1, F.lit(step)), lambda m: m <= F.col("email")))
+    return F.when(F.size("marks") > 0, before + within).otherwise(0)
+
+
+def _parts(rows: DataFrame, list_chars: int, block: int, ranges: int = 64) -> DataFrame:
     """(list, list_part, text): sorted lists, cut where the text before an address fills a multiple of `list_chars`.
 
-    What lies before an address follows from the order of the addresses alone: the characters of all lower
-    prefixes, plus those before it within its own prefix. So no task walks a whole list, and the cuts are
-    the same however the rows are partitioned.
+    What lies before an address follows from the order of the addresses alone: the characters of all lower ranges of
+    its list, plus those before it within its own range. Ranges end at sampled addresses, `ranges` of them for each
+    partition, so no task walks a whole list, however alike its addresses begin, and the cuts are the same however the
+    rows are partitioned.
     """
+    marks = ranges * shuffle_partitions(rows)
+    marked = null_safe_join(rows, F.broadcast(_range_marks(rows, marks)), _LIST, "left")  # 2n rows of so many addresses
+    marked = marked.withColumn("marks", F.coalesce("marks", F.array().cast("array<string>")))
+    ranged = marked.withColumn("range", _range_number(marks)).drop("marks")
     first = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rows") - 1, F.lit(block).cast("bigint")))
-    blocks = rows.withColumn("first", first).withColumn("times", F.least(F.lit(block), F.col("rows") - F.col("first")))
-    blocks = blocks.withColumn("prefix", F.substring("email", 1, _PREFIX))
+    blocks = ranged.withColumn("first", first).withColumn("times", F.least(F.lit(block), F.col("rows") - F.col("first")))
     size = (F.length("email") + 2) * F.col("times")
 
-    lower = Window.partitionBy(*_LIST).orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
-    prefixes = blocks.groupBy(*_LIST, "prefix").agg(F.sum(size).alias("chars"))
-    offsets = prefixes.select(*_LIST, "prefix", F.coalesce(F.sum("chars").over(lower), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy(*_LIST, "prefix").orderBy("email", "first").rowsBetween(Window.unboundedPreceding, -1)
+    lower = Window.partitionBy(*_LIST).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = blocks.groupBy(*_LIST, "range").agg(F.sum(size).alias("chars"))
+    offsets = sums.select(*_LIST, "range", F.coalesce(F.sum("chars").over(lower), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy(*_LIST, "range").orderBy("email", "first").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("offset") + F.coalesce(F.sum(size).over(inside), F.lit(0))
-    placed = null_safe_join(blocks, offsets, [*_LIST, "prefix"])
+    placed = null_safe_join(blocks, offsets, [*_LIST, "range"])
     placed = placed.withColumn("list_part", F.call_function("div", before, F.lit(list_chars)))
 
     text = F.array_join(F.array_repeat("email", F.col("times").cast("int")), ", ")

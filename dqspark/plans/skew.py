@@ -53,8 +53,10 @@ def key_counts(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def salted_join(big: DataFrame, small: DataFrame, key: str, hot: DataFrame, spread: list[Column], how: str = "inner"):
-    """`big` joined to `small` on `key`, with the hot keys of `big` cut into splits.
+def salted_join(
+    big: DataFrame, small: DataFrame, key: str, hot: DataFrame, spread: list[Column], how: str = "inner", also: tuple[str, ...] | list[str] = ()
+) -> DataFrame:
+    """`big` joined to `small` on `key`, with the hot keys of `big` cut into splits. `also` names further join columns.
 
     `spread` decides the split of a row. The number of the input partition is mixed in, so equal copies
     of one row also spread; both are fixed for a task, so a retried task repeats its choice. NULL keys
@@ -70,7 +72,7 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, hot: DataFrame, spre
         .withColumn(_SALT, F.explode(F.sequence(F.lit(0), last)))
         .drop(_SPLITS)
     )
-    return left.join(right, [key, _SALT], how).drop(_SALT)
+    return left.join(right, [key, *also, _SALT], how).drop(_SALT)
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dqspark import operators as op
+from dqspark.operators import matching, review
 from dqspark.plans import hot_keys, hot_keys_of, key_counts, null_safe_join, salted_join
 
 from .adversarial import DDL, HOT, tables
@@ -158,3 +159,115 @@ def test_match_reads_the_emails_twice(spark, frames, tmp_path):
         text = df._jdf.queryExecution().executedPlan().toString()
         final = text.split("== Initial Plan ==")[0]
         assert final.count("FileScan parquet") <= 2
+
+
+@pytest.fixture
+def without_adaptive_execution(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def hot_group(spark, many=30_000):
+    """One company in one country with so many addresses at as many domains, each twice, and some small ones."""
+    emails = spark.range(2 * many + 2000).select(
+        F.when(F.col("id") < 2 * many, F.lit(HOT)).otherwise(F.col("id") % 100 + 2).cast("bigint").alias("id"),
+        F.lit("AU").alias("country"),
+        F.concat(F.lit("p"), F.col("id") % many, F.lit("@h"), F.col("id") % many, F.lit(".com")).alias("email"),
+        F.when(F.col("id") % many == 777, "valid").otherwise("unknown").alias("verification_status"),
+    )
+    domains = spark.createDataFrame([(HOT, "h5.com"), (HOT, "x.h7.com"), (HOT, "com."), (3, "other.org")], "id bigint, fqdn string")
+    return emails, domains
+
+
+def test_ranking_of_a_hot_group_without_adaptive_execution(spark, without_adaptive_execution):
+    emails, domains = hot_group(spark)
+    rows = {(r["id"], r["email_rank"]): r for r in op.priority_top_emails(emails, domains, n=None).collect()}
+    # 60,000 rows, three domain rows; the copies of p777 are verified, those of p5 and p7 match one domain row.
+    best = [(rows[HOT, k]["email"], rows[HOT, k]["priority_score"], rows[HOT, k]["domain_match"]) for k in range(1, 6)]
+    assert best == [("p5@h5.com", 75, 1)] * 2 + [("p7@h7.com", 75, 1)] * 2 + [("p777@h777.com", 70, 0)]
+    assert {rows[HOT, k]["total_emails_for_company_country"] for k in range(1, 6)} == {180_000}
+    assert len(rows) == 5
+
+
+def test_names_of_a_hot_company_are_met_in_splits(spark, without_adaptive_execution):
+    from dqspark.operators import ranking
+
+    emails, domains = hot_group(spark)
+    folded = ranking._folded(ranking._emails(emails))
+    few = ranking._few_per_domain(folded, 5)
+    met = ranking._with_company(few, domains, hot_keys_of(folded, "id"))
+    tasks = met.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("rows")).collect()
+    assert sum(r["rows"] for r in tasks) == few.count() and max(r["rows"] for r in tasks) < 2 * sum(r["rows"] for r in tasks) / 8
+
+
+# --- the review: fitting pairs and places in lists ----------------------------------------------------
+
+
+def fitting(hub, emails, **options):
+    companies, addresses = matching.usable_companies(hub, False, "name"), review._addresses(emails)
+    return {r["id"]: r["fitting"] for r in matching.fitting_pairs(companies, addresses, **options).collect()}
+
+
+@pytest.mark.parametrize("bits", [32768, 8, 3])
+def test_fitting_pairs_are_those_of_the_long_form(frames, bits):
+    """Also where the spellings of a company fill many bitmaps, and where rows are repeated."""
+    hub, emails = frames["persona_hub"], frames["emails"]
+    hub = hub.unionByName(hub.where("id % 3 = 1")).unionByName(hub.where("id = 1"))
+    want: dict = {}
+    for r in op.domain_match_review_addresses(hub, emails, n=None).collect():
+        if r["is_valid_email"]:
+            want[r["id"]] = want.get(r["id"], 0) + r["copies"]
+    assert fitting(hub, emails, bits=bits) == want
+
+
+def test_many_spellings_and_addresses_that_all_fit_make_no_pairs(spark):
+    many = 10_000
+    hub = spark.range(many).select(
+        F.lit(1).cast("bigint").alias("id"), F.concat(F.lit("firm"), "id").alias("name"), F.concat(F.lit("root.c"), "id").alias("fqdn")
+    )
+    emails = spark.range(many).select(
+        F.lit(1).cast("bigint").alias("id"), F.concat(F.lit("p"), "id", F.lit("@root.mail")).alias("email")
+    )
+    companies, addresses = matching.usable_companies(hub, False, "name"), review._addresses(emails)
+    df = matching.fitting_pairs(companies, addresses)
+    assert [tuple(r) for r in df.collect()] == [(1, many * many)]
+    assert largest_row_count(df) <= 2 * many * 24  # pieces of an address
+
+
+def largest_row_count(df) -> int:
+    """The most rows that any operator of the plan that ran has put out."""
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        metric = node.metrics().get("numOutputRows")
+        most = max(most, metric.get().value() if metric.isDefined() else 0)
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif node.getClass().getSimpleName().endswith("QueryStageExec"):
+            todo.append(node.plan())
+        children = node.children()
+        todo += [children.apply(k) for k in range(children.size())]
+    return most
+
+
+@pytest.mark.parametrize("partitions", [2, 8, 64])
+def test_lists_whose_addresses_begin_alike_are_placed_by_many_tasks(spark, partitions, without_adaptive_execution):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        rows = spark.range(20_000).select(
+            F.lit(1).alias("id"), F.lit(None).cast("string").alias("name"), F.lit("d").alias("company_domain"), F.lit(True).alias("fits"),
+            F.concat(F.lit("the-same-long-beginning-"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("email"), (F.col("id") % 3 + 1).alias("rows"),
+        )
+        texts = {r["list_part"]: r["text"] for r in review._parts(rows, 100_000, 2).collect()}
+        want = [f"the-same-long-beginning-{k:06}" for k in range(20_000) for _ in range(k % 3 + 1)]
+        assert ", ".join(texts[k] for k in sorted(texts)).split(", ") == want and len(texts) == 13
+        assert all(len(texts[k]) <= 100_000 + 64 for k in texts)
+        marks = 64 * partitions
+        with_marks = rows.join(review._range_marks(rows, marks).select("marks"))
+        ranged = with_marks.withColumn("range", review._range_number(marks)).drop("marks")
+        tasks = [r["n"] for r in ranged.repartition(partitions, "id", "range").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert max(tasks) < 2 * 20_000 / partitions
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
