@@ -67,7 +67,7 @@ class Index:
 
     def __init__(self, ids: np.ndarray, keys: np.ndarray, labels: np.ndarray, vectors: np.ndarray, codewords: int = 32):
         half = vectors.shape[1] // 2
-        size = min(codewords, isqrt(len(ids) // 16) + 1)  # cells of some 16 rows
+        size = min(codewords, isqrt(len(ids) // 32) + 1)  # cells of some 32 rows
         self.halves = [Codebook(part, size) for part in (vectors[:, :half], vectors[:, half:])]
         first, second = (h.code for h in self.halves)
         self.shape = tuple(len(h.centres) for h in self.halves)
@@ -100,22 +100,40 @@ class Index:
         rows were scored. same says whether rows of the label are wanted or the others. own, (id, key), is left out."""
         found: list[list[tuple[int, int, int]]] = [[] for _ in windows]
         going, scored = {w for w, (low, high) in enumerate(windows) if low <= high}, 0
-        for bound, a, b in self.cells(query):
+        for bound, rows in self._together(query):
             # Certified: below its low end, or with k rows of which none can be beaten or tied any more.
             going = {w for w in going if bound >= windows[w][0] and not (len(found[w]) == k and bound < -found[w][-1][0])}
             if not going:
                 break
-            scores = self.vectors[a:b] @ query
-            scored += b - a
-            wanted = (self.labels[a:b] == label) == same
+            wanted = rows[(self.labels[rows] == label) == same]
+            scores = self.vectors[wanted] @ query
+            scored += len(rows)
             for w in going:
                 low = max(windows[w][0], -found[w][-1][0]) if len(found[w]) == k else windows[w][0]
-                hits = np.flatnonzero(wanted & (scores >= low) & (scores <= windows[w][1])).tolist()
-                if hits:
-                    fresh = [(-int(scores[h]), int(self.ids[a + h]), int(self.keys[a + h])) for h in hits]
+                hits = np.flatnonzero((scores >= low) & (scores <= windows[w][1]))
+                if len(hits) > k + 1:  # own may be among them
+                    least = np.partition(scores[hits], -k - 1)[-k - 1]
+                    hits = hits[scores[hits] >= least]
+                if len(hits):
+                    at = wanted[hits]
+                    fresh = zip((-scores[hits]).tolist(), self.ids[at].tolist(), self.keys[at].tolist(), strict=True)
                     found[w] = sorted([*found[w], *(x for x in fresh if x[1:] != own)])[:k]
         return found, scored
 
+    def _together(self, query: np.ndarray, least: int = 128, most: int = 4096) -> Iterator[tuple[int, np.ndarray]]:
+        """(bound, rows): the rows of a few cells at a time, by falling bound, and the bound of the first of these cells.
+        The further the walk, the more cells are scored together."""
+        waiting, size, first = [], 0, 0
+        for bound, a, b in self.cells(query):
+            first = first if waiting else bound
+            waiting.append(np.arange(a, b))
+            size += b - a
+            if size >= least:
+                yield first, np.concatenate(waiting)
+                waiting, size, least = [], 0, min(2 * least, most)
+        if waiting:
+            yield first, np.concatenate(waiting)
+
 
 # --- rows, shards and walks -------------------------------------------------------------------------
 
