@@ -1,5 +1,6 @@
 """The data-quality operators. Each takes DataFrames and returns one; none triggers a job."""
 
+from .carried import carried_check, domain_counts, email_counts, hub_counts, impossible_counts, merge_counts, signed
 from .coverage import (
     coverage_by_source,
     coverage_delta,
@@ -49,10 +50,11 @@ from .volume import email_volume_by_country, email_volume_examples, email_volume
 
 __all__ = [
     "ACTION_RULES",
-    "action_items", "action_items_metric", "blocked_examples", "blocked_summary", "breaches", "company_valid_format",
+    "action_items", "action_items_metric", "blocked_examples", "blocked_summary", "breaches", "carried_check",
+    "company_valid_format",
     "composite_metric", "composite_score", "coverage_by_source", "coverage_delta", "coverage_domain_universe",
     "coverage_overall", "coverage_published_by_source", "coverage_published_total", "coverage_reconcile",
-    "coverage_reconcile_reasons",
+    "coverage_reconcile_reasons", "domain_counts", "email_counts", "hub_counts", "impossible_counts", "merge_counts", "signed",
     "deliverability_distribution", "domain_match_by_country", "domain_match_company_review", "domain_match_emails",
     "domain_match_review_addresses", "domain_match_rollup", "domain_mismatch_examples", "domain_mismatch_pct",
     "domain_root_match", "domain_status_distribution", "domain_status_summary", "duplicate_buckets",

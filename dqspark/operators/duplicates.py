@@ -14,7 +14,11 @@ from .formats import CLEAN, valid_emails
 def duplicate_summary(emails: DataFrame) -> DataFrame:
     """Distinct (company, country, address) of valid format, split by occurring once or more often."""
     keys = ["id", "country", CLEAN]
-    per_key = valid_emails(emails, "id", "country").groupBy(*keys).agg(row_count().alias("n"))
+    return summary_of_keys(valid_emails(emails, "id", "country").groupBy(*keys).agg(row_count().alias("n")))
+
+
+def summary_of_keys(per_key: DataFrame) -> DataFrame:
+    """The summary from one row per key with its number of rows `n`."""
     total, repeated = row_count(), F.count_if(F.col("n") > 1)
     return per_key.agg(
         total.alias("total_email"),
@@ -45,7 +49,11 @@ def duplicate_buckets(emails: DataFrame) -> DataFrame:
     Works on (company, address) pairs. An address shared by very many companies is cut into splits when
     its bucket is handed to its pairs; every company then reduces to one flag per bucket.
     """
-    pairs = valid_emails(emails, "id").groupBy(CLEAN, "id").agg(row_count().alias("n"))
+    return buckets_of_pairs(valid_emails(emails, "id").groupBy(CLEAN, "id").agg(row_count().alias("n")))
+
+
+def buckets_of_pairs(pairs: DataFrame) -> DataFrame:
+    """The buckets from one row per (address, company) with its number of rows `n`."""
     per_address = pairs.groupBy(CLEAN).agg(F.sum("n").alias("occurrences"), row_count().alias("rows"))
     repeated = per_address.where(F.col("occurrences") > 1).withColumn(
         "occ_bucket", occurrence_bucket(F.col("occurrences"))

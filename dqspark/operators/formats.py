@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import email_clean, format_status, is_blocked, is_valid_email, non_blank, pct, row_count, status_label
@@ -28,13 +28,16 @@ def labelled_counts(df: DataFrame, label: str, count: str, cases: list, keep_emp
     """(label, count, pct) rows for a fixed list of (text, condition) cases, in one pass over `df`."""
     conditions = [F.count_if(cond).alias(f"n{i}") for i, (_, cond) in enumerate(cases)]
     totals = df.agg(row_count().alias("total"), *conditions)
-    rows = F.array(
-        *[F.struct(F.lit(text).alias(label), F.col(f"n{i}").alias(count)) for i, (text, _) in enumerate(cases)]
-    )
-    out = totals.select("total", F.inline(rows)).select(label, count, pct(F.col(count), F.col("total")).alias("pct"))
+    out = labelled_rows(totals, label, count, {text: F.col(f"n{i}") for i, (text, _) in enumerate(cases)})
     return out if keep_empty else out.where(F.col(count) > 0)
 
 
+def labelled_rows(totals: DataFrame, label: str, count: str, counts: dict[str, Column]) -> DataFrame:
+    """(label, count, pct) rows from one row of counts with their `total`."""
+    rows = F.array(*[F.struct(F.lit(text).alias(label), n.alias(count)) for text, n in counts.items()])
+    return totals.select("total", F.inline(rows)).select(label, count, pct(F.col(count), F.col("total")).alias("pct"))
+
+
 def email_format_distribution(emails: DataFrame) -> DataFrame:
     """Rows per format status (empty, invalid, valid); a status without rows has no line."""
     require(emails, ["email"], "emails")

@@ -33,7 +33,12 @@ def _rollup(pairs: DataFrame, k: int) -> DataFrame:
 
 def email_volume_by_country(emails: DataFrame, k: int = 5) -> DataFrame:
     """Per country, the (company, country) pairs with at most k and with more than k e-mails."""
-    return _rollup(_company_country(emails), k).orderBy(F.desc("total_company_country"), "country")
+    return volume_of_pairs(_company_country(emails), k)
+
+
+def volume_of_pairs(pairs: DataFrame, k: int = 5) -> DataFrame:
+    """The volume from one row per (company, country) with its `email_count`."""
+    return _rollup(pairs, k).orderBy(F.desc("total_company_country"), "country")
 
 
 def email_volume_worst_country(volume: DataFrame, by: str = "pct", k: int = 5) -> DataFrame:

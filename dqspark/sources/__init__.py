@@ -1,8 +1,10 @@
 """Where tables come from and where results go."""
 
+from .counts import carry_counts, read_counts, write_counts
 from .logs import append_runs, new_run, read_metrics, read_runs, save_metrics
 from .tables import jdbc_options, read_files, read_jdbc
 
 __all__ = [
-    "append_runs", "jdbc_options", "new_run", "read_files", "read_jdbc", "read_metrics", "read_runs", "save_metrics",
+    "append_runs", "carry_counts", "jdbc_options", "new_run", "read_counts", "read_files", "read_jdbc", "read_metrics",
+    "read_runs", "save_metrics", "write_counts",
 ]

@@ -59,6 +59,25 @@ SELECT cast(ts AS date) AS run_id,
 FROM {events} GROUP BY cast(ts AS date), extract(day FROM ts), event_type""",
 }
 
+# What a later release changes: the columns of a view, its removed rows, and its added ones.
+CHANGES = {
+    "persona_hub": (
+        "id, name, source, fqdn, slug, status",
+        "source IS NULL OR status = 'DRAFT'",
+        "SELECT id, name, source, fqdn, slug, 'PUBLISHED' AS status FROM {persona_hub} WHERE source IS NOT NULL AND status = 'DRAFT'",
+    ),
+    "emails": (
+        "email_id, id, slug, country, email, verification_status",
+        "verification_status = 'unknown' OR verification_status = ''",
+        "SELECT email_id, id, slug, country, email, 'valid' AS verification_status FROM {emails} WHERE verification_status = ''",
+    ),
+    "domains": (
+        "id, country, fqdn, website, status_code",
+        "status_code = 500",
+        "SELECT id + 1000000000 AS id, country, fqdn, website, 200 AS status_code FROM {domains} WHERE status_code = 404",
+    ),
+}
+
 # The columns the views read. Naming them spares a look at the files for every query.
 TABLES = {
     "customer": "c_custkey bigint, c_nationkey int, c_mktsegment string",
@@ -84,6 +103,24 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+def change(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """The added and the removed rows of the later release of a view."""
+    columns, removed, added = CHANGES[name]
+    before = view(spark, sf_dir, name)
+    frames = {name: before}
+    return spark.sql(added, **frames), spark.sql(f"SELECT {columns} FROM {{{name}}} WHERE {removed}", **frames)
+
+
+def later(text: str) -> str:
+    """The statement `text` over the later release of its views."""
+    for name, (columns, removed, added) in CHANGES.items():
+        own = f"{name} AS ({VIEWS[name].format(**{t: t for t in TABLES})})"
+        before = f"{name}_before"
+        rows = f"SELECT {columns} FROM {before} WHERE ({removed}) IS NOT TRUE UNION ALL {added.format(**{name: before})}"
+        text = text.replace(own, own.replace(f"{name} AS", f"{before} AS", 1) + f",\n{name} AS ({rows})")
+    return text
+
+
 def ctes(*names: str) -> str:
     """The views `names` as leading CTEs of a DuckDB statement."""
     return ",\n".join(f"{n} AS ({VIEWS[n].format(**{t: t for t in TABLES})})" for n in names)

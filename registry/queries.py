@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from dqspark import functions as fn
 from dqspark import operators as op
+from dqspark.operators.carried import CHECKS
 from dqspark.plans.release import release_metrics, release_volumes
 
-from .fixtures import view
+from .fixtures import change, view
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -160,6 +161,20 @@ def _pct_by_status(spark, sf_dir):
     return view(spark, sf_dir, "emails").groupBy("id").agg(fn.pct(invalid, F.count(F.lit(1))).alias("pct_null"))
 
 
+def _carried(check: str) -> Query:
+    """A check of the later release, from the counts of the release before and the signed counts of the change."""
+    count = {"persona_hub": op.hub_counts, "emails": op.email_counts, "domains": op.domain_counts}
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        before, since = {}, {}
+        for name, counts_of in count.items():
+            before |= counts_of(view(spark, sf_dir, name))
+            since |= counts_of(op.signed(*change(spark, sf_dir, name)))
+        return op.carried_check(check, op.merge_counts(before, since))
+
+    return query
+
+
 def _clean():
     return fn.email_clean(F.col("email"))
 
@@ -210,6 +225,7 @@ OPERATORS: dict[str, Query] = {
     "priority_top_emails_deduped": _over(
         op.priority_top_emails, "emails", "domains", min_total=MIN_TOTAL, dedupe_domains=True
     ),
+    **{f"carried_{check}": _carried(check) for check in CHECKS},
     "metric_frame": _metric_frame,
     "release_metrics": _release_metrics,
     "release_volumes": _release_volumes,
