@@ -11,8 +11,6 @@ best pair of every word that still has one.
 from __future__ import annotations
 
 import hashlib
-import re
-from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
@@ -23,10 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .work import add_columns
+from .words import mix
 
 MODEL = "piece_bpe_32k.model"
 #: What stands for a space.
 SPACE = "▁"
+_MARK = SPACE.encode()
 _ID = np.dtype("<u4")
 
 
@@ -34,8 +34,8 @@ class Codec:
     """Ids of texts and back, by the vocabulary and the settings of a model file.
 
     Where no piece has a space mark after another character, no pair across such a place is ever joined. Then a text is
-    cut there and the parts, mostly words, are joined each for itself; the ids of those of up to `longest` characters are
-    remembered, about `most` of them.
+    cut there and the parts, mostly words, are joined each for itself; the ids of those of up to `longest` bytes are remembered,
+    about `most` of them.
     """
 
     def __init__(self, path: str, most: int = 600_000, longest: int = 64):
@@ -55,7 +55,7 @@ class Codec:
         self.byte_of = {i: b for b, i in enumerate(self.byte_ids) if i is not None}
         self._check_settings()
         self.parted = not any(SPACE in p.lstrip(SPACE) for p in self.known)
-        self.most, self.longest, self.memory = most, longest, {}
+        self.longest, self.memory = longest, Memory(most)
         # What an id alone stands for: bytes above 0x7F need their neighbours, all others do not.
         self.high = {i for i, b in self.byte_of.items() if b > 0x7F}
         self.surface = [self.texts.get(i) or (chr(self.byte_of[i]) if i in self.byte_of else "") for i in range(n)]
@@ -110,7 +110,7 @@ class Codec:
         """Ids of a text without begin or end; none for a null or empty one."""
         return self.encode_batch([text])[0].tolist()
 
-    def encode_batch(self, texts: list[str | None], chars: int = 2_000_000) -> list[np.ndarray]:
+    def encode_batch(self, texts: list[str | None], chars: int = 500_000) -> list[np.ndarray]:
         """The ids of each text. Texts of about so many characters are worked on together."""
         out, at = [], 0
         while at < len(texts):
@@ -123,25 +123,48 @@ class Codec:
         return out
 
     def _together(self, texts: list[str | None]) -> list[np.ndarray]:
-        marked = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
         if not self.parted:
-            return [np.array(self.merged(t), _ID) for t in marked]
-        parts = [_PARTS.findall(t) for t in marked]
-        memory, wanted = self.memory, set(chain.from_iterable(parts))
-        new = wanted.difference(memory)
-        if len(memory) + len(new) > self.most:
-            memory.clear()
-            new = wanted
-        long = [p for p in new if len(p) > self.longest]
-        short = [p for p in new if len(p) <= self.longest]
-        for at in range(0, len(short), 20_000):  # few enough for a processor's cache
-            some = short[at : at + 20_000]
-            memory.update(zip(some, self.joins.ids(some, self.byte_ids), strict=True))
-        memory.update((p, np.array(self.merged(p), _ID).tobytes()) for p in long)
-        out = [np.frombuffer(b"".join(map(memory.__getitem__, own)), _ID) for own in parts]
-        for p in long:
-            del memory[p]
-        return out
+            return [np.array(self.merged(SPACE + t.replace(" ", SPACE) if t else ""), _ID) for t in texts]
+        # A mark in a text is the same as a space; each part begins with its spaces, so spaces stand for marks here.
+        spaced = [b" " + t.encode().replace(_MARK, b" ") if t else b"" for t in texts]
+        joined, memory = b"".join(spaced), self.memory
+        if not joined:
+            return [np.empty(0, _ID)] * len(texts)
+        raw = np.frombuffer(joined, np.uint8)
+        sizes = np.fromiter(map(len, spaced), np.int64, len(spaced))
+        heads = np.cumsum(sizes) - sizes
+        space = raw == 32
+        begins = space.copy()
+        begins[1:] &= ~space[:-1]
+        begins[heads[sizes > 0]] = True
+        starts = np.flatnonzero(begins)
+        lengths = np.diff(np.append(starts, len(raw)))
+        hashes = part_hashes(raw, starts, lengths)
+        places = np.where(lengths <= self.longest, memory.places_of(hashes), 0)
+        missing = np.flatnonzero(places == 0)
+        if len(missing):
+            new, first, which = np.unique(hashes[missing], return_index=True, return_inverse=True)
+            where = missing[first]
+            # Long parts are told apart by more than their hash: each is joined for itself and not remembered.
+            short = lengths[where] <= self.longest
+            long = missing[lengths[missing] > self.longest]
+            listed = [joined[a : a + n].decode().replace(" ", SPACE) for a, n in zip(starts[where[short]].tolist(), lengths[where[short]].tolist(), strict=True)]
+            ids, counts = self.joins.ids(listed, self.byte_ids)
+            apart = [np.array(self.merged(joined[a : a + n].decode().replace(" ", SPACE)), _ID) for a, n in zip(starts[long].tolist(), lengths[long].tolist(), strict=True)]
+            if not memory.has_room(len(ids) + len(counts) + sum(len(x) + 1 for x in apart)):
+                memory.clear()
+                return self._together(texts)
+            own = np.zeros(len(new), np.int64)
+            own[short] = memory.add(ids, counts)
+            memory.know(new[short], own[short])
+            of_short = lengths[missing] <= self.longest
+            places[missing[of_short]] = own[which[of_short]]
+            if apart:
+                places[long] = memory.add(np.concatenate(apart), np.array([len(x) for x in apart]))
+        flat, counts = memory.ids(places)
+        ends = np.append(0, np.cumsum(counts))
+        bounds = ends[np.searchsorted(starts, np.append(heads, len(raw)))]
+        return [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: one space mark in front goes, bytes become characters, broken ones U+FFFD each. Control ids
@@ -200,10 +223,16 @@ class Joins:
         hit = self.keys[at] == key
         return np.where(hit, self.places[at], self.never), self.joined[at]
 
-    def ids(self, parts: list[str], byte_ids: list[int]) -> Iterator[bytes]:
-        """The packed ids of each part, all of them joined at the same time."""
-        if not parts:
-            return iter(())
+    def ids(self, parts: list[str], byte_ids: list[int], most: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all parts in a row, and how many each has. So many parts, few enough for a processor's cache, are
+        joined at the same time."""
+        pairs = [self._ids(parts[at : at + most], byte_ids) for at in range(0, len(parts), most)]
+        if not pairs:
+            return np.empty(0, _ID), np.empty(0, np.int64)
+        ids, counts = zip(*pairs, strict=True)
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _ids(self, parts: list[str], byte_ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.array([len(p) for p in parts])
         points = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
         different, which = np.unique(points, return_inverse=True)
@@ -248,13 +277,64 @@ class Joins:
             found = np.repeat(found, times)
             places = np.repeat(at[other], times[other]) + np.concatenate([np.arange(len(x)) for x in spelled])
             found[places] = list(chain.from_iterable(spelled))
-        packed = found.astype(_ID).tobytes()
-        starts = (np.searchsorted(words, np.arange(len(parts) + 1)) * _ID.itemsize).tolist()
-        return map(lambda a, b: packed[a:b], starts, starts[1:])
-
-
-#: Space marks and what follows up to the next ones.
-_PARTS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+        return found.astype(_ID), np.bincount(words, minlength=len(parts))
+
+
+class Memory:
+    """Ids of parts by a 64-bit hash. A slot holds one part and a newer one takes its place; the pool of ids is emptied
+    when it is full. So memory is bounded."""
+
+    def __init__(self, most: int):
+        self.slots = 1 << max(4, (2 * most - 1).bit_length())
+        self.shift = np.uint64(65 - self.slots.bit_length())
+        self.keys, self.at = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int32)
+        self.pool, self.used = np.zeros(8 * most + 1, _ID), 1  # the number of ids of a part, then these; place 0 is none
+
+    def clear(self) -> None:
+        self.keys[:] = 0
+        self.used = 1
+
+    def has_room(self, more: int) -> bool:
+        """Whether so many numbers go in; a pool that is empty grows for them."""
+        if self.used + more > len(self.pool) and self.used == 1:
+            self.pool = np.zeros(1 + more, _ID)
+        return self.used + more <= len(self.pool)
+
+    def places_of(self, hashes: np.ndarray) -> np.ndarray:
+        slots = hashes >> self.shift
+        return np.where(self.keys[slots] == hashes, self.at[slots], 0).astype(np.int64)
+
+    def add(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Places of parts with these ids, one after the other."""
+        places = self.used + np.cumsum(counts + 1) - counts - 1
+        end = self.used + len(ids) + len(counts)
+        is_id = np.ones(end - self.used, bool)
+        is_id[places - self.used] = False
+        own = self.pool[self.used : end]
+        own[is_id], own[~is_id] = ids, counts
+        self.used = end
+        return places
+
+    def know(self, hashes: np.ndarray, places: np.ndarray) -> None:
+        slots = hashes >> self.shift
+        self.keys[slots], self.at[slots] = hashes, places
+
+    def ids(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids at all places in a row, and how many each has."""
+        counts = self.pool[places].astype(np.int64)
+        first = np.cumsum(counts) - counts
+        return self.pool[np.repeat(places + 1 - first, counts) + np.arange(counts.sum())], counts
+
+
+_random = np.random.default_rng(41)
+_BYTE = _random.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLACE = np.cumprod(np.full(4096, 0xD1342543DE82EF95, dtype=np.uint64))
+
+
+def part_hashes(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A hash of each part, never 0. Parts of up to 4,096 bytes differ in it as random numbers do."""
+    at = (np.arange(len(raw)) - np.repeat(starts, lengths)) % len(_PLACE)
+    return mix(np.add.reduceat(_BYTE[raw] * _PLACE[at], starts) + lengths.astype(np.uint64)) | np.uint64(1)
 
 
 def _characters(raw: bytes) -> str:
