@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import country_key, email_clean, format_status, is_blocked, non_blank, pct, row_count, status_label
+from ..plans.once import computed_once
 from ..schemas import require
 from .coverage import (
     coverage_by_source,
@@ -71,8 +72,9 @@ def email_counts(emails: DataFrame) -> Counts:
     require(emails, columns, "emails")
     folded = _with_sign(emails).groupBy(*columns).agg(F.sum(SIGN).alias("n"))
     clean = email_clean(F.col("email"))
-    rows = folded.select("*", clean.alias(CLEAN), non_blank(F.col("email")).alias("is_filled"))
-    rows = rows.withColumn("status", format_status(F.col(CLEAN)))
+    # No filter of a later check gets below this, or its fold would be another one and the e-mails be read again.
+    cleaned = {**{c: F.col(c) for c in [*columns, "n"]}, CLEAN: clean, "is_filled": non_blank(F.col("email"))}
+    rows = computed_once(folded, [], **cleaned).withColumn("status", format_status(F.col(CLEAN)))
     n, valid, filled = F.col("n"), F.col("status") == "valid", F.coalesce(F.col("is_filled"), F.lit(False))
 
     def where(condition: Column) -> Column:

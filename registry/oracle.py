@@ -6,7 +6,7 @@ from dqspark.functions.text import BLOCKED_LOCAL_PARTS, DELIVERABLE_STATUSES, RO
 from dqspark.operators.metrics import ACTION_RULES, COMPONENTS, DEFAULT_THRESHOLDS, METRIC_LABELS
 
 from .fixtures import ctes, later
-from .queries import EVENT_THRESHOLDS, MIN_TOTAL, RUN_ID
+from .queries import EVENT_THRESHOLDS, MIN_TOTAL, RUN_ID, VENDOR_THRESHOLD
 
 
 def pct(a: str, b: str) -> str:
@@ -592,3 +592,14 @@ CARRIED = [
     "coverage_overall", "coverage_by_source", "coverage_published_by_source", "coverage_published_total", "coverage_domain_universe",
 ]
 ORACLE |= {f"carried_{check}": later(ORACLE[check]) for check in CARRIED}
+
+_VENDOR = f"""SELECT '{RUN_ID}' AS run_id, 'vendor_without_email_pct:' || vendor AS metric_key,
+  'Coverage: % companies without email, vendor ' || vendor AS metric_label, cast(companies AS double) AS value_num, {pct('lacking', 'mailed + lacking')} AS value_pct,
+  CASE WHEN {pct('lacking', 'mailed + lacking')} >= {VENDOR_THRESHOLD} THEN 'breach' ELSE 'ok' END AS severity, cast(NULL AS string) AS details_json
+FROM (SELECT coalesce(nullif(trim(source), ''), '(none)') AS vendor, cast(sum(total_companies) AS bigint) AS companies,
+    cast(sum(companies_with_email) AS bigint) AS mailed, cast(sum(companies_without_email) AS bigint) AS lacking
+  FROM ({ORACLE['coverage_by_source']}) v GROUP BY 1) w"""
+ORACLE["release_report"] = f"""SELECT run_id, metric_key, metric_label, cast(NULL AS double) AS value_num, value_pct, severity, details_json
+FROM ({ORACLE['release_metrics']}) m
+UNION ALL SELECT run_id, metric_key, metric_label, value_num, value_pct, severity, cast(NULL AS string) FROM ({ORACLE['release_volumes']}) n
+UNION ALL {_VENDOR}"""

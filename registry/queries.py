@@ -11,6 +11,7 @@ from dqspark import functions as fn
 from dqspark import operators as op
 from dqspark.operators.carried import CHECKS
 from dqspark.plans.release import release_metrics, release_volumes
+from dqspark.plans.report import release_report
 
 from .fixtures import change, view
 
@@ -19,6 +20,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 # The views have at most 19 e-mails per company and country, and metric values that are daily event counts.
 MIN_TOTAL = 8
 RUN_ID = "release-1"
+# Ten of eleven companies of the views have an e-mail.
+VENDOR_THRESHOLD = 11
 EVENT_THRESHOLDS = {"invalid_format_pct": 65, "duplicate_email_pct": 70, "domain_mismatch_pct": 60, "blocked_email_pct": 66}
 
 
@@ -61,7 +64,7 @@ def _coverage_reconcile(spark, sf_dir):
 
 def _vendor_reachout(spark, sf_dir):
     by_source = op.coverage_by_source(view(spark, sf_dir, "persona_hub"), view(spark, sf_dir, "emails"))
-    return op.vendor_reachout(by_source, threshold=11)
+    return op.vendor_reachout(by_source, threshold=VENDOR_THRESHOLD)
 
 
 def _mismatch_pct(spark, sf_dir):
@@ -143,6 +146,11 @@ def _release_volumes(spark, sf_dir):
     return release_volumes(*(view(spark, sf_dir, v) for v in ("persona_hub", "emails", "domains")), RUN_ID)
 
 
+def _release_report(spark, sf_dir):
+    hub, emails, domains = (view(spark, sf_dir, v) for v in ("persona_hub", "emails", "domains"))
+    return _as_rows(release_report(hub, emails, domains, RUN_ID, vendor_threshold=VENDOR_THRESHOLD))
+
+
 def _release_volume_change(spark, sf_dir):
     counts = view(spark, sf_dir, "dq_metrics").withColumnRenamed("value_pct", "value_num")
     return op.release_volume_change(_runs(spark, sf_dir), counts)
@@ -229,6 +237,7 @@ OPERATORS: dict[str, Query] = {
     "metric_frame": _metric_frame,
     "release_metrics": _release_metrics,
     "release_volumes": _release_volumes,
+    "release_report": _release_report,
     "with_severity": _with_severity,
     "breaches": _breached,
     "action_items": _action_items,

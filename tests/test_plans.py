@@ -8,6 +8,7 @@ import pytest
 
 from dqspark import operators as op
 from dqspark.plans.release import release_metrics
+from dqspark.plans.report import release_report
 
 from .adversarial import DDL, tables
 
@@ -167,3 +168,13 @@ def test_release_metrics_clean_the_emails_once(stored):
     assert final.count("regexp_replace(lower(trim(") == 1
     reused = [line for line in final.splitlines() if "ReusedExchange" in line and "email_clean" in line]
     assert len(reused) >= 3
+
+
+def test_the_report_reads_the_emails_once_besides_the_domain_match(stored):
+    hub, emails, domains = (stored[t] for t in ("persona_hub", "emails", "domains"))
+
+    def reads(df):
+        final = final_plan(df).split("== Initial Plan ==")[0]
+        return sum("email:string" in line for line in scans(final))
+
+    assert reads(release_report(hub, emails, domains, "r")) <= reads(op.domain_match_by_country(hub, emails)) + 1
