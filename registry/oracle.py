@@ -603,3 +603,5 @@ ORACLE["release_report"] = f"""SELECT run_id, metric_key, metric_label, cast(NUL
 FROM ({ORACLE['release_metrics']}) m
 UNION ALL SELECT run_id, metric_key, metric_label, value_num, value_pct, severity, cast(NULL AS string) FROM ({ORACLE['release_volumes']}) n
 UNION ALL {_VENDOR}"""
+
+ORACLE["latest_release_change"] = f"""SELECT * FROM ({ORACLE['release_change']}) c WHERE run_ts = (SELECT max(cast(ts AS date)) FROM events)"""

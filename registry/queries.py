@@ -164,6 +164,10 @@ def _release_change(spark, sf_dir):
     return op.release_change(_runs(spark, sf_dir), view(spark, sf_dir, "dq_metrics"))
 
 
+def _latest_release_change(spark, sf_dir):
+    return op.latest_release_change(_runs(spark, sf_dir), view(spark, sf_dir, "dq_metrics"))
+
+
 def _pct_by_status(spark, sf_dir):
     invalid = F.count_if(F.col("email").isNull())
     return view(spark, sf_dir, "emails").groupBy("id").agg(fn.pct(invalid, F.count(F.lit(1))).alias("pct_null"))
@@ -246,6 +250,7 @@ OPERATORS: dict[str, Query] = {
     "upsert_metrics": _upserted,
     "release_trend": _release_trend,
     "release_change": _release_change,
+    "latest_release_change": _latest_release_change,
     "release_volume_change": _release_volume_change,
 }
 
