@@ -2,12 +2,53 @@
 
 from __future__ import annotations
 
-from dqspark.functions.text import BLOCKED_LOCAL_PARTS, DELIVERABLE_STATUSES, ROLE_INBOXES, ROLE_PREFIXES
-from dqspark.operators.metrics import ACTION_RULES, COMPONENTS, DEFAULT_THRESHOLDS, METRIC_LABELS
-
 from .fixtures import ctes, later
 from .queries import EVENT_THRESHOLDS, MIN_TOTAL, RUN_ID, VENDOR_THRESHOLD
 
+# Fixed values, stated here anew so that a slip in the library shows.
+BLOCKED_LOCAL_PARTS = ["no-reply", "noreply", "do-not-reply", "donotreply"]
+ROLE_INBOXES = ["sales", "info", "contact", "enquiries", "support", "hello", "admin"]
+ROLE_PREFIXES = ["sales", "info", "contact"]
+DELIVERABLE_STATUSES = ["valid", "deliverable", "verified"]
+DEFAULT_THRESHOLDS = {
+    "coverage_without_email_pct": 30,
+    "domain_status_not_200_pct": 30,
+    "invalid_format_pct": 2,
+    "duplicate_email_pct": 5,
+    "domain_mismatch_pct": 30,
+    "blocked_email_pct": 1,
+    "gt5_email_country_pct_max": 2,
+}
+METRIC_LABELS = {
+    "coverage_with_email_pct": "Coverage: % companies with ≥1 email",
+    "coverage_without_email_pct": "Coverage: % companies without email",
+    "domain_status_not_200_pct": "Domains: % not-200",
+    "invalid_format_pct": "Email format: % invalid",
+    "duplicate_email_pct": "Duplicate emails: %",
+    "domain_mismatch_pct": "Domain mismatch: %",
+    "blocked_email_pct": "Blocked emails: %",
+    "gt5_email_country_pct_max": "Max country % of companies with >5 emails",
+}
+ACTION_RULES = {
+    "coverage_without_email_pct": "[SLA] Low email coverage — investigate ingestion gaps and ID mapping.",
+    "domain_status_not_200_pct": "[SLA] High non-200 domains — improve enrichment/retry and validate vendor domains.",
+    "invalid_format_pct": "[DQ] High invalid formats — improve cleaning, block masked/placeholder values, fix upstream.",
+    "duplicate_email_pct": "[DQ] High duplicates — enforce dedupe and identify duplicate-producing source.",
+    "domain_mismatch_pct": "[DQ] High mismatch — improve parsing/mapping + controlled exceptions (free-mail, group domains).",
+    "blocked_email_pct": "[DQ] High blocked emails — expand blocklist and drop no-reply early.",
+    "gt5_email_country_pct_max": "[DQ] High >5 emails rate — enforce top-5 policy and prune noisy emails per country.",
+}
+# Parts of the composite score; True where a higher rate is better.
+COMPONENTS = {
+    "coverage_with_email_pct": True,
+    "invalid_format_pct": False,
+    "duplicate_email_pct": False,
+    "blocked_email_pct": False,
+    "domain_mismatch_pct": False,
+    "domain_status_not_200_pct": False,
+    "gt5_email_country_pct_max": False,
+}
+
 
 def pct(a: str, b: str) -> str:
     return f"(((20000 * ({a}) + ({b})) // nullif(2 * ({b}), 0)) / 100.0)"
