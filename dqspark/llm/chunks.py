@@ -6,6 +6,7 @@ A gear hash rolls over the bytes of a text; a chunk ends where its top bits are
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,13 +19,12 @@ from .work import sliced
 from .words import FOLD
 
 _GEAR = np.random.default_rng(5).integers(0, 2**32, 256, dtype=np.uint32)
-_CHUNKS = "high long, low long, doc_id long, text_key long, chunk int, start long, stop long, words int"
+_CHUNKS = "high long, low long, doc_id long, text_key int, chunk int, start long, stop long, words int"
 
 
 def text_key(text: bytes) -> int:
-    """64 bits that tell the texts under one doc_id apart: the same as Spark's xxhash64 of the text."""
-    key = xxhash.xxh64_intdigest(text, 42)
-    return key - (key >> 63 << 64)
+    """32 bits that tell the texts under one doc_id apart: Spark's crc32 of the text, as a signed number."""
+    return (zlib.crc32(text) ^ 1 << 31) - (1 << 31)
 
 
 def ends(text: bytes, least: int, most: int, bits: int) -> list[int]:
@@ -74,7 +74,7 @@ def chunk_rows(docs: DataFrame, least: int = 20, most: int = 256, bits: int = 4)
                 points = np.cumsum(np.frombuffer(text, np.uint8) & 0xC0 != 0x80)[at - 1]
                 inside = np.frombuffer(text.translate(FOLD), np.uint8) != 32
                 words = np.cumsum(inside & ~np.append(False, inside[:-1]))[at - 1]
-                of = (np.full(len(at), doc), np.full(len(at), text_key(text)), np.arange(len(at), dtype=np.int32), np.append(0, points[:-1]), points, np.diff(words, prepend=0).astype(np.int32))
+                of = (np.full(len(at), doc), np.full(len(at), text_key(text), np.int32), np.arange(len(at), dtype=np.int32), np.append(0, points[:-1]), points, np.diff(words, prepend=0).astype(np.int32))
                 for column, values in zip(columns, of, strict=True):
                     column.append(values)
                 if len(digests) >= 50_000:
@@ -128,5 +128,5 @@ def without_repeats(docs: DataFrame, min_words: int = 15) -> DataFrame:
         lambda x: F.concat(x["text"], F.substring(F.col("text"), (x["at"] + 1).cast("int"), F.length("text"))),
     )
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    rows = rows.withColumn("text_key", F.xxhash64("text"))
+    rows = rows.withColumn("text_key", (F.crc32(F.col("text").cast("binary")).bitwiseXOR(F.lit(1 << 31)) - (1 << 31)).cast("int"))
     return rows.join(cuts, ["doc_id", "text_key"], "left").select("doc_id", F.when(F.col("cuts").isNull(), F.col("text")).otherwise(cut).alias("text"))
