@@ -103,11 +103,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
-def change(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, DataFrame]:
-    """The added and the removed rows of the later release of a view."""
+def change(before: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """The added and the removed rows of the later release of the view `name`, given the one before."""
     columns, removed, added = CHANGES[name]
-    before = view(spark, sf_dir, name)
     frames = {name: before}
+    spark = before.sparkSession
     return spark.sql(added, **frames), spark.sql(f"SELECT {columns} FROM {{{name}}} WHERE {removed}", **frames)
 
 

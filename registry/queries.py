@@ -180,8 +180,9 @@ def _carried(check: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         before, since = {}, {}
         for name, counts_of in count.items():
-            before |= counts_of(view(spark, sf_dir, name))
-            since |= counts_of(op.signed(*change(spark, sf_dir, name)))
+            rows = view(spark, sf_dir, name)
+            before |= counts_of(rows)
+            since |= counts_of(op.signed(*change(rows, name)))
         return op.carried_check(check, op.merge_counts(before, since))
 
     return query

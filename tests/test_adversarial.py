@@ -21,7 +21,7 @@ def on_given_rows(sql: str) -> str:
     """The statement with each derived view replaced by the table of that name."""
     for name in DDL:
         derived = VIEWS[name].format(**{t: t for t in TABLES})
-        sql = sql.replace(f"{name} AS ({derived})", f"{name} AS (SELECT * FROM given_{name})")
+        sql = sql.replace(f" AS ({derived})", f" AS (SELECT * FROM given_{name})")
     return sql
 
 
