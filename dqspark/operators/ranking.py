@@ -168,7 +168,8 @@ def priority_top_emails(
         groups = F.broadcast(_totals(counts, domains, dedupe_domains, min_total).orderBy(*group_order).limit(n))  # n rows
         folded = _folded(null_safe_join(base, groups.select(*_GROUP), _GROUP, "left_semi"))
 
-    hot = hot_keys_of(folded, "id")
+    # Reading the counts here too keeps the shuffle behind `folded` the same in all its uses, so that it runs once.
+    hot = hot_keys_of(folded.where(F.col("rows") > 0), "id")
     matched = _with_company(_few_per_domain(folded, k), domains, hot)
     if dedupe_domains:
         matched = matched.withColumns({"related": F.least("related", F.lit(1)), "fan_out": F.lit(1)})
