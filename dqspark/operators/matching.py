@@ -319,24 +319,28 @@ def domain_root_match(domains: DataFrame, emails: DataFrame) -> DataFrame:
     return per_id.agg(pct(F.sum("same"), F.sum("pairs")).alias("match_pct"))
 
 
-def _first_of_each_root(rows: DataFrame, root: str, order: list[str], n: int) -> DataFrame:
-    """Per id the first n rows of each of its first n + 1 roots.
+def _first_beside_any_root(rows: DataFrame, root: str, order: str, n: int) -> DataFrame:
+    """At most 2n rows per id, among them the first n that do not have some one root, whichever it is.
 
-    Whatever single root is ruled out, the first n rows of the remaining ones are among these.
+    A root has at most n of the rows kept by the first cut, so 2n of them hold n of other roots.
     """
-    in_root = Window.partitionBy("id", root).orderBy(*[F.asc_nulls_last(c) for c in order])
-    each = rows.withColumn("nth", F.row_number().over(in_root)).where(F.col("nth") <= n)
-    heads = {f"head_{c}": F.first(c).over(in_root) for c in order}
-    by_head = Window.partitionBy("id").orderBy(*[F.asc_nulls_last(h) for h in heads], root)
-    place = F.dense_rank().over(by_head)
-    return each.withColumns(heads).withColumn("place", place).where(F.col("place") <= n + 1).drop("nth", "place", *heads)
+    in_root = Window.partitionBy("id", root).orderBy(F.asc_nulls_last(order))
+    in_id = Window.partitionBy("id").orderBy(F.asc_nulls_last(order), root)
+    few = rows.withColumn("nth", F.row_number().over(in_root)).where(F.col("nth") <= n)
+    return few.withColumn("nth", F.row_number().over(in_id)).where(F.col("nth") <= 2 * n).drop("nth")
 
 
-def domain_mismatch_examples(domains: DataFrame, emails: DataFrame, n: int = 20) -> DataFrame:
-    """Pairs of a company's domain and address with different, non-empty first labels, in id order.
+def _by_company() -> list[Column]:
+    return [F.col("id"), *[F.asc_nulls_last(c) for c in ("fqdn", "country", "status_code")]]
+
+
+def mismatch_pairs(domains: DataFrame, emails: DataFrame, n: int) -> DataFrame:
+    """At most 2n^2 pairs of a company's domain and address with different, non-empty first labels, among them the
+    first n of all.
 
-    The first n companies that have such a pair are found from the extreme roots of each side; only their
-    rows are joined, and of those only the few that can reach the list.
+    The extreme roots of each side tell which companies have such a pair and which domains have a partner. Every
+    domain that has one starts at least one pair, so the first n of them suffice; each needs its first n addresses
+    of another root.
     """
     require(domains, ["country", "status_code"], "domains")
     company, address = _roots(domains, emails)
@@ -352,14 +356,20 @@ def domain_mismatch_examples(domains: DataFrame, emails: DataFrame, n: int = 20)
     )
     both = F.col("minc").isNotNull() & F.col("mina").isNotNull()
     differ = F.least("minc", "mina") != F.greatest("maxc", "maxa")
-    ids = F.broadcast(extremes.where(both & differ).select("id").orderBy("id").limit(n))
+    ids = F.broadcast(extremes.where(both & differ).select("id", "mina", "maxa").orderBy("id").limit(n))
 
-    company_order = ["fqdn", "country", "status_code"]
-    few_domains = _first_of_each_root(company.join(ids, "id", "left_semi"), "company_root", company_order, n)
-    few_emails = _first_of_each_root(address.join(ids, "id", "left_semi"), "email_root", ["email"], n)
-    pairs = few_domains.join(few_emails, "id").where(F.col("company_root") != F.col("email_root"))
+    has_partner = (F.col("mina") != F.col("company_root")) | (F.col("maxa") != F.col("company_root"))
+    partnered = company.join(ids, "id").where(has_partner).drop("mina", "maxa")
+    few_domains = partnered.orderBy(*_by_company()).limit(n)
+    few_emails = _first_beside_any_root(address.join(ids, "id", "left_semi"), "email_root", "email", n)
+    return few_emails.join(F.broadcast(few_domains), "id").where(F.col("company_root") != F.col("email_root"))
+
+
+def domain_mismatch_examples(domains: DataFrame, emails: DataFrame, n: int = 20) -> DataFrame:
+    """The first n `mismatch_pairs` in id order, then by domain, country, status and address."""
     return (
-        pairs.orderBy("id", *[F.asc_nulls_last(c) for c in company_order], "email")
+        mismatch_pairs(domains, emails, n)
+        .orderBy(*_by_company(), F.asc_nulls_last("email"))
         .limit(n)
         .select("id", "country", "status_code", "fqdn", "email", "company_root", "email_root")
     )

@@ -271,3 +271,19 @@ def test_lists_whose_addresses_begin_alike_are_placed_by_many_tasks(spark, parti
         assert max(tasks) < 2 * 20_000 / partitions
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("roots", [1, 2, 40])
+def test_mismatch_examples_pair_few_rows_and_equal_all_pairs(spark, roots):
+    """Every company's addresses begin with many of one root, which some of its domains have too."""
+    n = 6
+    domains = [(i, "DE", 0, f"r{d % 9}.com") for i in range(4) for d in range(60)] + [(9, "DE", 0, "r0.com")] * 30
+    emails = [(i, f"a{e:03}@r{0 if e < 90 else e % roots}.com") for i in range(4) for e in range(150)]
+    emails += [(9, f"b{e}@r0.org") for e in range(50)] + [(3, "a000@r0.com")] * 8
+    d = spark.createDataFrame(domains, "id bigint, country string, status_code int, fqdn string")
+    e = spark.createDataFrame(emails, "id bigint, email string").repartition(8)
+    assert matching.mismatch_pairs(d, e, n).count() <= 2 * n * n
+    found = [(r["id"], r["fqdn"], r["email"]) for r in op.domain_mismatch_examples(d, e, n).collect()]
+    root = lambda name: name.split(".")[0]
+    pairs = [(i, f, a) for i, _, _, f in domains for j, a in emails if i == j and root(f) != root(a.split("@")[1])]
+    assert found == sorted(pairs)[:n]
