@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .work import sliced
-from .words import FOLD
+from .words import FOLD, word_starts
 
 _GEAR = np.random.default_rng(5).integers(0, 2**32, 256, dtype=np.uint32)
 _CHUNKS = "high long, low long, doc_id long, text_key int, chunk int, start long, stop long, words int"
@@ -72,8 +72,7 @@ def chunk_rows(docs: DataFrame, least: int = 20, most: int = 256, bits: int = 4)
                 digests += [digest(text[a:b]) for a, b in zip([0, *stops[:-1]], stops, strict=True)]
                 at = np.array(stops)
                 points = np.cumsum(np.frombuffer(text, np.uint8) & 0xC0 != 0x80)[at - 1]
-                inside = np.frombuffer(text.translate(FOLD), np.uint8) != 32
-                words = np.cumsum(inside & ~np.append(False, inside[:-1]))[at - 1]
+                words = np.cumsum(word_starts(np.frombuffer(text.translate(FOLD), np.uint8)))[at - 1]
                 of = (np.full(len(at), doc), np.full(len(at), text_key(text), np.int32), np.arange(len(at), dtype=np.int32), np.append(0, points[:-1]), points, np.diff(words, prepend=0).astype(np.int32))
                 for column, values in zip(columns, of, strict=True):
                     column.append(values)
@@ -107,7 +106,7 @@ def _runs(docs: DataFrame, min_words: int, least: int, most: int, bits: int) ->
 def repeated_passages(docs: DataFrame, min_words: int = 15, least: int = 20, most: int = 256, bits: int = 4) -> DataFrame:
     """Runs of chunks that occur in several documents, of min_words words or more.
 
-    One row per run: doc_id, start, stop (code points), n_words, n_chunks, first_doc_id (the smallest id that holds a
+    Each character of an unspaced script counts as a word. One row per run: doc_id, start, stop (code points), n_words, n_chunks, first_doc_id (the smallest id that holds a
     chunk of the run), is_first. The document first_doc_id has a row of its own. Rows without a text or a doc_id have no
     chunks. What repeats only under one doc_id is not reported. Different texts under one doc_id have runs of their own;
     equal ones are one text.

@@ -31,12 +31,16 @@ BLOCK = frozenset({
     "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 })
 INLINE = frozenset({"a", "abbr", "b", "br", "cite", "code", "em", "font", "i", "img", "input", "label", "mark", "q", "s", "small", "span", "strong", "sub", "sup", "time", "u"})
-_KNOWN = BLOCK | INLINE
+_KNOWN = BLOCK | INLINE | VOID | {"head"}
 #: Elements that only a new element of these ends.
 _ENDS_P = BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
+#: Names that mark what is no text, and words that go with them in compound names ("cookie-banner", "site_nav_links").
 _ASIDE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disclaimer|footer|masthead|menu|nav\w*|newsletter|notice|popup|promo\w*|related|replies|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|widget)(?:$|[\s_-])",
-    re.IGNORECASE,
+    r"ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disclaimer|footer|masthead|menu|nav\w*|newsletter|notice|popup|promo\w*|related|replies|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|widget"
+)
+_BESIDE_NAMES = frozenset(
+    "area articles bar block bottom box button buttons center container content desktop first form global group header icons inner item items last left link links list main mobile module outer page panel policy"
+    " post posts primary right row secondary section site slot sticky text title top unit wrap wrapper".split()
 )
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.DOTALL)
 _CLOSE = {tag: re.compile(rf"</{tag}(?=[\s/>]|$)", re.IGNORECASE) for tag in HIDDEN}
@@ -48,7 +52,14 @@ def _aside(tag: str, attributes: str) -> bool:
         return True
     if tag in MAIN or tag in ("body", "html"):
         return False
-    return bool(attributes) and any(_ASIDE_NAMES.search(a or b or c) for _, a, b, c in _NAMES.findall(attributes))
+    return bool(attributes) and any(_aside_name(name) for _, a, b, c in _NAMES.findall(attributes) for name in (a or b or c).lower().split())
+
+
+def _aside_name(name: str) -> bool:
+    """Whether all words of a name are of the two lists, one at least of the first: "sidebar-left", not "no-sidebar"."""
+    words = [w for w in re.split(r"[-_]+", name) if w and not w.isdigit()]
+    named = [bool(_ASIDE_NAMES.fullmatch(w)) for w in words]
+    return any(named) and all(n or w in _BESIDE_NAMES for n, w in zip(named, words, strict=True))
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
@@ -58,23 +69,25 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
     element is the innermost open block; what its end tag does not close, the end of an outer element closes.
     """
     opened: list[tuple[str, bool]] = []
+    places: dict[str, list[int]] = {}  # of each open tag in opened, so that no step walks over all that is open
+    blocks = ["body"]
     at, size, aside, main = 0, len(page), 0, 0
 
     def shut(to: int) -> None:
         nonlocal aside, main
         while len(opened) > to:
             tag, was_aside = opened.pop()
+            places[tag].pop()
+            if tag in BLOCK:
+                blocks.pop()
             aside -= was_aside
             main -= tag in MAIN
 
-    def element() -> str:
-        return next((t for t, _ in reversed(opened) if t in BLOCK), "body")
-
     while at < size:
         found = _TAG.search(page, at)
         stop = found.start() if found else size
         if stop > at:
-            yield "text", page[at:stop], element(), main > 0, aside > 0
+            yield "text", page[at:stop], blocks[-1], main > 0, aside > 0
         if not found:
             return
         at = found.end()
@@ -90,24 +103,26 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
             continue
         known = tag if tag in _KNOWN else "other"
         if found[1]:
-            where = next((n for n in range(len(opened) - 1, -1, -1) if opened[n][0] == tag), None)
-            yield "close", known, element(), main > 0, aside > 0
-            if where is not None:
-                shut(where)
+            yield "close", known, blocks[-1], main > 0, aside > 0
+            if places.get(tag):
+                shut(places[tag][-1])
             continue
-        if tag in _ENDS_P and (where := next((n for n in range(len(opened) - 1, -1, -1) if opened[n][0] == "p"), None)) is not None:
-            shut(where)
+        if tag in _ENDS_P and places.get("p"):
+            shut(places["p"][-1])
         if tag not in VOID and not found[3].rstrip().endswith("/"):
             own = _aside(tag, found[3]) or (tag == "header" and not main)
+            places.setdefault(tag, []).append(len(opened))
             opened.append((tag, own))
+            if tag in BLOCK:
+                blocks.append(tag)
             aside += own
             main += tag in MAIN
-        yield "open", known, element(), main > 0, aside > 0
+        yield "open", known, blocks[-1], main > 0, aside > 0
 
 
-def labelled(page: str) -> bool:
-    """Whether a page marks one main part."""
-    return len(re.findall(r"<(?:article|main)[\s>]", page, re.IGNORECASE)) == 1
+def labelled(found: list[tuple[str, str, str, bool, bool]]) -> bool:
+    """Whether the tokens of a page mark one main part."""
+    return sum(kind == "open" and value in MAIN and not aside for kind, value, _, _, aside in found) == 1
 
 
 def _tag(value: str, element: str) -> str:
@@ -118,9 +133,10 @@ def token_counts(page: str) -> Counter:
     """How often each kind of word and tag stands inside (True) and outside of the main part of a labelled page, without
     the parts that never belong to the text."""
     out: Counter = Counter()
-    if not labelled(page):
+    found = list(tokens(page))
+    if not labelled(found):
         return out
-    for kind, value, element, main, aside in tokens(page):
+    for kind, value, element, main, aside in found:
         if aside:
             continue
         if kind == "text":
@@ -166,7 +182,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     total, first, parts = 0.0, 0, []
     found = list(tokens(page or ""))
     # What stands outside of the one main part of a labelled page is no text, whatever it looks like.
-    marked = labelled(page or "") and any(kind == "text" and main and not aside and value.split() for kind, value, _, main, aside in found)
+    marked = labelled(found) and any(kind == "text" and main and not aside and value.split() for kind, value, _, main, aside in found)
     for kind, value, element, main, aside in found:
         if kind == "text":
             n = len(value.split())
@@ -184,7 +200,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
             elif value == "br":
                 parts.append("\n")
             if not aside:
-                total += -0.01 if main else weights.get(_tag(value, element), -0.25)
+                total += -0.01 if main else weights.get(_tag(value, element), -0.05)
     for part in parts[best[1] : best[2]]:
         if part is None:
             blocks.append([])

@@ -22,7 +22,7 @@ from .words import FOLD
 
 BUCKETS = 4096
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]")  # also matches numerals such as ½ and Ⅷ
 _MANY = 1_000_000
 
 
@@ -100,7 +100,7 @@ def train(shares: np.ndarray, labels: np.ndarray, languages: list[str], size: in
 
 def fit(docs: DataFrame, sample: int = 3000) -> Model | None:
     """A model from about sample rows with text and lang, not held out: as many of each language, chosen by a hash of
-    doc_id and text. What reaches the driver is their bucket counts. None if there is nothing to learn from."""
+    doc_id and text. What reaches the driver is their shares by bucket. None if there is nothing to learn from."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != HELD_OUT))
     rows_of = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not rows_of:
@@ -112,17 +112,17 @@ def fit(docs: DataFrame, sample: int = 3000) -> Model | None:
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(stream):
             counts = [bucket_counts(t) for t in batch.column(0).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([np.minimum(c, 65535).astype("<u2").tobytes() for c in counts], pa.binary())], names=["lang", "counts"])
+            shares = [(c / max(1, c.sum())).astype("<f4").tobytes() for c in counts]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(shares, pa.binary())], names=["lang", "shares"])
 
-    rows = picked.mapInArrow(batches, "lang string, counts binary").collect()
+    rows = picked.mapInArrow(batches, "lang string, shares binary").collect()
     languages = sorted(rows_of)
     if not rows:
         return Model(languages, np.zeros((BUCKETS, len(languages))), np.zeros(len(languages)), 1.0, 0.0)
     number = {lang: k for k, lang in enumerate(languages)}
     shares = np.empty((len(rows), BUCKETS), np.float32)
     for k, row in enumerate(rows):
-        counts = np.frombuffer(row["counts"], "<u2")
-        shares[k] = counts / max(1, counts.sum())
+        shares[k] = np.frombuffer(row["shares"], "<f4")
     order = np.lexsort((shares[:, 7], shares[:, 1], shares.argmax(axis=1)))
     return train(shares[order], np.array([number[rows[k]["lang"]] for k in order]), languages)
 
@@ -140,7 +140,7 @@ def predict(docs: DataFrame, model: Model | None) -> tuple[DataFrame, dict[str,
         model = shared.value
         found, scores, accepted = [], [], []
         for text in texts.to_pylist():
-            if model is None or text is None or not _LETTER.search(text):
+            if model is None or text is None or not any(m[0].isalpha() for m in _LETTER.finditer(text)):
                 found.append(UNKNOWN)
                 scores.append(0.0)
                 accepted.append(False)

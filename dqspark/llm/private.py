@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -86,14 +87,30 @@ def _wider(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int,
     found += [(m.start(), 2, m.end()) for m in _CARD.finditer(text) if m.end() - m.start() <= 40 and 14 <= len(_digits(m[0])) <= 19]
     if ":" in text:
         found += [(m.start(), 1, m.end()) for m in _IPV6.finditer(text)]
-    out, taken = [], sorted(base)
+    out, free = [], _free_of(base)
     for span in sorted(found):
-        if all(span[2] <= a or b <= span[0] for a, _, b in taken):
+        if free(span) and (not out or out[-1][2] <= span[0]):
             out.append(span)
-            taken.append(span)
     return out
 
 
+def _free_of(taken: list[tuple[int, int, int]]) -> Callable[[tuple[int, int, int]], bool]:
+    """Whether a span touches none of those taken: looked up among their unions, which are in order."""
+    starts, ends = [], []
+    for a, _, b in sorted(taken):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+
+    def free(span: tuple[int, int, int]) -> bool:
+        before = bisect_left(starts, span[2]) - 1
+        return before < 0 or ends[before] <= span[0]
+
+    return free
+
+
 def _votes(text: str, kind: int, start: int, end: int, base: bool) -> str:
     """A vote of each labeler: + for, - against, 0 for neither."""
     span, before = text[start:end], text[max(0, start - 40) : start]
@@ -122,8 +139,8 @@ def candidates(text: str | None) -> list[tuple[int, int, int, bool, str]]:
     base = base_spans(text) if _ANY.search(text) else []
     wide = _wider(text, base) if _ANY.search(text) else []
     if re.search(r"[ (\[]dot[ )\]]", text, re.IGNORECASE):
-        taken = base + wide
-        wide += [(m.start(), 0, m.end()) for m in _SPELT.finditer(text) if all(m.end() <= a or b <= m.start() for a, _, b in taken)]
+        free = _free_of(base + wide)
+        wide += [span for m in _SPELT.finditer(text) if free(span := (m.start(), 0, m.end()))]
     return sorted([(a, k, b, True, _votes(text, k, a, b, True)) for a, k, b in base] + [(a, k, b, False, _votes(text, k, a, b, False)) for a, k, b in wide])
 
 

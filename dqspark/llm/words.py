@@ -1,4 +1,7 @@
-"""Words of a text, on UTF-8 bytes: runs of ASCII letters and digits and of anything beyond ASCII, A-Z lower-cased."""
+"""Words of a text, on UTF-8 bytes: runs of ASCII letters and digits and of anything beyond ASCII, A-Z lower-cased.
+
+For hashes and counts, each character of a script that is written without spaces is a word of its own.
+"""
 
 from __future__ import annotations
 
@@ -25,21 +28,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def word_starts(folded: np.ndarray) -> np.ndarray:
+    """Where the words of folded bytes begin. Characters of unspaced scripts (three bytes each: Chinese, kana, Thai, Lao,
+    Burmese, Khmer) begin a word, and so does what follows them."""
+    inside = folded != 32
+    starts = inside & ~np.append(False, inside[:-1])[: len(inside)]
+    if (folded >= 0xE0).any():
+        second = np.append(folded[1:], 0)
+        alone = (folded >= 0xE3) & (folded <= 0xE9)
+        alone |= (folded == 0xE0) & (second >= 0xB8) & (second <= 0xBB)
+        alone |= (folded == 0xE1) & ((second >= 0x80) & (second <= 0x82) | (second == 0x9E) | (second == 0x9F))
+        after = np.append(np.zeros(3, bool), alone)[: len(folded)]
+        starts |= alone | after & inside
+    return starts
+
+
 def word_hashes(text: bytes | None) -> np.ndarray:
     """A 64-bit hash of each word of a text, in order."""
     if not text:
         return np.empty(0, np.uint64)
     letters = np.frombuffer(text.translate(FOLD), np.uint8)
-    inside = letters != 32
-    edges = np.diff(inside, prepend=False, append=False)
-    places = np.flatnonzero(edges)
-    starts, ends = places[::2], places[1::2]
+    starts = np.flatnonzero(word_starts(letters))
     if not len(starts):
         return np.empty(0, np.uint64)
+    inside = letters != 32
     kept = np.flatnonzero(inside)
-    first = np.concatenate(([0], np.cumsum(ends - starts)[:-1]))
-    at = (kept - np.repeat(starts, ends - starts)) % len(_PLACE)
-    return mix(np.add.reduceat(_BYTE[letters[kept]] * _PLACE[at], first) + (ends - starts).astype(np.uint64))
+    first = np.searchsorted(kept, starts)
+    lengths = np.diff(first, append=len(kept))
+    at = (kept - np.repeat(starts, lengths)) % len(_PLACE)
+    return mix(np.add.reduceat(_BYTE[letters[kept]] * _PLACE[at], first) + lengths.astype(np.uint64))
 
 
 def shingle_hashes(text: bytes | None, size: int = 5) -> np.ndarray:
