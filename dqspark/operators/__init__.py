@@ -9,6 +9,7 @@ from .coverage import (
     coverage_published_by_source,
     coverage_published_total,
     coverage_reconcile,
+    coverage_reconcile_email_reasons,
     coverage_reconcile_reasons,
     vendor_reachout,
 )
@@ -30,6 +31,7 @@ from .matching import (
     domain_mismatch_examples,
     domain_mismatch_pct,
     domain_root_match,
+    domain_root_mismatch_pct,
 )
 from .metrics import (
     ACTION_RULES,
@@ -54,10 +56,10 @@ __all__ = [
     "company_valid_format",
     "composite_metric", "composite_score", "coverage_by_source", "coverage_delta", "coverage_domain_universe",
     "coverage_overall", "coverage_published_by_source", "coverage_published_total", "coverage_reconcile",
-    "coverage_reconcile_reasons", "domain_counts", "email_counts", "hub_counts", "impossible_counts", "latest_release_change", "merge_counts", "signed",
+    "coverage_reconcile_email_reasons", "coverage_reconcile_reasons", "domain_counts", "email_counts", "hub_counts", "impossible_counts", "latest_release_change", "merge_counts", "signed",
     "deliverability_distribution", "domain_match_by_country", "domain_match_company_review", "domain_match_emails",
     "domain_match_review_addresses", "domain_match_rollup", "domain_mismatch_examples", "domain_mismatch_pct",
-    "domain_root_match", "domain_status_distribution", "domain_status_summary", "duplicate_buckets",
+    "domain_root_match", "domain_root_mismatch_pct", "domain_status_distribution", "domain_status_summary", "duplicate_buckets",
     "duplicate_summary", "duplicate_top", "email_format_distribution", "email_volume_by_country",
     "email_volume_examples", "email_volume_worst_country", "invalid_email_examples", "metric_frame",
     "metrics_from_wide", "priority_top_emails", "release_change", "release_state", "release_volume_change", "release_trend", "unique_duplicate_count",

@@ -166,6 +166,36 @@ def coverage_reconcile_reasons(hub: DataFrame) -> DataFrame:
     return reasons.withColumn("total_difference", F.col("further_vendors") - F.col("companies_without_id"))
 
 
+def coverage_reconcile_email_reasons(hub: DataFrame, emails: DataFrame, blank_is_missing: bool = True) -> DataFrame:
+    """Why the vendor totals of companies with, and of those without an e-mail exceed the overall figures.
+
+    Two rows. Every further vendor of an id adds one to the vendors' side; so does every further vendor that has rows
+    without an id, which are one company without e-mail overall. `difference` is the sum of both.
+    """
+    require(hub, ["id", "source"], "hub")
+    require(emails, ["id", "email"], "emails")
+    vendors = hub.select("id", "source").distinct().groupBy("id").agg(row_count().alias("vendors"))
+    mailed = emails.where(_present(F.col("email"), blank_is_missing) & F.col("id").isNotNull()).select("id").distinct()
+    sides = vendors.unionByName(mailed.withColumn("mailed", F.lit(True)), allowMissingColumns=True)
+    per_id = sides.groupBy("id").agg(F.max("vendors").alias("vendors"), F.bool_or("mailed").alias("mailed"))
+    known, further = F.col("id").isNotNull(), F.col("vendors") - 1
+    having = _has_email()
+
+    def reasons(of_kind: Column, name: str) -> Column:
+        listed = of_kind & F.col("vendors").isNotNull()
+        by_id, no_id = (F.coalesce(F.sum(F.when(listed & c, further)), F.lit(0)).cast("bigint") for c in (known, ~known))
+        return F.struct(
+            F.lit(name).alias("companies"),
+            F.count_if(listed & known & (further > 0)).alias("ids_with_several_vendors"),
+            by_id.alias("further_vendors"),
+            no_id.alias("further_vendors_without_id"),
+            (by_id + no_id).alias("difference"),
+        )
+
+    both = per_id.agg(F.array(reasons(having, "with e-mail"), reasons(~having, "without e-mail")).alias("rows"))
+    return both.select(F.inline("rows"))
+
+
 def vendor_reachout(by_source: DataFrame, threshold: float = 70) -> DataFrame:
     """Flag the vendors whose share of companies without e-mail reaches the threshold, worst first."""
     require(by_source, ["source", "pct_without_email"], "coverage by source")

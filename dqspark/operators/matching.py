@@ -319,6 +319,11 @@ def domain_root_match(domains: DataFrame, emails: DataFrame) -> DataFrame:
     return per_id.agg(pct(F.sum("same"), F.sum("pairs")).alias("match_pct"))
 
 
+def domain_root_mismatch_pct(domains: DataFrame, emails: DataFrame) -> DataFrame:
+    """100 minus `domain_root_match`, the mismatch by the rule of first labels; NULL where there is no pair."""
+    return domain_root_match(domains, emails).select(((10000 - cents(F.col("match_pct"))) / 100).alias("mismatch_pct"))
+
+
 def _first_beside_any_root(rows: DataFrame, root: str, order: str, n: int) -> DataFrame:
     """At most 2n rows per id, among them the first n that do not have some one root, whichever it is.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import country_key, email_clean, format_status, is_blocked, non_blank, pct, row_count
 from ..operators.domains import domain_status_distribution
-from ..operators.matching import domain_match_by_country, domain_mismatch_pct
+from ..operators.matching import domain_match_by_country, domain_mismatch_pct, domain_root_mismatch_pct
 from ..operators.metrics import metrics_from_wide, side_by_side
 from ..schemas import require
 
@@ -32,9 +32,10 @@ def email_facts(emails: DataFrame) -> DataFrame:
 
 
 def release_metrics(
-    hub: DataFrame, emails: DataFrame, domains: DataFrame, run_id: str, thresholds: dict | None = None, k: int = 5
+    hub: DataFrame, emails: DataFrame, domains: DataFrame, run_id: str, thresholds: dict | None = None, k: int = 5, root_rule: bool = False
 ) -> DataFrame:
-    """The eight SLA metrics of a run, straight from the tables."""
+    """The eight SLA metrics of a run, straight from the tables. The domain mismatch follows the six-clause rule, or with
+    `root_rule` that of equal first labels."""
     facts = email_facts(emails).withColumn("status", format_status(F.col("email_clean")))
     n, valid = F.col("n"), F.col("status") == "valid"
 
@@ -71,7 +72,10 @@ def release_metrics(
     )
 
     status = domain_status_distribution(domains).where(F.col("status") == "Status Code not 200")
-    mismatch = domain_mismatch_pct(domain_match_by_country(hub, emails))
+    if root_rule:
+        mismatch = domain_root_mismatch_pct(domains, emails)
+    else:
+        mismatch = domain_mismatch_pct(domain_match_by_country(hub, emails))
     wide = side_by_side(
         [
             rates,

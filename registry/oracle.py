@@ -342,6 +342,20 @@ FROM per_id""",
         hub_pairs="SELECT id, source, count(*) AS n FROM persona_hub GROUP BY id, source",
         per_id=f"SELECT id, count(*) AS vendors, bool_or(NOT {filled('source')}) AS nameless FROM hub_pairs GROUP BY id",
     ),
+    "coverage_reconcile_email_reasons": statement(
+        HUB_EMAILS,
+        """SELECT CASE WHEN mailed THEN 'with e-mail' ELSE 'without e-mail' END AS companies,
+  count(*) FILTER (WHERE id IS NOT NULL AND vendors > 1) AS ids_with_several_vendors,
+  cast(coalesce(sum(vendors - 1) FILTER (WHERE id IS NOT NULL), 0) AS bigint) AS further_vendors,
+  cast(coalesce(sum(vendors - 1) FILTER (WHERE id IS NULL), 0) AS bigint) AS further_vendors_without_id,
+  cast((SELECT sum(CASE WHEN k.mailed THEN companies_with_email ELSE companies_without_email END) FROM by_source) - count(id)
+    - count(DISTINCT coalesce(cast(id AS varchar), 'none')) FILTER (WHERE id IS NULL) AS bigint) AS difference
+FROM (VALUES (true), (false)) k(mailed) LEFT JOIN per_id USING (mailed) GROUP BY mailed""",
+        flags=PER_SOURCE,
+        by_source=BY_SOURCE,
+        per_id=f"""SELECT id, count(DISTINCT coalesce(source, '~none')) AS vendors,
+  coalesce(id IN (SELECT id FROM emails WHERE id IS NOT NULL AND {filled('email')}), false) AS mailed FROM persona_hub GROUP BY id""",
+    ),
     "vendor_reachout": statement(
         HUB_EMAILS,
         """SELECT *, pct_without_email >= 11 AS reach_out_flag, CASE WHEN pct_without_email >= 11 THEN 'Reach out' ELSE 'OK' END
@@ -458,6 +472,11 @@ FROM (SELECT split_part(g.email_clean, '@', 2) AS email_domain, w.company_domain
         f"""SELECT {pct("count(*) FILTER (WHERE company_root <> '' AND company_root = email_root)", 'count(*)')} AS match_pct FROM roots""",
         roots=ROOTS,
     ),
+    "domain_root_mismatch_pct": statement(
+        DOMAINS_EMAILS,
+        f"""SELECT round(100 - {pct("count(*) FILTER (WHERE company_root <> '' AND company_root = email_root)", 'count(*)')}, 2) AS mismatch_pct FROM roots""",
+        roots=ROOTS,
+    ),
     "domain_mismatch_examples": statement(
         DOMAINS_EMAILS,
         """SELECT id, country, status_code, fqdn, email, company_root, email_root FROM roots

@@ -203,6 +203,7 @@ OPERATORS: dict[str, Query] = {
     "coverage_domain_universe": _over(op.coverage_domain_universe, "domains", "emails"),
     "coverage_delta": _coverage_delta,
     "coverage_reconcile": _coverage_reconcile,
+    "coverage_reconcile_email_reasons": _over(op.coverage_reconcile_email_reasons, "persona_hub", "emails"),
     "coverage_reconcile_reasons": _over(op.coverage_reconcile_reasons, "persona_hub"),
     "vendor_reachout": _vendor_reachout,
     "domain_status_distribution": _over(op.domain_status_distribution, "domains"),
@@ -223,6 +224,7 @@ OPERATORS: dict[str, Query] = {
     "domain_match_review_addresses": _over(op.domain_match_review_addresses, "persona_hub", "emails"),
     "domain_match_emails": _over(op.domain_match_emails, "domains", "emails"),
     "domain_root_match": _over(op.domain_root_match, "domains", "emails"),
+    "domain_root_mismatch_pct": _over(op.domain_root_mismatch_pct, "domains", "emails"),
     "domain_mismatch_examples": _over(op.domain_mismatch_examples, "domains", "emails"),
     "domain_mismatch_pct": _mismatch_pct,
     "blocked_summary": _over(op.blocked_summary, "emails"),

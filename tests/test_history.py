@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from dqspark import operators as op
 from dqspark.operators.metrics import DEFAULT_THRESHOLDS, METRIC_LABELS, severity
 from dqspark.plans.release import release_metrics
-from dqspark.sources import append_runs, new_run, read_metrics, read_runs, save_metrics
+from dqspark.sources import append_runs, new_run, read_metrics, read_runs, record_release, save_metrics
 
 from .adversarial import DDL, tables
 
@@ -147,3 +147,36 @@ def test_pair_counts_beyond_a_long(spark):
 
     row = spark.sql("SELECT cast(5e17 AS decimal(38,0)) AS a, cast(2e18 AS decimal(38,0)) AS b")
     assert row.select(pct(F.col("a"), F.col("b")).alias("p")).first()["p"] == 25.0
+
+
+def test_a_release_in_one_call(spark, tmp_path):
+    root = str(tmp_path)
+    runs = spark.createDataFrame([("a", day(0), "first"), ("b", day(1), None)], "run_id string, run_ts timestamp, release_label string")
+    rows = [("a", "invalid_format_pct", "Invalid", 10.0, "ok"), ("b", "invalid_format_pct", "Invalid", 40.0, "breach"), ("b", "blocked_email_pct", "Blocked", 20.0, "ok")]
+    metrics = spark.createDataFrame(rows, METRICS + ", severity string")
+    for run in "aab":  # the first one twice, as after a call that broke off
+        trend = record_release(runs, metrics.where(F.col("run_id") == run), root, run)
+    assert [(r["release_label"], r["composite_score"]) for r in trend.collect()] == [("first", 90.0), ("2026-01-02", 70.0)]
+    assert read_runs(spark, root).count() == 2
+    keys = {(r["run_id"], r["metric_key"]) for r in read_metrics(spark, root).collect()}
+    assert keys == {(r[0], r[1]) for r in rows} | {("a", "composite_score"), ("b", "composite_score"), ("b", "action_items")}
+
+
+def test_mismatch_of_a_release_by_first_labels(spark):
+    f = {name: spark.createDataFrame(rows, DDL[name]) for name, rows in tables(seed=11).items()}
+    by_rule = release_metrics(f["persona_hub"], f["emails"], f["domains"], "r", root_rule=True)
+    match = op.domain_root_match(f["domains"], f["emails"]).first()["match_pct"]
+    got = by_rule.where(F.col("metric_key") == "domain_mismatch_pct").first()["value_pct"]
+    assert match not in (None, 100.0) and got == round(100 - match, 2)
+
+
+def test_reconcile_reasons_explain_both_sides(spark):
+    hub = spark.createDataFrame([(1, "x"), (1, "y"), (1, None), (2, "x"), (2, "z"), (3, "x"), (None, "x"), (None, "y")], "id bigint, source string")
+    emails = spark.createDataFrame([(1, "a@b.c"), (2, " "), (9, "q@r.s"), (None, "n@n.n")], "id bigint, email string")
+    got = [tuple(r) for r in op.coverage_reconcile_email_reasons(hub, emails).collect()]
+    assert got == [("with e-mail", 1, 2, 0, 2), ("without e-mail", 1, 1, 1, 2)]
+    sums = op.coverage_by_source(hub, emails).agg(F.sum("companies_with_email"), F.sum("companies_without_email")).first()
+    whole = op.coverage_overall(hub, emails).first()
+    assert [sums[0] - whole["companies_with_email"], sums[1] - whole["companies_without_email"]] == [r[4] for r in got]
+    none = op.coverage_reconcile_email_reasons(hub.limit(0), emails.limit(0)).collect()
+    assert [tuple(r) for r in none] == [("with e-mail", 0, 0, 0, 0), ("without e-mail", 0, 0, 0, 0)]
