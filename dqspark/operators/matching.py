@@ -75,18 +75,20 @@ def _pieces(text: str, lengths: str) -> str:
     return f"flatten(transform(filter({lengths}, n -> n <= length({text})), n -> {piece}))"
 
 
-# A token's place among the 64 bits that stand for the tokens of a company.
-_PLACE = "cast(pmod(xxhash64({t}kind, {t}token), 64) AS int)"
+# A company has two 64-bit words for each spelling, in filters of at most so many words.
+_WORDS = 4096
+# The word of a token among its company's, and the three bits that it sets there, from the token's hash h.
+_PLACE = "({h} & (words - 1))"
+_MARK = " | ".join(f"shiftleft(1L, cast(shiftrightunsigned({{h}}, {n}) & 63 AS int))" for n in (46, 52, 58))
 
 
-def _tokens(**kinds: str) -> str:
-    """SQL for the distinct (kind, token) structs of arrays of text."""
-    tagged = [f"transform({texts}, t -> struct('{kind}' AS kind, t AS token))" for kind, texts in kinds.items()]
-    return f"array_distinct(concat({', '.join(tagged)}))"
+def _tagged(**kinds: str) -> list[str]:
+    """SQL for arrays of (kind, token, hash) structs, one for each array of text."""
+    return [f"transform({texts}, t -> struct('{kind}' AS kind, t AS token, xxhash64('{kind}', t) AS h))" for kind, texts in kinds.items()]
 
 
 def _wanted(companies: DataFrame) -> DataFrame:
-    """Spellings, with all their columns, once per (kind, token) of which an address needs one to fit.
+    """Spellings, with all their columns, once per (kind, token, h) of which an address needs one to fit.
 
     Each clause becomes equality of a token: a dotted suffix for related domains, a piece of the address as
     long as some root or name of the company for the others.
@@ -97,37 +99,63 @@ def _wanted(companies: DataFrame) -> DataFrame:
         F.when(F.length("name_clean") >= 4, F.col("name_clean")).alias("long_name"),
         dotted_suffixes(F.col("company_domain"), proper=True).alias("parents"),
     )
-    tokens = _tokens(
+    tokens = _tagged(
         name="array(company_domain)",
         below="parents",
         root="array_compact(array(root))",
         local="array_compact(array(long_name))",
     )
-    return spelled.select(*companies.columns, F.expr(f"inline({tokens})"))
+    return spelled.select(*companies.columns, F.expr(f"inline(array_distinct(concat({', '.join(tokens)})))"))
 
 
-def _sought(wanted: DataFrame) -> DataFrame:
-    """Per company what its addresses need to find their tokens: lengths of roots and names, and 64 bits that
-    rule out most tokens which no spelling has. A row stays small however many spellings there are."""
+def _sought(spelled: DataFrame) -> DataFrame:
+    """What the addresses of a company need to find their tokens: a Bloom filter of the tokens of its spellings, sized by
+    their number, and the lengths of roots and names. (id, words, part, bits, root_lengths, name_lengths)
 
-    def lengths(kind: str) -> Column:
-        return F.collect_set(F.when(F.col("kind") == kind, F.length("token")))
+    A token sets three bits of one word, and a word serves half a spelling, so about one piece in three hundred passes
+    by chance however many spellings there are. A filter of more than 4,096 words is cut into parts, each a row that
+    knows the lengths of its own tokens only, so that no row grows with the company.
+    """
+    sized = spelled.groupBy("id").agg(F.expr("shiftleft(2L, cast(ceil(log2(count(1))) AS int))").alias("words"))
+    tokens = _wanted(spelled.select("id", "company_domain", "name_clean").join(sized, "id"))
+
+    def length(kind: str) -> Column:
+        return F.when(F.col("kind") == kind, F.length("token"))
 
-    bits = F.expr(f"bit_or(shiftleft(1L, {_PLACE.format(t='')}))")
-    return wanted.groupBy("id").agg(
-        lengths("root").alias("root_lengths"), lengths("local").alias("name_lengths"), bits.alias("bits")
+    marks = tokens.select(
+        "id", "words", F.expr(_PLACE.format(h="h")).alias("place"), F.expr(_MARK.format(h="h")).alias("mark"),
+        length("root").alias("root_length"), length("local").alias("name_length"),
+    )
+    # Every word has a row, so that the sorted words of a part are in their places.
+    none = F.lit(None).cast("int")
+    parts = sized.select("id", "words", F.explode(F.sequence(F.lit(0), F.expr(f"(words - 1) div {_WORDS}"))).alias("part"))
+    first = F.col("part") * _WORDS
+    places = F.sequence(first, first + F.least("words", F.lit(_WORDS)) - 1)
+    empty = parts.select("id", "words", F.explode(places), F.lit(0).cast("bigint"), none, none)
+    words = marks.union(empty).groupBy("id", "words", "place").agg(
+        F.bit_or("mark").alias("word"), F.collect_set("root_length").alias("roots"), F.collect_set("name_length").alias("names")
+    )
+    return words.groupBy("id", "words", F.expr(f"place div {_WORDS}").alias("part")).agg(
+        F.sort_array(F.collect_list(F.struct("place", "word")))["word"].alias("bits"),
+        F.array_distinct(F.flatten(F.collect_list("roots"))).alias("root_lengths"),
+        F.array_distinct(F.flatten(F.collect_list("names"))).alias("name_lengths"),
     )
 
 
 def _offered(with_sought: DataFrame, *columns: str) -> DataFrame:
-    """The columns once per (kind, token) of an address that its company may want; with NULL where there is none."""
+    """The columns once per (kind, token) of an address that its company may want; with NULL where there is none.
+
+    Tokens are thinned before they are made distinct, as the latter compares each with each.
+    """
     pieces = f"concat({_pieces('email_domain', 'root_lengths')}, {_pieces('local_part', 'root_lengths')})"
-    tokens = _tokens(
+    tokens = _tagged(
         name="suffixes", below="array(email_domain)", root=pieces, local=_pieces("local_clean", "name_lengths")
     )
-    thinned = f"filter({tokens}, t -> getbit(bits, {_PLACE.format(t='t.')}) = 1)"
+    place, mark = _PLACE.format(h="t.h"), _MARK.format(h="t.h")
+    passes = f"{place} div {_WORDS} = part AND (bits[cast({place} % {_WORDS} AS int)] & ({mark})) = ({mark})"
+    thinned = ", ".join(f"filter({texts}, t -> {passes})" for texts in tokens)
     suffixed = with_sought.withColumn("suffixes", dotted_suffixes(F.col("email_domain")))
-    return suffixed.select(*columns, F.expr(f"inline_outer({thinned})"))
+    return suffixed.select(*columns, F.expr(f"inline_outer(array_distinct(concat({thinned})))")).drop("h")
 
 
 def _numbered(spelled: DataFrame, bits: int) -> DataFrame:
@@ -160,8 +188,9 @@ def fitting_pairs(companies: DataFrame, addresses: DataFrame, bits: int = 32768)
     listed = addresses.groupBy("id", *address).agg(F.sum("written").alias("written"))
     wanted = _wanted(_numbered(spelled, bits))
     bitmaps = wanted.groupBy("id", "kind", "token", "plane", "chunk").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
-    offered = _offered(listed.join(F.broadcast(_sought(wanted)), "id"), *listed.columns)  # a row per company asked for
     hot = hot_keys_of(listed, "id")
+    joined = salted_join(listed, _sought(spelled), "id", hot, [F.col(c) for c in address])
+    offered = _offered(joined, *listed.columns)
     hits = salted_join(offered.where("token IS NOT NULL"), bitmaps, "id", hot, [F.col(c) for c in address], also=["kind", "token"])
     met = hits.groupBy("id", *address, "written", "plane", "chunk").agg(F.bitmap_count(F.bitmap_or_agg("bitmap")).alias("fit"))
     worth = F.expr("shiftleft(1L, plane)") * F.col("fit") * F.col("written")
@@ -177,9 +206,10 @@ def _status_per_company_country(hub: DataFrame, emails: DataFrame, lower_first:
     """
     address = ["id", "country", "local_part", "email_domain", "local_clean"]
     listed = usable_addresses(emails, lower_first, "country").select(*address).distinct()
-    wanted = _wanted(usable_companies(hub, lower_first)).select("id", "kind", "token").distinct()
+    spelled = usable_companies(hub, lower_first)
+    wanted = _wanted(spelled).select("id", "kind", "token").distinct()
     hot = hot_keys_of(emails, "id")
-    joined = salted_join(listed, _sought(wanted), "id", hot, [F.col(c) for c in address[1:]])
+    joined = salted_join(listed, _sought(spelled), "id", hot, [F.col(c) for c in address[1:]])
     offered = _offered(joined, "id", "country").distinct()
     met = offered.join(wanted.withColumn("met", F.lit(True)), ["id", "kind", "token"], "left")
     return met.groupBy("id", "country").agg(F.bool_or(F.coalesce("met", F.lit(False))).alias("has_match"))

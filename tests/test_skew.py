@@ -150,6 +150,29 @@ def test_one_company_of_many_spellings_and_addresses(spark):
     assert rows == {"A": 0, "B": 1}
 
 
+@pytest.mark.parametrize("many", [1, 3, 300, 10_000])
+def test_filters_of_tokens_offer_few_pieces_by_chance_however_many_spellings(spark, many):
+    """Also over several parts: 10,000 spellings have 32,768 words, in eight parts."""
+    one = F.lit(1).cast("bigint").alias("id")
+    hub = spark.range(many).select(one, F.concat(F.lit("firm"), "id").alias("name"), F.concat(F.lit("host"), "id", F.lit(".com")).alias("fqdn"))
+    written = F.concat(F.lit("pat.lee"), "id", F.when(F.col("id") % 10 == 0, "@sub.host").otherwise("@mail"), "id", F.lit(".com"))
+    emails = spark.range(2000).select(one, written.alias("email"))
+    spelled, addresses = matching.usable_companies(hub, False), matching.usable_addresses(emails, False)
+    sought = matching._sought(spelled)
+    sizes = sought.select(F.size("bits").alias("n"), "part").collect()
+    assert sum(r["n"] for r in sizes) == 2 * 2 ** (many - 1).bit_length() and max(r["n"] for r in sizes) <= 4096
+    assert sorted(r["part"] for r in sizes) == list(range(len(sizes)))
+    offered = matching._offered(addresses.join(sought, "id"), "id", "email").where("token IS NOT NULL").distinct().cache()
+    wanted = matching._wanted(spelled).select("id", "kind", "token").distinct()
+    hits = offered.join(wanted, ["id", "kind", "token"], "left_semi").count()
+    assert offered.count() <= 2 * hits + 2000
+    # Nothing that a spelling wants is ruled out: all clauses, told by comparing every piece.
+    pieces = addresses.join(wanted.where("kind = 'root'"), "id").where(F.expr("contains(email_domain, token) OR contains(local_part, token)"))
+    roots = offered.join(wanted, ["id", "kind", "token"], "left_semi").where("kind = 'root'").select("email", "token")
+    assert roots.exceptAll(pieces.select("email", "token").distinct()).isEmpty() and pieces.select("email", "token").distinct().exceptAll(roots).isEmpty()
+    offered.unpersist()
+
+
 def test_match_reads_the_emails_twice(spark, frames, tmp_path):
     frames["emails"].write.parquet(str(tmp_path / "emails"))
     emails = spark.read.parquet(str(tmp_path / "emails"))
