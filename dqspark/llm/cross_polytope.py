@@ -1,8 +1,9 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-A table rotates unit vectors by three rounds of random signs and a fast Hadamard transform and assigns each to the
-nearest signed axis. A query probes, in each table, the axes nearest to it. Rows of the probed buckets are candidates;
-they are ranked by exact cosine on the original vectors.
+A rotation is three rounds of random signs and a fast Hadamard transform; it assigns a unit vector to the nearest signed
+axis. The key of a table is a pair of axes, from two rotations. A query probes, in each table, the keys that its own
+rotations lie nearest to. Rows and queries are dealt to the first axis of their keys and meet by the second one inside
+a task; the rows of the probed keys are candidates, ranked by exact cosine on the original vectors.
 """
 
 from __future__ import annotations
@@ -13,19 +14,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .work import written
+from .work import sliced, written
 
 _FOUND = "query_id long, vec_id long, score double"
+_CELL = ["length", "table", "cell"]
+_SPLIT = [*_CELL, "row_split", "query_split"]
 
 
 class Tables:
-    """tables independent hashes of vectors of one length."""
+    """tables independent hashes of vectors of one length, each a pair of axes."""
 
     def __init__(self, length: int, tables: int, seed: int):
         self.width = max(2, 1 << (length - 1).bit_length())
         random = np.random.default_rng([seed, length])
-        self.signs = random.choice(np.array([-1.0, 1.0], np.float32), (tables, 3, self.width))
+        self.signs = random.choice(np.array([-1.0, 1.0], np.float32), (2 * tables, 3, self.width))
 
     def rotated(self, vectors: np.ndarray) -> Iterator[np.ndarray]:
         """Each table's rotation of these rows."""
@@ -41,23 +45,27 @@ class Tables:
                     half *= 2
             yield x
 
-    def buckets(self, vectors: np.ndarray) -> list[np.ndarray]:
-        out = []
+    def keys(self, vectors: np.ndarray) -> np.ndarray:
+        """For each row its key in each table: the first axis times twice the width, plus the second."""
+        axes = []
         for x in self.rotated(vectors):
             axis = np.abs(x).argmax(axis=1)
-            out.append(np.where(x[np.arange(len(x)), axis] < 0, axis + self.width, axis))
-        return out
+            axes.append(np.where(x[np.arange(len(x)), axis] < 0, axis + self.width, axis))
+        return np.stack([first * 2 * self.width + second for first, second in zip(axes[::2], axes[1::2], strict=True)], axis=1)
 
-    def probes(self, vectors: np.ndarray, n: int) -> list[np.ndarray]:
-        """For each table, which axes each row probes, as a table of booleans."""
-        out = []
+    def probes(self, vectors: np.ndarray, n: int) -> Iterator[np.ndarray]:
+        """For each table the n keys whose axes each row lies nearest to, by the squared shortfalls behind its own two."""
+        ranked = []
         for x in self.rotated(vectors):
             nearness = np.concatenate([x, -x], axis=1)
-            probed = np.zeros(nearness.shape, bool)
-            nearest = np.argsort(-nearness, axis=1, kind="stable")[:, : min(n, nearness.shape[1])]
-            np.put_along_axis(probed, nearest, True, axis=1)
-            out.append(probed)
-        return out
+            axes = np.argsort(-nearness, axis=1, kind="stable")[:, :n]
+            nearness = np.take_along_axis(nearness, axes, axis=1)
+            ranked.append((axes, (nearness[:, :1] - nearness) ** 2))
+        for (first, behind), (second, behind2) in zip(ranked[::2], ranked[1::2], strict=True):
+            cost = (behind[:, :, None] + behind2[:, None, :]).reshape(len(vectors), -1)
+            best = np.argsort(cost, axis=1, kind="stable")[:, :n]
+            a, b = np.divmod(best, second.shape[1])
+            yield np.take_along_axis(first, a, axis=1) * 2 * self.width + np.take_along_axis(second, b, axis=1)
 
 
 def usable(vector: str) -> Column:
@@ -72,30 +80,27 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return column.values.to_numpy(zero_copy_only=False).astype(float), starts[:-1], np.diff(starts)
 
 
-class Block:
-    """A block of queries of one vector length with their probes. Without probes, every row is a candidate."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, tables: int, probes: int | None, seed: int):
-        self.ids, self.vectors, self.norms = ids, vectors, np.sqrt((vectors * vectors).sum(axis=1))
-        self.tables = Tables(vectors.shape[1], tables, seed) if probes else None
-        self.probed = self.tables.probes(self.vectors / self.norms[:, None], probes) if probes else None
-
-    def search(self, ids: np.ndarray, vectors: np.ndarray, k: int) -> list[np.ndarray]:
-        """Columns query_id, vec_id, score of the k nearest candidates of each query among these rows, ties included."""
-        norms = np.sqrt((vectors * vectors).sum(axis=1))
-        candidate = np.full((len(self.ids), len(ids)), self.probed is None)
-        for probed, bucket in zip(self.probed, self.tables.buckets(vectors / norms[:, None]), strict=True) if self.probed else ():
-            candidate |= probed[:, bucket]
-        candidate &= self.ids[:, None] != ids
-        rough = np.where(candidate, (self.vectors / self.norms[:, None]) @ (vectors / norms[:, None]).T, -9.0)
-        order = np.argsort(ids, kind="stable")
-        firsts = np.flatnonzero(np.diff(ids[order], prepend=ids[order[:1]] - 1))
-        if len(firsts) > k:
-            once = rough if len(firsts) == len(ids) else np.maximum.reduceat(rough[:, order], firsts, axis=1)
-            candidate &= rough >= np.partition(once, -k, axis=1)[:, -k, None] - 1e-9
-        q, x = np.nonzero(candidate)
-        score = (self.vectors[q] * vectors[x]).sum(axis=1) / (self.norms[q] * norms[x])
-        return _best([self.ids[q], ids[x], score], k)
+def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The vectors of a batch with columns id and vector, by length: which rows, and their unit vectors."""
+    values, starts, lengths = _lists(batch.column("vector"))
+    for length in np.unique(lengths):
+        rows = np.flatnonzero(lengths == length)
+        vectors = values[starts[rows][:, None] + np.arange(length)]
+        yield rows, vectors / np.sqrt((vectors * vectors).sum(axis=1))[:, None]
+
+
+def _compared(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> list[np.ndarray]:
+    """Columns query_id, vec_id, score of the k rows nearest to each query, ties included, and perhaps some more."""
+    norms, own = np.sqrt((vectors * vectors).sum(axis=1)), np.sqrt((queries * queries).sum(axis=1))
+    rough = (queries / own[:, None]) @ (vectors / norms[:, None]).T
+    near = np.ones(rough.shape, bool)
+    order = np.argsort(ids, kind="stable")
+    firsts = np.flatnonzero(np.diff(ids[order], prepend=ids[order[:1]] - 1))
+    if len(firsts) > k:
+        once = rough if len(firsts) == len(ids) else np.maximum.reduceat(rough[:, order], firsts, axis=1)
+        near = rough >= np.partition(once, -k, axis=1)[:, -k, None] - 1e-9
+    q, x = np.nonzero(near)
+    return [query_ids[q], ids[x], (queries[q] * vectors[x]).sum(axis=1) / (own[q] * norms[x])]
 
 
 def _best(columns: list[np.ndarray], k: int) -> list[np.ndarray]:
@@ -111,61 +116,134 @@ def _best(columns: list[np.ndarray], k: int) -> list[np.ndarray]:
     return [c[place < k] for c in (query, rows, score)]
 
 
-def _blocks(queries: DataFrame, size: int, tables: int, probes: int | None, seed: int) -> Iterator[list[Block]]:
-    parts = max(1, -(-queries.count() // size))
-    for n in range(parts):
-        rows = queries.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == n).collect()
-        by_length: dict[int, list] = {}
-        for row in rows:
-            by_length.setdefault(len(row["vector"]), []).append(row)
-        yield [Block(np.array([r["id"] for r in own]), np.array([r["vector"] for r in own], float), tables, probes, seed) for own in by_length.values()]
-
-
-def nearest(vectors: DataFrame, k: int = 5, every: int = 50, tables: int = 16, probes: int = 6, block: int = 4096, seed: int = 7) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, every: int = 50, tables: int = 16, probes: int = 160, block: int = 8192, seed: int = 7) -> DataFrame:
     """For each row whose vec_id is divisible by every: its k nearest among all other rows, as far as they are candidates.
     A query with fewer than k candidates is compared with all rows instead.
 
     Rows without a vec_id or a usable vector take no part; vectors of another length are no candidates of a query. Ties
-    go to the smaller vec_id; repeated rows of an id count once. Queries are taken in blocks of about block, whose size
-    bounds what is collected and broadcast; each block goes over all rows, hashes them and keeps k per query and task,
-    so that rows of one bucket are never paired up outside a task. An empty table gives no rows.
+    go to the smaller vec_id; repeated rows of an id count once, and of a query's the least vector is its own. Of equal
+    vectors the k + 1 smallest ids are searched, which suffice, and equal queries are searched once, so groups of copies
+    make no crowded keys. Other crowded cells are cut into blocks of about block rows and queries, which bounds what a
+    task holds; candidates are never rows of a table, only the best of each query and cell are. An empty table gives
+    no rows.
     """
+    kind = vectors.schema["embedding"].dataType.elementType
+    exact = "array<float>" if isinstance(kind, T.FloatType) else "array<double>"
     usable_rows = vectors.where(usable("embedding") & F.col("vec_id").isNotNull())
-    rows = usable_rows.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
-    queries = written(rows.where(F.col("id") % every == 0).dropDuplicates(["id"]), "neighbour-queries")
-    found = written(_ranked(rows, queries, k, block, tables, probes, seed), "neighbours")
+    rows = usable_rows.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast(exact).alias("vector"))
+    queries = written(rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("vector").alias("vector")), "neighbour-queries")
+    heads = written(queries.groupBy("vector").agg(F.min("id").alias("id")), "neighbour-heads")
+    place = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
+    rows = rows.dropDuplicates(["id", "vector"]).withColumn("place", place).where(F.col("place") <= k + 1).select("id", "vector")
+    keyed = written(_keyed(rows, tables, seed), "neighbour-keys")
+    length = F.size("vector").alias("length")
+    width = F.expr("2 * shiftleft(1L, greatest(1, cast(ceil(log2(length)) AS int)))")
+    dealt = keyed.select("id", "vector", length, F.posexplode("keys").alias("table", "key"))
+    dealt = dealt.select(*_CELL[:2], F.expr("key").alias("key"), "id", "vector", width.alias("width"))
+    dealt = dealt.select(*_CELL[:2], F.expr("cast(key div width AS int) AS cell"), F.expr("cast(key % width AS int) AS sub"), "id", "vector")
+    found = written(_ranked(_met(dealt, _asked(heads, tables, probes, seed), k + 1, block), queries, heads, k), "neighbours")
     short = queries.join(found.where(F.col("rank") == k).select(F.col("query_id").alias("id")), "id", "left_anti")
     if short.isEmpty():
         return found
     short = written(short, "neighbour-rest")
+    short_heads = written(short.groupBy("vector").agg(F.min("id").alias("id")), "neighbour-rest-heads")
+    anywhere = [length, F.lit(0).alias("table"), F.lit(0).alias("cell")]
+    every_row = keyed.select(*anywhere, F.lit(0).alias("sub"), "id", "vector")
+    whole = _met(every_row, short_heads.select(*anywhere, F.array(F.lit(0)).alias("subs"), "id", "vector"), k + 1, block)
     full = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti")
-    return full.unionByName(_ranked(rows, short, k, block, tables, None, seed))
-
-
-def _ranked(rows: DataFrame, queries: DataFrame, k: int, block: int, tables: int, probes: int | None, seed: int) -> DataFrame:
-    """query_id, rank, vec_id, score of the k best candidates of each query."""
-    found = None
-    for blocks in _blocks(queries, block, tables, probes, seed):
-        shared = rows.sparkSession.sparkContext.broadcast(blocks)
-
-        def batches(stream: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            best = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-            for batch in stream:
-                for at in range(0, len(batch), 2000):
-                    part = batch.slice(at, 2000)
-                    ids = part.column(0).to_numpy(zero_copy_only=False)
-                    values, starts, lengths = _lists(part.column(1))
-                    for own in shared.value:
-                        length = own.vectors.shape[1]
-                        chosen = np.flatnonzero(lengths == length)
-                        if len(chosen):
-                            mine = values[starts[chosen][:, None] + np.arange(length)]
-                            best = _best([np.concatenate(x) for x in zip(best, own.search(ids[chosen], mine, k), strict=True)], k)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in best], names=["query_id", "vec_id", "score"])
-
-        own = rows.mapInArrow(batches, _FOUND)
-        found = own if found is None else found.unionByName(own)
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return full.unionByName(_ranked(whole, short, short_heads, k))
+
+
+def _keyed(rows: DataFrame, tables: int, seed: int) -> DataFrame:
+    """id, vector and the vector's key in each table."""
+
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(stream, 2000):
+            keys: list = [None] * len(batch)
+            for chosen, unit in _by_length(batch):
+                for row, own in zip(chosen, Tables(unit.shape[1], tables, seed).keys(unit), strict=True):
+                    keys[row] = own
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.int64()))], names=["id", "vector", "keys"])
+
+    return rows.mapInArrow(batches, T.StructType([*rows.schema.fields, T.StructField("keys", T.ArrayType(T.LongType()))]))
+
+
+def _asked(queries: DataFrame, tables: int, probes: int, seed: int) -> DataFrame:
+    """Each query once per cell that it probes, with the second axes of its probes there."""
+    schema = T.StructType([*[T.StructField(c, T.IntegerType()) for c in _CELL], T.StructField("subs", T.ArrayType(T.IntegerType())), *queries.select("id", "vector").schema.fields])
+
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(stream, 100):
+            for chosen, unit in _by_length(batch):
+                hashes = Tables(unit.shape[1], tables, seed)
+                for n, keys in enumerate(hashes.probes(unit, probes)):
+                    keys = np.sort(keys, axis=1)
+                    cell, sub = np.divmod(keys.ravel(), 2 * hashes.width)
+                    row = np.repeat(chosen, keys.shape[1])
+                    starts = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(cell, prepend=-1) != 0))
+                    subs = pa.ListArray.from_arrays(pa.array(np.append(starts, len(row)), pa.int32()), pa.array(sub, pa.int32()))
+                    where = pa.array(row[starts])
+                    constant = [pa.array(np.full(len(starts), v, np.int32)) for v in (unit.shape[1], n)]
+                    columns = [*constant, pa.array(cell[starts], pa.int32()), subs, batch.column("id").take(where), batch.column("vector").take(where)]
+                    yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
+
+    return queries.select("id", "vector").mapInArrow(batches, schema)
+
+
+def _met(dealt: DataFrame, asked: DataFrame, k: int, block: int) -> DataFrame:
+    """query_id, vec_id, score: of each query and block of a cell the k nearest rows whose second axis it probes."""
+
+    def blocks(side: DataFrame, name: str) -> DataFrame:
+        return side.groupBy(*_CELL).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+
+    sizes = written(blocks(dealt, "row_splits").join(blocks(asked, "query_splits"), _CELL), "neighbour-cells")
+
+    def split(side: DataFrame, own: str, other: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64("id", "table"), F.col(f"{own}s")).cast("int").alias(own)
+        each = F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)).alias(other)
+        return side.join(sizes, _CELL).select("*", mine, each).drop("row_splits", "query_splits")
+
+    def compare(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        parts = [[np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]]
+        if len(rows) and len(queries):
+            own, length = rows.combine_chunks(), rows.column("length")[0].as_py()
+            ids, subs = (own.column(c).to_numpy() for c in ("id", "sub"))
+            vectors = _matrix(own, length)
+            queries = queries.combine_chunks()
+            query_ids, asking = queries.column("id").to_numpy(), _matrix(queries, length)
+            probed, _, count = _lists(_one_chunk(queries.column("subs")))
+            asker = np.repeat(np.arange(len(queries)), count)
+            by_row, by_probe = np.argsort(subs, kind="stable"), np.argsort(probed, kind="stable")
+            sorted_rows, sorted_probes, asker = subs[by_row], probed[by_probe], asker[by_probe]
+            for sub in np.unique(subs):
+                r = by_row[slice(*np.searchsorted(sorted_rows, [sub, sub + 1]))]
+                q = asker[slice(*np.searchsorted(sorted_probes, [sub, sub + 1]))]
+                if len(q):
+                    parts.append(_best(_compared(query_ids[q], asking[q], ids[r], vectors[r], k), k))
+        best = _best([np.concatenate(c) for c in zip(*parts, strict=True)], k)
+        return pa.table([pa.array(c) for c in best], names=["query_id", "vec_id", "score"])
+
+    left, right = split(dealt, "row_split", "query_split"), split(asked, "query_split", "row_split")
+    return left.groupBy(*_SPLIT).cogroup(right.groupBy(*_SPLIT)).applyInArrow(compare, _FOUND)
+
+
+def _one_chunk(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks)
+
+
+def _matrix(rows: pa.Table, length: int) -> np.ndarray:
+    values, starts, _ = _lists(_one_chunk(rows.column("vector")))
+    return values[starts[:, None] + np.arange(length)]
+
+
+def _ranked(met: DataFrame, queries: DataFrame, heads: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score of the k best candidates of each query; met tells k + 1 of each head, which stands
+    for all queries with its vector."""
+    best = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    best = best.withColumn("rank", place).where(F.col("rank") <= k)
-    return best.select("query_id", "rank", "vec_id", "score")
+    best = best.withColumn("place", place).where(F.col("place") <= k + 1)
+    told = best.groupBy("query_id").agg(F.collect_list(F.struct("score", "vec_id")).alias("told"))  # k + 1 at most
+    own = queries.select("vector", F.col("id").alias("asking")).join(heads.withColumnRenamed("id", "query_id"), "vector")
+    others = own.join(told, "query_id").select(F.col("asking").alias("query_id"), F.inline("told")).where("vec_id != query_id")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return others.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
