@@ -62,9 +62,10 @@ class Tables:
             nearness = np.take_along_axis(nearness, axes, axis=1)
             ranked.append((axes, (nearness[:, :1] - nearness) ** 2))
         for (first, behind), (second, behind2) in zip(ranked[::2], ranked[1::2], strict=True):
-            cost = (behind[:, :, None] + behind2[:, None, :]).reshape(len(vectors), -1)
-            best = np.argsort(cost, axis=1, kind="stable")[:, :n]
-            a, b = np.divmod(best, second.shape[1])
+            # A pair of places i and j from 1 on has i * j pairs at least as near, so only those up to n can be among the n.
+            i, j = np.nonzero(np.outer(np.arange(1, first.shape[1] + 1), np.arange(1, second.shape[1] + 1)) <= n)
+            best = np.argsort(behind[:, i] + behind2[:, j], axis=1, kind="stable")[:, :n]
+            a, b = i[best], j[best]
             yield np.take_along_axis(first, a, axis=1) * 2 * self.width + np.take_along_axis(second, b, axis=1)
 
 
@@ -116,7 +117,7 @@ def _best(columns: list[np.ndarray], k: int) -> list[np.ndarray]:
     return [c[place < k] for c in (query, rows, score)]
 
 
-def nearest(vectors: DataFrame, k: int = 5, every: int = 50, tables: int = 16, probes: int = 160, block: int = 8192, seed: int = 7) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, every: int = 50, tables: int = 20, probes: int = 130, block: int = 8192, seed: int = 7) -> DataFrame:
     """For each row whose vec_id is divisible by every: its k nearest among all other rows, as far as they are candidates.
     A query with fewer than k candidates is compared with all rows instead.
 
@@ -173,7 +174,7 @@ def _asked(queries: DataFrame, tables: int, probes: int, seed: int) -> DataFrame
     schema = T.StructType([*[T.StructField(c, T.IntegerType()) for c in _CELL], T.StructField("subs", T.ArrayType(T.IntegerType())), *queries.select("id", "vector").schema.fields])
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(stream, 100):
+        for batch in sliced(stream):
             for chosen, unit in _by_length(batch):
                 hashes = Tables(unit.shape[1], tables, seed)
                 for n, keys in enumerate(hashes.probes(unit, probes)):
